@@ -17,6 +17,7 @@ def local_session(cores: int = 8, app: str = "sluice", memory: str = "16g") -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
