@@ -74,3 +74,32 @@ def rank_by_draw(
     if group_size:
         ranked = ranked.withColumn(group_size, F.col("__size"))
     return ranked.select(*df.columns, name, *([group_size] if group_size else []))
+
+
+FINE_SLICES = 65_536
+
+
+def lowest_draws(df: DataFrame, key: str, seed: int | str, k: int) -> DataFrame:
+    """Exactly the ``k`` rows with the smallest draws: a sample without replacement.
+
+    One small count per slice of the draw range finds the slice in which the
+    sample ends. Rows of lower slices are kept where they are, without a
+    shuffle; only the last slice is sorted.
+    """
+    if k <= 0:
+        return df.limit(0)
+    drawn = df.withColumn("__draw", draw(key, seed)).withColumn(
+        "__slice", F.floor(F.col("__draw") / F.lit(DRAW_RANGE // FINE_SLICES)).cast("int")
+    )
+    sizes = drawn.groupBy("__slice").agg(F.count(F.lit(1)).alias("n")).orderBy("__slice").collect()  # <= FINE_SLICES
+    left, cut = k, None
+    for row in sizes:
+        if row["n"] >= left:
+            cut = row["__slice"]
+            break
+        left -= row["n"]
+    if cut is None:
+        return df
+    below = drawn.where(F.col("__slice") < cut)
+    edge = drawn.where(F.col("__slice") == cut).orderBy("__draw", key).limit(left)
+    return below.unionByName(edge).select(*df.columns)

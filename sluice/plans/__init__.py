@@ -13,6 +13,7 @@ AREAS = (
     "files",
     "steps",
     "quality",
+    "cleaning",
 )
 
 

@@ -23,22 +23,19 @@ def _ndjson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _json_array(spark: SparkSession, d: str) -> DataFrame:
-    """One array per file: the customers of a nation make one file each."""
-    customers = table(spark, d, "customer")
+    """One array per file, each of at most 100,000 customers."""
+    customers = table(spark, d, "customer").withColumn("chunk", F.floor(F.col("c_custkey") / 100_000))
+    order = Window.partitionBy("chunk").orderBy("c_custkey")
+    opening = F.when(F.row_number().over(order) == 1, F.lit("[\n")).otherwise(F.lit(","))
+    closing = F.when(F.lead("c_custkey").over(order).isNull(), F.lit("\n]")).otherwise(F.lit(""))
     rows = F.to_json(F.struct("c_custkey", "c_name", "c_nationkey"))
-    sep = F.when(F.col("place") == 1, F.lit("[\n")).otherwise(F.lit(","))
-    place = customers.withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
-    last = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).isNull()
-    lines = place.select(
-        "c_nationkey", "place", F.concat(sep, rows, F.when(last, F.lit("\n]")).otherwise(F.lit(""))).alias("value")
-    )
+    lines = customers.select("chunk", "c_custkey", F.concat(opening, rows, closing).alias("value"))
     path = scratch(spark, "customer") + ".json"
     (
-        lines.repartition("c_nationkey")
-        .sortWithinPartitions("c_nationkey", "place")
-        .withColumn("nation", F.col("c_nationkey"))
-        .select("value", "nation")
-        .write.partitionBy("nation")
+        lines.repartition("chunk")
+        .sortWithinPartitions("chunk", "c_custkey")
+        .select("value", "chunk")
+        .write.partitionBy("chunk")
         .text(path)
     )
     return files.read_file(spark, path).select("c_custkey", "c_name", "c_nationkey")
