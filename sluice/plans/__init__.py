@@ -14,6 +14,7 @@ AREAS = (
     "steps",
     "quality",
     "cleaning",
+    "privacy",
 )
 
 
