@@ -15,6 +15,8 @@ AREAS = (
     "quality",
     "cleaning",
     "privacy",
+    "governance",
+    "graph",
 )
 
 
