@@ -20,6 +20,14 @@ def draw(key: Column | str, seed: int | str | Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def wide_draw(key: Column | str, seed: int | str | Column) -> Column:
+    """A 60-bit draw, for picking among more rows than 32 bits can number."""
+    key = F.col(key) if isinstance(key, str) else key
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    digest = F.md5(F.concat_ws("|", key.cast("string"), seed.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(key: Column | str, seed: int | str | Column) -> Column:
     """The same draw as a double in [0, 1)."""
     return draw(key, seed) / F.lit(float(DRAW_RANGE))

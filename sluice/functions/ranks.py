@@ -11,27 +11,48 @@ from sluice.functions.draws import DRAW_RANGE, draw
 from sluice.session import materialize, shuffle_buckets
 
 
-def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
-    """Number all rows in a total order, from ``start``.
+def _placed(df: DataFrame, order: Sequence[Column | str], value: str | None = None) -> DataFrame:
+    """Sorted rows with their partition, their place in it, and what the partitions before hold.
 
-    Sort once by range, keep each row's place inside its sorted partition, and
-    shift it by the rows of the partitions before. The sorted rows are
-    checkpointed, so counting and numbering see the same partitions. The only
-    window runs over one row per partition.
+    Sort once by range and keep each row's place inside its sorted partition.
+    The sorted rows are checkpointed, so that counting and placing see the same
+    partitions. The only window runs over one row per partition.
     """
-    slot = "__slot"
-    placed = materialize(df.orderBy(*order).withColumn(slot, F.monotonically_increasing_id()))
-    part = F.shiftright(slot, 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    slot = F.monotonically_increasing_id()
+    placed = materialize(df.orderBy(*order).withColumn("__slot", slot)).withColumn("__part", F.shiftright("__slot", 33))
+    amount = F.count(F.lit(1)) if value is None else F.sum(value)
+    sizes = placed.groupBy("__part").agg(amount.alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    inside = F.col(slot).bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.withColumn("__part", part)
-        .join(F.broadcast(shifts), "__part")  # one row per partition
-        .withColumn(name, (inside + F.col("__shift") + F.lit(start)).cast("bigint"))
-        .drop(slot, "__part", "__shift")
-    )
+    return placed.join(F.broadcast(shifts), "__part")  # one row per partition
+
+
+def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
+    """Number all rows in a total order, from ``start``."""
+    inside = F.col("__slot").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = _placed(df, order)
+    return placed.select(*df.columns, (inside + F.col("__shift") + F.lit(start)).cast("bigint").alias(name))
+
+
+def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to and with this one in a total order."""
+    upto = Window.partitionBy("__part").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _placed(df, order, value)
+    return placed.select(*df.columns, (F.sum(value).over(upto) + F.col("__shift")).alias(name))
+
+
+def number_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 by ``order``, which must be total within a group.
+
+    All rows are numbered together, then each group is moved back to 1, so a
+    group that holds most of the table is still sorted by many tasks.
+    """
+    indexed = ordered_index(df, [*groups, *order], "__index")
+    first = indexed.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.min("__index").alias("__first"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return indexed.join(first, same).select(*df.columns, (F.col("__index") - F.col("__first") + 1).alias(name))
 
 
 def rank_by_draw(

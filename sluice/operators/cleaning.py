@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.draws import draw
+from sluice.functions.draws import wide_draw
 from sluice.functions.quantiles import quantiles
 from sluice.functions.ranks import lowest_draws, rank_by_draw
 from sluice.functions.scalars import mean_of, mode_of
@@ -112,14 +112,14 @@ class ClassSizes:
 def oversample(df: DataFrame, column: str, key: str, seed: int = SEED, sizes: ClassSizes | None = None) -> DataFrame:
     """Append rows of the rarest class, drawn with replacement, up to the largest class.
 
-    Draw number i takes the row whose rank is ``draw(i) mod size``.
+    Draw number i takes the row whose rank is ``wide_draw(i) mod size``.
     """
     sizes = sizes or ClassSizes(df, column)
     if sizes.gap <= 0:
         return df
     rare = rank_by_draw(df.where(F.col(column) == F.lit(sizes.minority)), [column], key, seed, "__rank")
     picks = df.sparkSession.range(sizes.gap).select(
-        (F.pmod(draw(F.col("id"), seed), F.lit(sizes.smallest)) + 1).alias("__rank")
+        (F.pmod(wide_draw(F.col("id"), seed), F.lit(sizes.smallest)) + 1).alias("__rank")
     )
     if sizes.smallest <= BROADCAST_ROWS:  # few rows, each drawn very often
         rare = F.broadcast(rare)

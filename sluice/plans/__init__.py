@@ -17,6 +17,7 @@ AREAS = (
     "privacy",
     "governance",
     "graph",
+    "synthetic",
 )
 
 

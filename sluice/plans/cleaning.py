@@ -110,7 +110,7 @@ SQL = {
     "fix_oversample": f"""{_C}, c AS (SELECT label, count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY 1),
         r AS (SELECT label, n FROM c ORDER BY n, label LIMIT 1), g AS (SELECT (SELECT max(n) FROM c) - n AS gap, n, label FROM r),
         ranked AS (SELECT t.*, row_number() OVER (ORDER BY {_DRAW}, order_id) - 1 AS place FROM t JOIN r ON t.label = r.label),
-        picks AS (SELECT ('0x' || substr(md5(i || '|42'), 1, 8))::BIGINT % n AS place
+        picks AS (SELECT ('0x' || substr(md5(i || '|42'), 1, 15))::BIGINT % n AS place
             FROM g, range(0, (SELECT gap FROM g)::BIGINT) AS x(i))
         SELECT * FROM t UNION ALL SELECT order_id, total, label FROM picks JOIN ranked USING (place)""",
     "fix_undersample": f"""{_C}, c AS (SELECT label, count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY 1),
