@@ -18,6 +18,7 @@ AREAS = (
     "governance",
     "graph",
     "synthetic",
+    "learning",
 )
 
 
