@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -29,6 +31,7 @@ from sluice.functions.draws import uniform
 from sluice.operators import active, evaluation, preparation
 
 SEED = 42
+ROWS_PER_PARTITION = 20_000
 DEEPEST = 20  # Spark trees have a depth limit; this stands for "unlimited"
 MODELS = ("logistic_regression", "random_forest", "xgboost", "svm", "mlp")
 PRESETS = ("default", "tuned", "grid_search")
@@ -127,6 +130,11 @@ class Fitted:
         return [(name, round(v, digits) if digits is not None else v) for v, name in pairs]
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Few training rows in few partitions: iterative fits run many short jobs. Many rows stay spread."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_PARTITION)))
+
+
 def _labelled(df: DataFrame, target: str, classes: Sequence[str]) -> Column:
     if not classes:
         return F.col(target).cast("double")
@@ -148,9 +156,9 @@ def fit(
     classes = list(classes or []) if classify else []
     features = preparation.Features(train, columns, most_frequent)
     split = evaluation.folds(train, key, 3, target if classify else None) if preset == "grid_search" else train
-    ready = features.transform(split).withColumn("label", _labelled(split, target, classes)).persist()
-    rows = ready.count()
-    est, grid = estimator(model, preset, task, rows, len(features.names), max(2, len(classes)), trees)
+    ready = features.transform(split).withColumn("label", _labelled(split, target, classes))
+    ready = compact(ready, features.rows).persist()
+    est, grid = estimator(model, preset, task, features.rows, len(features.names), max(2, len(classes)), trees)
     if grid:
         judge = (
             MulticlassClassificationEvaluator(metricName="accuracy") if classify else RegressionEvaluator(metricName="r2")
@@ -181,10 +189,7 @@ def cross_predictions(df: DataFrame, target: str, columns: Sequence[str], key: s
         fitted = fit(split.where(F.col("fold") != i), target, columns, key, **options)
         part = fitted.predict(split.where(F.col("fold") == i))
         parts.append(part.select(key, target, "fold", "predicted_label"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 CLASS_METRICS = ("accuracy", "f1", "f1_weighted", "precision", "recall")
@@ -255,18 +260,19 @@ def learning_curve(
     classify = task == "classification"
     metric = "accuracy" if classify else "r2"
     split = evaluation.folds(df, key, k, target if classify else None).persist()
-    scores: dict[float, list[tuple[float, float]]] = {s: [] for s in shares}
+    parts = []
     for i in range(k):
         held = split.where(F.col("fold") == i)
         for share, part in preparation.nested_samples(split.where(F.col("fold") != i), key, shares, f"{SEED}|curve"):
             fitted = fit(part, target, columns, key, **options)
-            seen = judged(fitted.predict(part), target, task).first()[metric]
-            new = judged(fitted.predict(held), target, task).first()[metric]
-            scores[share].append((seen, new))
-    return [
-        (share, round(float(np.mean([a for a, _ in s])), 4), round(float(np.mean([b for _, b in s])), 4))
-        for share, s in scores.items()
-    ]
+            for kind, rows in (("train", part), ("val", held)):
+                told = fitted.predict(rows).select(target, "predicted_label")
+                parts.append(told.select("*", F.lit(share).alias("share"), F.lit(i).alias("fold"), F.lit(kind).alias("kind")))
+    told = reduce(DataFrame.unionByName, parts)
+    scores = judged(told, target, task, ["share", "fold", "kind"])
+    of = lambda kind: F.round(F.avg(F.when(F.col("kind") == kind, F.col(metric))), 4)
+    curve = scores.groupBy("share").agg(of("train").alias("train"), of("val").alias("val")).orderBy("share")
+    return [tuple(r) for r in curve.collect()]  # one row per share
 
 
 RESULTS = """candidate_no int, candidate_id string, status string, accuracy double, f1 double, f1_weighted double,
@@ -314,7 +320,8 @@ def committee_votes(
     """``key, member, vote`` of shallow trees, each trained on its own resample."""
     classes = preparation.categories(labelled, target, preparation.MAX_INDICATORS) or []
     features = preparation.Features(labelled, columns)
-    train = features.transform(labelled).withColumn("label", _labelled(labelled, target, classes)).persist()
+    train = features.transform(labelled).withColumn("label", _labelled(labelled, target, classes))
+    train = compact(train, features.rows).persist()
     votes = features.transform(unlabelled)
     for m in range(members):
         weighted = train.withColumn("weight", resample_weight(key, m)).where("weight > 0")
@@ -331,8 +338,8 @@ def prediction_variance(
 ) -> DataFrame:
     """Per row the variance of the predictions of models trained on different resamples."""
     features = preparation.Features(labelled, columns)
-    train = features.transform(labelled).withColumn("label", F.col(target).cast("double")).persist()
-    rows = train.count()
+    rows = features.rows
+    train = compact(features.transform(labelled).withColumn("label", F.col(target).cast("double")), rows).persist()
     out = features.transform(unlabelled)
     for m in range(members):
         weighted = train.withColumn("weight", resample_weight(key, m)).where("weight > 0")

@@ -25,10 +25,10 @@ def feature_columns(df: DataFrame, target: str, exclude: Sequence[str] = ()) ->
     return [c for c in df.columns if c != target and c not in set(exclude)]
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, float | None]:
     found = {c: None for c in columns}
     if columns:
-        for r in quantiles(df, columns, [0.5]).collect():  # one row per column
+        for r in quantiles(df, columns, [0.5], rows=rows).collect():  # one row per column
             found[r["column"]] = r["q"][0] if r["q"] else None
     return found
 
@@ -43,9 +43,11 @@ def _moments(df: DataFrame, filled: dict[str, Column]) -> dict[str, tuple[float,
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(names) if row[f"m{i}"] is not None}
 
 
-def numeric_expressions(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+def numeric_expressions(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, Column]:
     """Median fill and standard scores, fitted on ``df``; constant columns are only centred."""
-    middle = medians(df, columns)
+    if not columns:
+        return {}
+    middle = medians(df, columns, rows)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) for c in columns}
     moments = _moments(df, filled)
     scaled = {}
@@ -105,11 +107,15 @@ class Features:
     def __init__(self, train: DataFrame, columns: Sequence[str], most_frequent: bool = False):
         self.numeric = [c for c in columns if is_numeric(train.schema[c].dataType)]
         self.texts = [c for c in columns if c not in self.numeric]
-        self.scaled = numeric_expressions(train, self.numeric)
+        sizes = train.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.approx_count_distinct(F.col(c).cast("string")).alias(f"k:{c}") for c in self.texts],
+        ).first()
+        self.rows = sizes["rows"]
+        self.scaled = numeric_expressions(train, self.numeric, self.rows)
         self.modes = {c: (mode_of(train, c).cast("string") if most_frequent else F.lit(MISSING)) for c in self.texts}
         wide = self._expressed(train)
-        counts = wide.agg(*[F.approx_count_distinct(f"t:{c}").alias(c) for c in self.texts]).first() if self.texts else {}
-        self.listed = [c for c in self.texts if counts[c] <= MAX_INDICATORS]
+        self.listed = [c for c in self.texts if sizes[f"k:{c}"] <= MAX_INDICATORS]
         self.hashed = [c for c in self.texts if c not in self.listed]
         stages = []
         if self.listed:

@@ -74,8 +74,8 @@ CANDIDATES = Derived(
 )
 RESULT_COLUMNS = ("candidate_no", "candidate_id", "status", "accuracy", "f1", "r2")
 ROUNDS = Derived(
-    "lineitem",
-    {"session_id": "l_orderkey", "round": "l_linenumber", "accuracy": "l_quantity / 50"},
+    "conversations",
+    {"session_id": "conv_id", "round": "turn", "accuracy": "length(text) % 101 * 0.01"},
 )
 SCORED = Derived(
     "customer",
@@ -107,7 +107,8 @@ def texts(s: SparkSession, d: str) -> DataFrame:
         "doc_id", "lang", "source", "n_chars", F.size(F.split(text, r"\s+")).alias("words"),
         share("[0-9]").alias("digits"), share(r"[^\w\s]").alias("marks"), share(r"\n").alias("breaks"),
     )
-    return documents.join(table(s, d, "labels"), "doc_id", "left")
+    # a few numbers per document, read again by every round and fold
+    return documents.join(table(s, d, "labels"), "doc_id", "left").persist()
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
@@ -120,7 +121,7 @@ def _feature_names(s: SparkSession, d: str) -> list[str]:
 
 def _first_labels(s: SparkSession, d: str, size: int = 120) -> DataFrame:
     """The labels of the first batch that a session would ask for."""
-    train = _train(s, d)
+    train = table(s, d, "labels")
     return active.initial_batch(train, "doc_id", size).select("doc_id", F.col("quality").alias("label"))
 
 
@@ -138,8 +139,13 @@ def _round_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:
-    r = _round(s, d)
-    return models.batch_rows(texts(s, d).drop("toxic", "quality"), r.batch, r.fitted, "doc_id")
+    """The rows a model trained on the first batch is least sure of, with its confidence."""
+    df, labels = texts(s, d).drop("toxic", "quality"), _first_labels(s, d)
+    labelled = df.join(labels.withColumnRenamed("label", "quality"), "doc_id")
+    fitted = models.fit(labelled, "quality", _feature_names(s, d), "doc_id", trees=20)
+    pool = active.pool(df, labels, "doc_id")
+    batch = active.uncertain_batch(fitted.predict(pool), "doc_id", 20, "margin")
+    return models.batch_rows(df, batch, fitted, "doc_id")
 
 
 def _strategies(s: SparkSession, d: str) -> DataFrame:
@@ -242,7 +248,7 @@ def _board(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "leaderboard") + ".csv"
     board.select("place", "candidate_id", "candidate_label", "model_type", "preset", "accuracy", "f1", "is_winner").write.option(
         "header", True
-    ).option("quoteAll", True).csv(path)
+    ).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     schema = """place bigint, candidate_id string, candidate_label string, model_type string, preset string,
         accuracy double, f1 double, is_winner string"""
     read = s.read.csv(path, schema=schema, header=True, ignoreLeadingWhiteSpace=False, emptyValue="")
