@@ -23,7 +23,8 @@ from sluice.session import local_session  # noqa: E402
 def full_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The yardstick: issues, scores and profiles of every column of lineitem."""
     scan = quality.Scan(spark.read.parquet(f"{folder}/lineitem.parquet"))
-    return scan.issues().select("column_name").unionByName(scan.profiles().select(scan.profiles()["name"].alias("column_name")))
+    seen = [scan.issues().select("column_name"), scan.profiles().selectExpr("name"), scan.scores().selectExpr("CAST(overall AS STRING)")]
+    return seen[0].union(seen[1]).union(seen[2])
 
 
 def wide_scan(spark: SparkSession, folder: str) -> DataFrame:

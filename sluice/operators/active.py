@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.ranks import lowest_draws, ordered_index
-from sluice.session import materialize
+from sluice.session import materialize, small_frame
 
 SEED = 42
 CENTRES_PER_PASS = 5_000  # labelled vectors sent to the tasks at a time
@@ -132,7 +132,7 @@ def coreset_batch(unlabelled: DataFrame, labelled: DataFrame, key: str, vector:
         state = state.where(F.col(key) != F.lit(-best["k"])).withColumn("__gap", F.least("__gap", _gap(best["__unit"])))
         if place % PICKS_PER_CHECKPOINT == PICKS_PER_CHECKPOINT - 1:
             state = materialize(state)
-    return unlabelled.sparkSession.createDataFrame(picks, f"pick int, {key} bigint, distance double")
+    return small_frame(unlabelled.sparkSession, picks, f"pick int, {key} bigint, distance double")
 
 
 def _numbered_blocks(known: DataFrame, total: int) -> DataFrame:

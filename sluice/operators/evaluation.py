@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.ranks import number_within, rank_by_draw, running_sum
+from sluice.session import small_frame
 
 SEED = 42
 PROTOCOLS = {"holdout_80": 0.2, "holdout_90": 0.1, "kfold_5": 5, "kfold_10": 10}
@@ -76,7 +77,7 @@ def confusion_matrix(df: DataFrame, labels: Sequence[str], truth: str = "truth",
     wide = counts.groupBy("truth").agg(
         *[F.coalesce(F.sum(F.when(F.col("prediction") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(f"pred_{c}") for c in labels]
     )
-    rows = df.sparkSession.createDataFrame([(str(c),) for c in labels], "truth string")
+    rows = small_frame(df.sparkSession, [(str(c),) for c in labels], "truth string")
     return rows.join(wide, "truth", "left").na.fill(0)
 
 

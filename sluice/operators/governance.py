@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.times import age_days, as_time, moment
 from sluice.operators.pii import RANKS, rank_of
+from sluice.session import small_frame
 
 # Name, type, parameters and severity of the policies every
 # workspace starts with. Scores are on a scale of 0 to 100.
@@ -205,9 +206,8 @@ def by_state(violations: DataFrame, resolved: bool = False) -> DataFrame:
 
 def policies_table(spark, policies: Sequence[dict]) -> DataFrame:
     rows = [(i, str(p["id"]), p["name"], p["policy_type"], p["severity"], bool(p.get("enabled", True))) for i, p in enumerate(policies)]
-    return spark.createDataFrame(
-        rows, "policy_no int, policy_id string, name string, policy_type string, severity string, enabled boolean"
-    )
+    schema = "policy_no int, policy_id string, name string, policy_type string, severity string, enabled boolean"
+    return small_frame(spark, rows, schema)
 
 
 def violation_counts(policies: DataFrame, violations: DataFrame) -> DataFrame:

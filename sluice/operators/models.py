@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.draws import uniform
 from sluice.operators import active, evaluation, preparation
+from sluice.session import small_frame
 
 SEED = 42
 ROWS_PER_PARTITION = 20_000
@@ -297,7 +298,7 @@ def run_benchmark(
     for i, r in enumerate(results):
         known = {"candidate_no": i, "candidate_id": r.candidate_id, "status": r.status, "error_message": r.error_message}
         rows.append(tuple(known.get(n, r.metrics.get(n)) for n in names))
-    return df.sparkSession.createDataFrame(rows, RESULTS), results
+    return small_frame(df.sparkSession, rows, RESULTS), results
 
 
 # --- active learning with models --------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import plain_text, stars
+from sluice.session import small_frame
 
 # Keyword, category, severity and confidence. A column whose name
 # contains the keyword is a candidate; the order decides between equals.
@@ -237,7 +238,7 @@ def first_samples(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     so nothing is sorted and no value list is ever held.
     """
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, sample_values array<string>")
+        return small_frame(df.sparkSession, [], "column string, sample_values array<string>")
     texts = df.select(F.col(key).alias("__key"), *[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
     rounds: list[dict] = []
     for _ in range(SAMPLES):
@@ -255,7 +256,7 @@ def first_samples(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     found = [
         (c, [r[i]["v"] for r in rounds if r[i] is not None and not r[i]["e"]]) for i, c in enumerate(columns)
     ]
-    return df.sparkSession.createDataFrame(found, "column string, sample_values array<string>")
+    return small_frame(df.sparkSession, found, "column string, sample_values array<string>")
 
 
 def findings(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -264,7 +265,7 @@ def findings(df: DataFrame, key: str | None = None) -> DataFrame:
     if key is None:
         return found
     rows = found.collect()  # at most one row per column
-    local = df.sparkSession.createDataFrame([tuple(r) for r in rows], found.schema)
+    local = small_frame(df.sparkSession, [tuple(r) for r in rows], found.schema)
     samples = first_samples(df, [r["column"] for r in rows], key)
     return local.join(samples, "column", "left")
 
@@ -309,4 +310,4 @@ def scan_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
 def rules_table(spark: SparkSession) -> DataFrame:
     rows = [(i, *rule) for i, rule in enumerate(name_rules())]
-    return spark.createDataFrame(rows, "rule_no int, keyword string, category string, severity string, confidence double")
+    return small_frame(spark, rows, "rule_no int, keyword string, category string, severity string, confidence double")

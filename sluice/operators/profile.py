@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.quantiles import quantiles
 from sluice.functions.types import dtype_label, groupable_columns, is_numeric, is_string, kind_of
+from sluice.session import small_frame
 
 # Fixed values
 LABEL_NAMES = ("label", "target", "y", "class", "category", "output", "outcome")
@@ -101,7 +102,7 @@ def value_counts(df: DataFrame) -> DataFrame:
     """``column, value, n`` for the non-null values of all text columns in one shuffle."""
     names = [f.name for f in df.schema if is_string(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+        return small_frame(df.sparkSession, [], "column string, value string, n bigint")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in names])
     long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -167,7 +168,7 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
         for r in value_facts(value_counts(df)).collect():  # one row per text column
             found[r["column"]].update(
                 distinct_n=r["distinct_n"], top_n=r["top_n"], bottom_n=r["bottom_n"], top_value=r["top_value"],
-                top=[(t["label"], t["count"]) for t in r["top"]],
+                top=[t.asDict() for t in r["top"]],
             )
     names = [part.split()[0] for part in FACTS.replace("\n", " ").split(", ") if ":" not in part] + ["top"]
     out = []
@@ -177,4 +178,4 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
             "dtype": dtype_label(field.dataType), "is_label": field.name in labels, **found[field.name],
         }
         out.append(tuple(known.get(n) for n in names))
-    return df.sparkSession.createDataFrame(out, FACTS)
+    return small_frame(df.sparkSession, out, FACTS)

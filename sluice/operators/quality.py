@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import profile
+from sluice.session import small_frame
 
 # Weight of each dimension in the overall score.
 WEIGHTS = {
@@ -68,10 +69,20 @@ def _issues(
     )
 
 
-_NULL_PCT = percent(F.col("nulls"), F.col("rows"))
-_PRESENT = F.col("rows") - F.col("nulls")
-_MIXED = _PRESENT - F.col("lower_n") - F.col("upper_n")
-_RATIO = F.col("top_n") / F.greatest(F.col("bottom_n"), F.lit(1))
+def _null_pct() -> Column:
+    return percent(F.col("nulls"), F.col("rows"))
+
+
+def _present() -> Column:
+    return F.col("rows") - F.col("nulls")
+
+
+def _mixed() -> Column:
+    return _present() - F.col("lower_n") - F.col("upper_n")
+
+
+def _ratio() -> Column:
+    return F.col("top_n") / F.greatest(F.col("bottom_n"), F.lit(1))
 
 
 # --- completeness -----------------------------------------------------------
@@ -81,23 +92,23 @@ def null_census(facts: DataFrame) -> DataFrame:
     return facts.select(
         "column",
         F.col("nulls").alias("null_count"),
-        F.round(_NULL_PCT, 3).alias("null_pct"),
-        severity(_NULL_PCT).alias("severity"),
-        F.round(_at_most(_NULL_PCT * 0.8, 20), 2).alias("impact_score"),
+        F.round(_null_pct(), 3).alias("null_pct"),
+        severity(_null_pct()).alias("severity"),
+        F.round(_at_most(_null_pct() * 0.8, 20), 2).alias("impact_score"),
     )
 
 
 def null_issues(facts: DataFrame) -> DataFrame:
     hit = facts.where(F.col("nulls") > 0)
-    text = F.format_string("%.1f%% null values in '%s'", _NULL_PCT, F.col("column"))
+    text = F.format_string("%.1f%% null values in '%s'", _null_pct(), F.col("column"))
     return _issues(
-        hit, F.col("column"), "null_values", "completeness", severity(_NULL_PCT), text, F.col("nulls"),
-        _NULL_PCT, _at_most(_NULL_PCT * 0.8, 20), "auto",
+        hit, F.col("column"), "null_values", "completeness", severity(_null_pct()), text, F.col("nulls"),
+        _null_pct(), _at_most(_null_pct() * 0.8, 20), "auto",
     )
 
 
 def completeness(facts: DataFrame) -> DataFrame:
-    kept = F.avg(F.greatest(F.lit(0.0), 100 - _NULL_PCT * 1.5))
+    kept = F.avg(F.greatest(F.lit(0.0), 100 - _null_pct() * 1.5))
     return facts.agg(F.round(F.coalesce(kept, F.lit(100.0)), 1).alias("completeness"))
 
 
@@ -105,7 +116,7 @@ def completeness(facts: DataFrame) -> DataFrame:
 
 
 def _mixed_columns(facts: DataFrame) -> DataFrame:
-    return facts.where((F.col("kind") == "string") & (_PRESENT >= 10) & (_MIXED > 0) & (_MIXED / _PRESENT > 0.05))
+    return facts.where((F.col("kind") == "string") & (_present() >= 10) & (_mixed() > 0) & (_mixed() / _present() > 0.05))
 
 
 def duplicate_issues(duplicates: DataFrame) -> DataFrame:
@@ -119,17 +130,17 @@ def duplicate_issues(duplicates: DataFrame) -> DataFrame:
 
 def mixed_case(facts: DataFrame) -> DataFrame:
     """Per text column the values that are neither all lower nor all upper case."""
-    flagged = (_PRESENT >= 10) & (_MIXED > 0) & (_MIXED / _PRESENT > 0.05)
+    flagged = (_present() >= 10) & (_mixed() > 0) & (_mixed() / _present() > 0.05)
     return facts.where(F.col("kind") == "string").select(
-        "column", _PRESENT.alias("non_null"), "lower_n", "upper_n", _MIXED.alias("mixed_n"), flagged.alias("flagged")
+        "column", _present().alias("non_null"), "lower_n", "upper_n", _mixed().alias("mixed_n"), flagged.alias("flagged")
     )
 
 
 def mixed_case_issues(facts: DataFrame) -> DataFrame:
-    pct = _MIXED / _PRESENT * 100
+    pct = _mixed() / _present() * 100
     text = F.format_string("Mixed case values in '%s' (%.1f%% inconsistent)", F.col("column"), pct)
     return _issues(
-        _mixed_columns(facts), F.col("column"), "mixed_case", "consistency", F.lit("info"), text, _MIXED, pct,
+        _mixed_columns(facts), F.col("column"), "mixed_case", "consistency", F.lit("info"), text, _mixed(), pct,
         F.lit(1.0), "auto",
     )
 
@@ -142,16 +153,18 @@ def consistency(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 # --- accuracy ---------------------------------------------------------------
 
-_OUT_PCT = percent(F.col("outliers"), F.col("rows"))
+
+def _out_pct() -> Column:
+    return percent(F.col("outliers"), F.col("rows"))
 
 
 def outlier_issues(facts: DataFrame) -> DataFrame:
     text = F.format_string(
-        "%s outliers in '%s' (%.1f%%), beyond the 3x IQR fence", F.format_number("outliers", 0), F.col("column"), _OUT_PCT
+        "%s outliers in '%s' (%.1f%%), beyond the 3x IQR fence", F.format_number("outliers", 0), F.col("column"), _out_pct()
     )
     return _issues(
-        facts.where(F.col("outliers") > 0), F.col("column"), "outliers", "accuracy", severity(_OUT_PCT), text,
-        F.col("outliers"), _OUT_PCT, _at_most(_OUT_PCT * 0.7, 10), "semi_auto",
+        facts.where(F.col("outliers") > 0), F.col("column"), "outliers", "accuracy", severity(_out_pct()), text,
+        F.col("outliers"), _out_pct(), _at_most(_out_pct() * 0.7, 10), "semi_auto",
     )
 
 
@@ -159,102 +172,108 @@ def outliers(facts: DataFrame) -> DataFrame:
     """Per numeric column the quartiles and how many values lie beyond the fences."""
     return facts.where(F.col("kind") == "numeric").select(
         "column", "numbers", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), "outliers",
-        F.round(_OUT_PCT, 3).alias("outlier_pct"), severity(_OUT_PCT).alias("severity"),
+        F.round(_out_pct(), 3).alias("outlier_pct"), severity(_out_pct()).alias("severity"),
     )
 
 
 def accuracy(facts: DataFrame) -> DataFrame:
-    penalty = F.when(F.col("outliers") > 0, _at_most(_OUT_PCT * 1.2, 15)).otherwise(F.lit(0.0))
+    penalty = F.when(F.col("outliers") > 0, _at_most(_out_pct() * 1.2, 15)).otherwise(F.lit(0.0))
     return facts.agg(_score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("accuracy"))
 
 
 # --- distribution -----------------------------------------------------------
 
-_SKEWED = (F.col("numbers") >= 20) & (F.col("std") > 0) & (F.abs("skew") > 2)
-_DOMINATED = (
-    (F.col("kind") == "string") & (_PRESENT >= 10) & (F.col("distinct_n") > 1) & (F.col("top_n") / _PRESENT * 100 > 90)
-)
+
+def _skewed() -> Column:
+    return (F.col("numbers") >= 20) & (F.col("std") > 0) & (F.abs("skew") > 2)
+
+
+def _dominated() -> Column:
+    several = (F.col("kind") == "string") & (_present() >= 10) & (F.col("distinct_n") > 1)
+    return several & (F.col("top_n") / _present() * 100 > 90)
 
 
 def skew_issues(facts: DataFrame) -> DataFrame:
     text = F.format_string("High skewness (%.2f) in '%s', consider a log transform", F.col("skew"), F.col("column"))
     return _issues(
-        facts.where(_SKEWED), F.col("column"), "high_skew", "distribution", F.lit("info"), text, F.col("numbers"),
+        facts.where(_skewed()), F.col("column"), "high_skew", "distribution", F.lit("info"), text, F.col("numbers"),
         F.lit(100.0), F.lit(2.0), None,
     )
 
 
 def skewness(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("kind") == "numeric").select(
-        "column", "numbers", F.round("skew", 4).alias("skew"), F.coalesce(_SKEWED, F.lit(False)).alias("flagged")
+        "column", "numbers", F.round("skew", 4).alias("skew"), F.coalesce(_skewed(), F.lit(False)).alias("flagged")
     )
 
 
 def imbalance(facts: DataFrame) -> DataFrame:
     """Text columns in which one value makes up more than 90 % of the non-null ones."""
-    return facts.where(_DOMINATED).select(
-        "column", "top_n", "bottom_n", F.round(F.col("top_n") / _PRESENT * 100, 4).alias("top_pct"),
-        F.round(_RATIO, 4).alias("ratio"),
+    return facts.where(_dominated()).select(
+        "column", "top_n", "bottom_n", F.round(F.col("top_n") / _present() * 100, 4).alias("top_pct"),
+        F.round(_ratio(), 4).alias("ratio"),
     )
 
 
 def imbalance_issues(facts: DataFrame) -> DataFrame:
     text = F.format_string(
         "Severe class imbalance in '%s', dominant class %.1f%% (ratio %.0f:1)",
-        F.col("column"), F.col("top_n") / _PRESENT * 100, _RATIO,
+        F.col("column"), F.col("top_n") / _present() * 100, _ratio(),
     )
     return _issues(
-        facts.where(_DOMINATED), F.col("column"), "class_imbalance", "distribution", F.lit("warning"), text,
+        facts.where(_dominated()), F.col("column"), "class_imbalance", "distribution", F.lit("warning"), text,
         F.col("rows"), F.lit(100.0), F.lit(8.0), None,
     )
 
 
 def distribution(facts: DataFrame) -> DataFrame:
-    penalty = F.when(_SKEWED, 5.0).when(_DOMINATED, 8.0)  # mean over flagged columns only
+    penalty = F.when(_skewed(), 5.0).when(_dominated(), 8.0)  # mean over flagged columns only
     return facts.agg(_score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("distribution"))
 
 
 # --- label quality ----------------------------------------------------------
 
-_LOPSIDED = (F.col("kind") == "string") & (F.col("distinct_n") > 1) & (_RATIO > 10)
+
+def _lopsided() -> Column:
+    return (F.col("kind") == "string") & (F.col("distinct_n") > 1) & (_ratio() > 10)
 
 
 def label_nulls(facts: DataFrame) -> DataFrame:
     return facts.where("is_label").select(
-        "column", F.col("nulls").alias("null_count"), F.round(_NULL_PCT, 3).alias("null_pct"),
-        F.when(_NULL_PCT > 5, "critical").otherwise("warning").alias("severity"),
-        F.round(_at_most(_NULL_PCT * 2, 30), 4).alias("penalty"),
-        F.round(_at_most(_NULL_PCT * 1.2, 20), 2).alias("impact_score"),
+        "column", F.col("nulls").alias("null_count"), F.round(_null_pct(), 3).alias("null_pct"),
+        F.when(_null_pct() > 5, "critical").otherwise("warning").alias("severity"),
+        F.round(_at_most(_null_pct() * 2, 30), 4).alias("penalty"),
+        F.round(_at_most(_null_pct() * 1.2, 20), 2).alias("impact_score"),
     )
 
 
 def label_null_issues(facts: DataFrame) -> DataFrame:
-    text = F.format_string("%.1f%% null values in label column '%s'", _NULL_PCT, F.col("column"))
+    text = F.format_string("%.1f%% null values in label column '%s'", _null_pct(), F.col("column"))
     return _issues(
         facts.where(F.col("is_label") & (F.col("nulls") > 0)), F.col("column"), "null_labels", "label_quality",
-        F.when(_NULL_PCT > 5, "critical").otherwise("warning"), text, F.col("nulls"), _NULL_PCT,
-        _at_most(_NULL_PCT * 1.2, 20), "semi_auto",
+        F.when(_null_pct() > 5, "critical").otherwise("warning"), text, F.col("nulls"), _null_pct(),
+        _at_most(_null_pct() * 1.2, 20), "semi_auto",
     )
 
 
 def label_imbalance(facts: DataFrame) -> DataFrame:
     return facts.where("is_label").select(
-        "column", F.col("distinct_n").alias("classes"), "top_n", "bottom_n", F.round(_RATIO, 4).alias("ratio"),
-        F.coalesce(_LOPSIDED, F.lit(False)).alias("flagged"),
+        "column", F.col("distinct_n").alias("classes"), "top_n", "bottom_n", F.round(_ratio(), 4).alias("ratio"),
+        F.coalesce(_lopsided(), F.lit(False)).alias("flagged"),
     )
 
 
 def label_imbalance_issues(facts: DataFrame) -> DataFrame:
-    text = F.format_string("Label imbalance in '%s', %.0f:1 ratio between classes", F.col("column"), _RATIO)
+    text = F.format_string("Label imbalance in '%s', %.0f:1 ratio between classes", F.col("column"), _ratio())
     return _issues(
-        facts.where(F.col("is_label") & _LOPSIDED), F.col("column"), "class_imbalance", "label_quality",
-        F.lit("warning"), text, F.col("rows"), F.lit(100.0), _at_most(_RATIO * 0.3, 15), None,
+        facts.where(F.col("is_label") & _lopsided()), F.col("column"), "class_imbalance", "label_quality",
+        F.lit("warning"), text, F.col("rows"), F.lit(100.0), _at_most(_ratio() * 0.3, 15), None,
     )
 
 
 def label_quality(facts: DataFrame) -> DataFrame:
     both = F.array(
-        F.when(F.col("nulls") > 0, _at_most(_NULL_PCT * 2, 30)), F.when(_LOPSIDED, F.lit(10.0))
+        F.when(F.col("nulls") > 0, _at_most(_null_pct() * 2, 30)), F.when(_lopsided(), F.lit(10.0))
     )
     penalties = facts.where("is_label").select(F.explode(both).alias("p"))
     return penalties.agg(_score(F.coalesce(F.avg("p"), F.lit(0.0))).alias("label_quality"))
@@ -297,7 +316,7 @@ def scores(facts: DataFrame, duplicates: DataFrame, weights: dict[str, float] |
 def column_scores(facts: DataFrame, issues: DataFrame) -> DataFrame:
     weight = F.when(F.col("severity") == "critical", 15).when(F.col("severity") == "warning", 8).otherwise(3)
     lost = issues.groupBy(F.col("column_name").alias("column")).agg(F.sum(weight).alias("lost"))
-    score = F.greatest(F.lit(0.0), 100 - _NULL_PCT * 1.5 - F.coalesce(F.col("lost"), F.lit(0)))
+    score = F.greatest(F.lit(0.0), 100 - _null_pct() * 1.5 - F.coalesce(F.col("lost"), F.lit(0)))
     return facts.join(lost, "column", "left").select("column", F.round(score, 1).alias("quality_score"))
 
 
@@ -321,7 +340,7 @@ def column_profiles(facts: DataFrame, issues: DataFrame) -> DataFrame:
     grouped = issues.groupBy(F.col("column_name").alias("column")).agg(
         F.array_sort(F.collect_list(F.struct(*kept))).alias("found")
     )
-    share = lambda t: F.round(t["count"] / _PRESENT * 100, 1)
+    share = lambda t: F.round(t["count"] / _present() * 100, 1)
     spread = F.transform("top", lambda t: F.struct(t["label"], t["count"], share(t).alias("pct")))
     numeric = F.struct(*[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std")])
     text = F.struct(F.coalesce(F.col("distinct_n"), F.lit(0)).alias("unique"), F.col("top_value").alias("most_common"))
@@ -334,7 +353,7 @@ def column_profiles(facts: DataFrame, issues: DataFrame) -> DataFrame:
         .join(grouped, "column", "left")
         .select(
             "ordinal", F.col("column").alias("name"), "dtype", F.col("nulls").alias("null_count"),
-            F.round(_NULL_PCT, 3).alias("null_pct"), unique.alias("unique_count"), "quality_score",
+            F.round(_null_pct(), 3).alias("null_pct"), unique.alias("unique_count"), "quality_score",
             F.coalesce(F.to_json("found"), F.lit("[]")).alias("issues"),
             F.coalesce(F.to_json(spread), F.lit("[]")).alias("distribution"),
             F.coalesce(stats, F.lit("{}")).alias("stats"),
@@ -348,7 +367,7 @@ class Scan:
     def __init__(self, df: DataFrame, approximate: bool = False):
         self.facts = profile.facts(df, approximate=approximate)
         counted = profile.duplicates(df).first()
-        self.duplicates = df.sparkSession.createDataFrame([tuple(counted)], "rows bigint, copies bigint")
+        self.duplicates = small_frame(df.sparkSession, [tuple(counted)], "rows bigint, copies bigint")
 
     def issues(self) -> DataFrame:
         return ranked(issues(self.facts, self.duplicates))

@@ -16,6 +16,7 @@ from sluice.functions.draws import uniform, wide_draw
 from sluice.functions.quantiles import quantiles
 from sluice.functions.ranks import rank_by_draw
 from sluice.functions.types import INTEGERS, is_numeric
+from sluice.session import small_frame
 
 SEED = 42
 BROADCAST_ROWS = 20_000
@@ -215,12 +216,13 @@ def fit(df: DataFrame, columns: Sequence[str] | None = None, distributions: dict
         if grid and family in DISTRIBUTIONS:
             grid = _grid_for(family, moments[f"lo:{c}"], moments[f"hi:{c}"], moments[f"mean:{c}"], moments[f"std:{c}"])
         share = 1 - moments[f"n:{c}"] / rows if rows else 1.0
+        listed = [{"value": v, "upto": u} for v, u in categories[c]] if categories.get(c) else None
         if kind == "numeric" and not grid:
             kind = "empty"
         if kind == "resampled" and moments[f"n:{c}"] == 0:
             kind = "empty"
-        out.append((c, i, df.schema[c].dataType.simpleString(), kind, float(share), grid, categories.get(c), loadings.get(c)))
-    return df.sparkSession.createDataFrame(out, MODEL)
+        out.append((c, i, df.schema[c].dataType.simpleString(), kind, float(share), grid, listed, loadings.get(c)))
+    return small_frame(df.sparkSession, out, MODEL)
 
 
 def _loadings(df: DataFrame, names: list[str], scores: list[Column]) -> dict[str, list[float]]:

@@ -10,6 +10,7 @@ from sluice.plans import workspace as w
 from sluice.plans.governance import BASE
 from sluice.plans.tables import scratch, table
 from sluice.sources import sinks
+from sluice.session import small_frame
 
 
 def _entities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +33,7 @@ def _geography(s: SparkSession, d: str) -> DataFrame:
 
 
 def _start(s: SparkSession, *ids: str) -> DataFrame:
-    return s.createDataFrame([(i,) for i in ids], "id string")
+    return small_frame(s, [(i,) for i in ids], "id string")
 
 
 def _related(s: SparkSession, d: str) -> DataFrame:

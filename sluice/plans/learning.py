@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import active, evaluation, models, preparation
 from sluice.plans.tables import LINES, Derived, scratch, table
+from sluice.session import small_frame
 
 # --- rule-made inputs ------------------------------------------------------------
 
@@ -135,7 +136,7 @@ def _round_rows(s: SparkSession, d: str) -> DataFrame:
     rows = [("metric", k, float(v)) for k, v in r.metrics.items()]
     rows += [("importance", k, float(v)) for k, v in r.importances]
     rows += [("confusion", f"{a}->{b}", float(n)) for a, b, n in r.confusion]
-    return s.createDataFrame(rows, "what string, name string, value double")
+    return small_frame(s, rows, "what string, name string, value double")
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:
@@ -201,9 +202,8 @@ def _benchmark(protocol: str, *ids: str):
         train = _train(s, d).persist()
         chosen = [c for c in GRID if not ids or c["candidate_id"] in ids]
         results, detail = models.run_benchmark(train, "quality", "doc_id", chosen, protocol)
-        tops = s.createDataFrame(
-            [(r.candidate_id, ", ".join(n for n, _ in r.importances)) for r in detail], "candidate_id string, features string"
-        )
+        found = [(r.candidate_id, ", ".join(n for n, _ in r.importances)) for r in detail]
+        tops = small_frame(s, found, "candidate_id string, features string")
         return results.join(tops, "candidate_id").drop("mae", "rmse", "r2")
 
     return run
@@ -213,7 +213,7 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
     rows = models.learning_curve(
         _train(s, d), "quality", _feature_names(s, d), "doc_id", (0.2, 0.6, 1.0), model="logistic_regression"
     )
-    return s.createDataFrame(rows, "share double, train_score double, val_score double")
+    return small_frame(s, rows, "share double, train_score double, val_score double")
 
 
 def _regression(s: SparkSession, d: str) -> DataFrame:

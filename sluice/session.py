@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int = 8, app: str = "sluice", memory: str = "16g") -> SparkSession:
@@ -46,6 +50,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A DataFrame over a few rows the driver holds: part of the plan, no job and no Python worker."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = fields.names
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(fields))
+    return spark.createDataFrame(table, fields)
+
+
 def shuffle_buckets(spark: SparkSession) -> int:
     """How many slices a hot group is split into: follows the cluster's own width."""
     return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.types import dtype_label
-from sluice.session import checkpoint_dir
+from sluice.session import checkpoint_dir, small_frame
 
 # Suffixes that may be read, and lines looked at to infer a CSV schema.
 READABLE = (".csv", ".json", ".jsonl", ".parquet")
@@ -52,7 +52,7 @@ def _csv_schema(spark: SparkSession, path: str) -> T.StructType:
         raise ValueError(f"No header in {path}")
     body = [(line,) for line in lines[1:] if line != lines[0]]
     sample = f"{checkpoint_dir(spark)}/csv-head-{uuid.uuid4().hex}"
-    head = spark.createDataFrame([(lines[0].lstrip(BYTE_ORDER_MARK),), *body], "value string")
+    head = small_frame(spark, [(lines[0].lstrip(BYTE_ORDER_MARK),), *body], "value string")
     head.coalesce(1).write.text(sample)
     return spark.read.csv(sample, header=True, inferSchema=True).schema
 
