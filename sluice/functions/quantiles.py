@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows one aggregate may hold every value of a column in a task.
+# Up to this many rows a task may sort all values of one column.
 ONE_PASS_ROWS = 1_000_000
 
 
@@ -21,27 +21,45 @@ def quantiles(
 ) -> DataFrame:
     """One row per column: ``column``, ``n`` (non-null) and ``q`` (array, as ``probs``).
 
-    Small inputs use one exact aggregate. Larger ones take two passes: a sketch
-    brackets each quantile within its guaranteed rank error, then the values in
-    the brackets are counted exactly and the order statistics read off.
+    Small inputs sort each column's values in a task of its own. Larger ones
+    take two passes: a sketch brackets each quantile within its guaranteed rank
+    error, then the values in the brackets are counted exactly and the order
+    statistics read off. ``approximate`` stops at the sketch.
     """
     numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = df.count() if rows is None and not approximate else rows
-    if approximate or rows <= one_pass_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        exact = lambda c: F.percentile(c, wanted)
-        sketch = lambda c: F.percentile_approx(c, [float(p) for p in probs], 10_000)
-        pick = sketch if approximate else exact
-        wide = numbers.agg(
-            *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
-            *[pick(f"c{i}").alias(f"q{i}") for i in range(len(columns))],
-        )
-        entries = [
-            F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q"))
-            for i, c in enumerate(columns)
-        ]
-        return wide.select(F.inline(F.array(*entries)))
-    return _bracketed(numbers, columns, probs, rows)
+    if approximate:
+        return _sketched(numbers, columns, probs)
+    rows = df.count() if rows is None else rows
+    return _sorted(numbers, columns, probs) if rows <= one_pass_rows else _bracketed(numbers, columns, probs, rows)
+
+
+def _sketched(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    wide = numbers.agg(
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"c{i}", [float(p) for p in probs], 10_000).alias(f"q{i}") for i in range(len(columns))],
+    )
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q"))
+        for i, c in enumerate(columns)
+    ]
+    return wide.select(F.inline(F.array(*entries)))
+
+
+def _sorted(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in columns])
+    long = numbers.select(*[F.col(f"c{i}").alias(str(i)) for i in range(len(columns))]).unpivot(
+        [], [str(i) for i in range(len(columns))], "at", "x"
+    )
+    values = long.groupBy(names[F.col("at").cast("int")].alias("column")).agg(F.sort_array(F.collect_list("x")).alias("v"))
+
+    def quantile(p: Column) -> Column:
+        spot = p * (F.size("v") - 1)
+        low, high = (F.element_at("v", (f(spot) + 1).cast("int")) for f in (F.floor, F.ceil))
+        part = spot - F.floor(spot)
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    found = F.transform(F.array(*[F.lit(float(p)) for p in probs]), quantile)
+    return values.select("column", F.size("v").cast("bigint").alias("n"), F.when(F.size("v") > 0, found).alias("q"))
 
 
 def _bracketed(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import plain_text, stars
-from sluice.session import small_frame
+from sluice.session import small_frame, spread
 
 # Keyword, category, severity and confidence. A column whose name
 # contains the keyword is a candidate; the order decides between equals.
@@ -147,7 +147,7 @@ def value_matches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     One pass over whole values, counted inside one aggregate.
     """
     columns = list(columns or df.columns)
-    texts = df.select(*[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
+    texts = spread(df.select(*columns)).select(*[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
     # what a text needs at least: an @ for the first pattern, some digits for all others
     texts = texts.withColumns(
         {f"mail{i}": F.contains(f"t{i}", F.lit("@")) for i in range(len(columns))}

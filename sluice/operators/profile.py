@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.quantiles import quantiles
 from sluice.functions.types import dtype_label, groupable_columns, is_numeric, is_string, kind_of
-from sluice.session import small_frame
+from sluice.session import passes_over, small_frame
 
 # Fixed values
 LABEL_NAMES = ("label", "target", "y", "class", "category", "output", "outcome")
@@ -52,7 +52,7 @@ def _wide(df: DataFrame, parts: Iterable[str]) -> dict[str, dict]:
         for i, field in enumerate(block):
             c = F.col(f"`{field.name}`")
             wanted.append(F.count(c).alias(f"{i}:present"))
-            if "case" in parts and is_string(field.dataType):
+            if "case" in parts and "values" not in parts and is_string(field.dataType):
                 wanted.append(F.count_if(F.lower(c) == c).alias(f"{i}:lower_n"))
                 wanted.append(F.count_if(F.upper(c) == c).alias(f"{i}:upper_n"))
             if "moments" in parts and is_numeric(field.dataType):
@@ -115,9 +115,15 @@ def top_values(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
 
 
 def value_facts(counts: DataFrame, with_top: bool = True) -> DataFrame:
-    """Distinct values, largest and smallest class and the most frequent value per column."""
+    """Distinct values, largest and smallest class and the most frequent value per column.
+
+    Case is a property of a value, so it is looked at once per distinct value.
+    """
+    value = F.col("value")
     facts = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_n"),
+        F.sum(F.when(F.lower(value) == value, F.col("n")).otherwise(0)).alias("lower_n"),
+        F.sum(F.when(F.upper(value) == value, F.col("n")).otherwise(0)).alias("upper_n"),
         F.max("n").alias("top_n"),
         F.min("n").alias("bottom_n"),
         F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))["value"].alias("top_value"),
@@ -146,7 +152,11 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
 
     ``approximate`` takes quartiles from a sketch instead of exact ones.
     """
-    parts = set(parts)
+    with passes_over(df) as even:
+        return _facts(even, set(parts), approximate)
+
+
+def _facts(df: DataFrame, parts: set[str], approximate: bool) -> DataFrame:
     found = _wide(df, parts)
     labels = label_columns(df)
     rows = next(iter(found.values()))["rows"] if found else 0
@@ -165,9 +175,11 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
             for c, n in _beyond_fences(df, bounds).items():
                 found[c]["outliers"] = n
     if "values" in parts:
+        for c in (f.name for f in df.schema if is_string(f.dataType)):
+            found[c].update(lower_n=0, upper_n=0)
         for r in value_facts(value_counts(df)).collect():  # one row per text column
             found[r["column"]].update(
-                distinct_n=r["distinct_n"], top_n=r["top_n"], bottom_n=r["bottom_n"], top_value=r["top_value"],
+                distinct_n=r["distinct_n"], lower_n=r["lower_n"], upper_n=r["upper_n"], top_n=r["top_n"], bottom_n=r["bottom_n"], top_value=r["top_value"],
                 top=[t.asDict() for t in r["top"]],
             )
     names = [part.split()[0] for part in FACTS.replace("\n", " ").split(", ") if ":" not in part] + ["top"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import profile
-from sluice.session import small_frame
+from sluice.session import passes_over, small_frame
 
 # Weight of each dimension in the overall score.
 WEIGHTS = {
@@ -365,8 +365,9 @@ class Scan:
     """A full scan: the passes over the data run once, the rest is derived."""
 
     def __init__(self, df: DataFrame, approximate: bool = False):
-        self.facts = profile.facts(df, approximate=approximate)
-        counted = profile.duplicates(df).first()
+        with passes_over(df) as even:
+            self.facts = profile.facts(even, approximate=approximate)
+            counted = profile.duplicates(even).first()
         self.duplicates = small_frame(df.sparkSession, [tuple(counted)], "rows bigint, copies bigint")
 
     def issues(self) -> DataFrame:

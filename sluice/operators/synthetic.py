@@ -16,7 +16,7 @@ from sluice.functions.draws import uniform, wide_draw
 from sluice.functions.quantiles import quantiles
 from sluice.functions.ranks import rank_by_draw
 from sluice.functions.types import INTEGERS, is_numeric
-from sluice.session import small_frame
+from sluice.session import passes_over, small_frame
 
 SEED = 42
 BROADCAST_ROWS = 20_000
@@ -162,11 +162,16 @@ def _text_categories(df: DataFrame, names: Sequence[str]) -> dict[str, list[tupl
 def fit(df: DataFrame, columns: Sequence[str] | None = None, distributions: dict[str, str] | None = None) -> DataFrame:
     """A model with one row per column: marginal, share of nulls and its row of the copula.
 
-    Marginals come from exact quantiles (or the moments, where a distribution
+    Marginals come from a quantile sketch (or the moments, where a distribution
     is asked for). The dependence is the correlation of normal scores, taken in
     one pass after binning each value by its column's quantiles.
     """
-    columns = list(columns or df.columns)
+    with passes_over(df.select(*(columns or df.columns))) as even:
+        return _fit(even, distributions)
+
+
+def _fit(df: DataFrame, distributions: dict[str, str] | None) -> DataFrame:
+    columns = df.columns
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
     texts = [c for c in columns if c not in numeric]
     moments = df.agg(
@@ -177,7 +182,7 @@ def fit(df: DataFrame, columns: Sequence[str] | None = None, distributions: dict
     ).first()  # one row
     rows = moments["rows"]
     probs = [k / (GRID - 1) for k in range(GRID)]
-    grids = {r["column"]: list(r["q"]) for r in quantiles(df, numeric, probs, rows=rows).collect() if r["q"]} if numeric else {}
+    grids = {r["column"]: list(r["q"]) for r in quantiles(df, numeric, probs, approximate=True).collect() if r["q"]} if numeric else {}
     categories = _text_categories(df, texts)
     scored, scores = [], []
     binned = df
