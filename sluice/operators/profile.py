@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.quantiles import quantiles
 from sluice.functions.types import dtype_label, groupable_columns, is_numeric, is_string, kind_of
-from sluice.session import passes_over, small_frame
+from sluice.session import small_frame
 
 # Fixed values
 LABEL_NAMES = ("label", "target", "y", "class", "category", "output", "outcome")
@@ -152,11 +152,7 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
 
     ``approximate`` takes quartiles from a sketch instead of exact ones.
     """
-    with passes_over(df) as even:
-        return _facts(even, set(parts), approximate)
-
-
-def _facts(df: DataFrame, parts: set[str], approximate: bool) -> DataFrame:
+    parts = set(parts)
     found = _wide(df, parts)
     labels = label_columns(df)
     rows = next(iter(found.values()))["rows"] if found else 0

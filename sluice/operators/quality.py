@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import profile
-from sluice.session import passes_over, small_frame
+from sluice.session import small_frame
 
 # Weight of each dimension in the overall score.
 WEIGHTS = {
@@ -362,22 +362,24 @@ def column_profiles(facts: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 class Scan:
-    """A full scan: the passes over the data run once, the rest is derived."""
+    """A full scan: the passes over the data run once, the rest is derived from their few rows."""
 
     def __init__(self, df: DataFrame, approximate: bool = False):
-        with passes_over(df) as even:
-            self.facts = profile.facts(even, approximate=approximate)
-            counted = profile.duplicates(even).first()
-        self.duplicates = small_frame(df.sparkSession, [tuple(counted)], "rows bigint, copies bigint")
+        spark = df.sparkSession
+        self.facts = profile.facts(df, approximate=approximate)
+        counted = profile.duplicates(df).first()
+        self.duplicates = small_frame(spark, [tuple(counted)], "rows bigint, copies bigint")
+        found = issues(self.facts, self.duplicates)
+        self._issues = small_frame(spark, [tuple(r) for r in found.collect()], found.schema)  # a few per column
 
     def issues(self) -> DataFrame:
-        return ranked(issues(self.facts, self.duplicates))
+        return ranked(self._issues)
 
     def scores(self) -> DataFrame:
         return scores(self.facts, self.duplicates)
 
     def profiles(self) -> DataFrame:
-        return column_profiles(self.facts, issues(self.facts, self.duplicates))
+        return column_profiles(self.facts, self._issues)
 
 
 # --- scan history -----------------------------------------------------------

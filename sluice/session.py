@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,28 +64,14 @@ SMALL_INPUT = 256 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a part of a small input that sits in too few files or row groups.
 
-    Larger inputs have more splits than cores and stay as they are, without a shuffle.
+    Worth it before work that is heavy per row, such as many patterns per text. Larger inputs have more splits than cores and stay as they are, without a shuffle.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT or df.is_cached:
+    if size > SMALL_INPUT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-@contextmanager
-def passes_over(df: DataFrame) -> Iterator[DataFrame]:
-    """For several passes in a row: a small input is spread and held, a large one read each time."""
-    even = spread(df)
-    if even is df:
-        yield df
-        return
-    even = even.persist()
-    try:
-        yield even
-    finally:
-        even.unpersist()
-
-
 def shuffle_buckets(spark: SparkSession) -> int:
     """How many slices a hot group is split into: follows the cluster's own width."""
     return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
