@@ -11,6 +11,14 @@ def scalar(df: DataFrame, expression: Column) -> Column:
     return df.agg(expression.alias("value")).scalar()
 
 
+def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+    """The columns of other one-row frames next to those of a one-row frame, as scalar subqueries."""
+    for other in others:
+        row = other.select(F.struct(*other.columns)).scalar()
+        one = one.select("*", *[row[c].alias(c) for c in other.columns])
+    return one
+
+
 def mean_of(df: DataFrame, column: str) -> Column:
     return scalar(df, F.avg(F.col(column).cast("double")))
 

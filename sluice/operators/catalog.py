@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.scalars import beside
+
 TYPES = ("dataset", "pipeline", "model", "benchmark")
 
 
@@ -69,4 +71,4 @@ def stats(assets: DataFrame, installs: DataFrame) -> DataFrame:
         kind("model").alias("total_models"),
         F.coalesce(F.sum("download_count"), F.lit(0)).cast("bigint").alias("total_downloads"),
     )
-    return counted.crossJoin(installs.agg(F.count(F.lit(1)).alias("total_installs")))  # one row each
+    return beside(counted, installs.agg(F.count(F.lit(1)).alias("total_installs")))

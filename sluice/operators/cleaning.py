@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.functions.draws import wide_draw
 from sluice.functions.quantiles import quantiles
 from sluice.functions.ranks import lowest_draws, rank_by_draw
-from sluice.functions.scalars import mean_of, mode_of
+from sluice.functions.scalars import beside, mean_of, mode_of
 from sluice.functions.types import is_numeric
 from sluice.operators import profile
 
@@ -57,7 +57,7 @@ def preview(df: DataFrame, issues: Sequence[dict]) -> DataFrame:
         )
     one = df.agg(*(counts or [F.lit(0).alias("none")]))
     if copies:
-        one = one.crossJoin(profile.duplicates(df).select("copies"))  # one row each
+        one = beside(one, profile.duplicates(df).select("copies"))
     return one.select(F.inline(F.array(*entries)))
 
 

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.scalars import beside
 from sluice.functions.times import age_days, as_time, moment
 from sluice.operators.pii import RANKS, rank_of
 from sluice.session import small_frame
@@ -256,7 +257,7 @@ def risk_score(catalog: Catalog, violations: DataFrame, as_of: str) -> DataFrame
         F.count_if(F.col("severity") == "warning").alias("warning_open"),
     )
     n = F.col
-    parts = sets.crossJoin(opened).select(  # one row each
+    parts = beside(sets, opened).select(
         "total",
         (40 - F.least(F.lit(40), n("critical_sets") * 15 + n("high_sets") * 7)).alias("pii_exposure"),
         (30 - F.least(F.lit(30), n("critical_open") * 10 + n("warning_open") * 4)).alias("policy_failures"),
@@ -289,7 +290,7 @@ def dashboard(catalog: Catalog, violations: DataFrame, events: DataFrame, as_of:
     opened = violations.agg(F.count_if(~F.col("resolved")).alias("violations"))
     since = moment(as_of) - F.expr("INTERVAL 7 DAYS")
     recent = events.agg(F.count_if(as_time("created_at") >= since).alias("audit_events_7d"))
-    return sets.crossJoin(opened).crossJoin(recent)  # one row each
+    return beside(sets, opened, recent)
 
 
 def coverage(catalog: Catalog) -> DataFrame:
@@ -336,7 +337,7 @@ def recommendations(inventory: DataFrame, findings: DataFrame, status: DataFrame
     failing = status.agg(
         F.count_if((F.col("status") == "fail") & (F.col("severity") == "critical")).alias("failing")
     )
-    one = sets.crossJoin(names).crossJoin(failing)  # one row each
+    one = beside(sets, names, failing)
     lines = F.array(
         F.when(F.col("unscanned") > 0, F.format_string("Scan %d unscanned dataset(s) for PII exposure.", "unscanned")),
         F.when(F.col("names") != "", F.format_string("Anonymize critical PII columns in: %s.", "names")),

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.scalars import beside
 from sluice.functions.text import plain_text, stars
 from sluice.session import small_frame, spread
 
@@ -294,7 +295,7 @@ def scan(df: DataFrame) -> DataFrame:
     )
     listed = found.agg(F.array_sort(F.collect_list(entry)).alias("findings"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rollup(found, total).crossJoin(listed)  # one row each
+    return beside(rollup(found, total), listed)
 
 
 def rank_of(severity: Column) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.scalars import beside
 from sluice.operators import profile
 from sluice.session import small_frame
 
@@ -147,7 +148,7 @@ def mixed_case_issues(facts: DataFrame) -> DataFrame:
 
 def consistency(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
     mixed = _mixed_columns(facts).agg(F.count(F.lit(1)).alias("mixed"))
-    both = duplicates.crossJoin(mixed)  # one row each
+    both = beside(duplicates, mixed)
     return both.select(_score(percent(F.col("copies"), F.col("rows")) * 2 + F.col("mixed") * 2).alias("consistency"))
 
 
@@ -307,7 +308,7 @@ def scores(facts: DataFrame, duplicates: DataFrame, weights: dict[str, float] |
     parts = [
         completeness(facts), consistency(facts, duplicates), accuracy(facts), distribution(facts), label_quality(facts)
     ]
-    joined = reduce(DataFrame.crossJoin, parts)  # one row each
+    joined = beside(*parts)
     weights = weights or WEIGHTS
     total = reduce(lambda a, b: a + b, [F.col(name) * F.lit(w) for name, w in weights.items()])
     return joined.select(F.round(total, 1).alias("overall"), *WEIGHTS)
