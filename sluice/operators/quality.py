@@ -108,16 +108,20 @@ def null_issues(facts: DataFrame) -> DataFrame:
     )
 
 
-def completeness(facts: DataFrame) -> DataFrame:
+def _completeness() -> Column:
     kept = F.avg(F.greatest(F.lit(0.0), 100 - _null_pct() * 1.5))
-    return facts.agg(F.round(F.coalesce(kept, F.lit(100.0)), 1).alias("completeness"))
+    return F.round(F.coalesce(kept, F.lit(100.0)), 1).alias("completeness")
+
+
+def completeness(facts: DataFrame) -> DataFrame:
+    return facts.agg(_completeness())
 
 
 # --- consistency ------------------------------------------------------------
 
 
-def _mixed_columns(facts: DataFrame) -> DataFrame:
-    return facts.where((F.col("kind") == "string") & (_present() >= 10) & (_mixed() > 0) & (_mixed() / _present() > 0.05))
+def _is_mixed() -> Column:
+    return (F.col("kind") == "string") & (_present() >= 10) & (_mixed() > 0) & (_mixed() / _present() > 0.05)
 
 
 def duplicate_issues(duplicates: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def duplicate_issues(duplicates: DataFrame) -> DataFrame:
 
 def mixed_case(facts: DataFrame) -> DataFrame:
     """Per text column the values that are neither all lower nor all upper case."""
-    flagged = (_present() >= 10) & (_mixed() > 0) & (_mixed() / _present() > 0.05)
+    flagged = _is_mixed()
     return facts.where(F.col("kind") == "string").select(
         "column", _present().alias("non_null"), "lower_n", "upper_n", _mixed().alias("mixed_n"), flagged.alias("flagged")
     )
@@ -141,15 +145,17 @@ def mixed_case_issues(facts: DataFrame) -> DataFrame:
     pct = _mixed() / _present() * 100
     text = F.format_string("Mixed case values in '%s' (%.1f%% inconsistent)", F.col("column"), pct)
     return _issues(
-        _mixed_columns(facts), F.col("column"), "mixed_case", "consistency", F.lit("info"), text, _mixed(), pct,
+        facts.where(_is_mixed()), F.col("column"), "mixed_case", "consistency", F.lit("info"), text, _mixed(), pct,
         F.lit(1.0), "auto",
     )
 
 
+def _consistency() -> Column:
+    return _score(percent(F.col("copies"), F.col("rows")) * 2 + F.col("mixed") * 2).alias("consistency")
+
+
 def consistency(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
-    mixed = _mixed_columns(facts).agg(F.count(F.lit(1)).alias("mixed"))
-    both = beside(duplicates, mixed)
-    return both.select(_score(percent(F.col("copies"), F.col("rows")) * 2 + F.col("mixed") * 2).alias("consistency"))
+    return beside(duplicates, facts.agg(F.count_if(_is_mixed()).alias("mixed"))).select(_consistency())
 
 
 # --- accuracy ---------------------------------------------------------------
@@ -177,9 +183,13 @@ def outliers(facts: DataFrame) -> DataFrame:
     )
 
 
-def accuracy(facts: DataFrame) -> DataFrame:
+def _accuracy() -> Column:
     penalty = F.when(F.col("outliers") > 0, _at_most(_out_pct() * 1.2, 15)).otherwise(F.lit(0.0))
-    return facts.agg(_score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("accuracy"))
+    return _score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("accuracy")
+
+
+def accuracy(facts: DataFrame) -> DataFrame:
+    return facts.agg(_accuracy())
 
 
 # --- distribution -----------------------------------------------------------
@@ -227,9 +237,13 @@ def imbalance_issues(facts: DataFrame) -> DataFrame:
     )
 
 
-def distribution(facts: DataFrame) -> DataFrame:
+def _distribution() -> Column:
     penalty = F.when(_skewed(), 5.0).when(_dominated(), 8.0)  # mean over flagged columns only
-    return facts.agg(_score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("distribution"))
+    return _score(F.coalesce(F.avg(penalty), F.lit(0.0))).alias("distribution")
+
+
+def distribution(facts: DataFrame) -> DataFrame:
+    return facts.agg(_distribution())
 
 
 # --- label quality ----------------------------------------------------------
@@ -272,12 +286,16 @@ def label_imbalance_issues(facts: DataFrame) -> DataFrame:
     )
 
 
+def _label_quality() -> Column:
+    missing = F.when(F.col("is_label") & (F.col("nulls") > 0), _at_most(_null_pct() * 2, 30))
+    lopsided = F.when(F.col("is_label") & _lopsided(), F.lit(10.0))
+    total = F.coalesce(F.sum(missing), F.lit(0.0)) + F.coalesce(F.sum(lopsided), F.lit(0.0))
+    number = F.count(missing) + F.count(lopsided)
+    return _score(F.when(number > 0, total / number).otherwise(F.lit(0.0))).alias("label_quality")
+
+
 def label_quality(facts: DataFrame) -> DataFrame:
-    both = F.array(
-        F.when(F.col("nulls") > 0, _at_most(_null_pct() * 2, 30)), F.when(_lopsided(), F.lit(10.0))
-    )
-    penalties = facts.where("is_label").select(F.explode(both).alias("p"))
-    return penalties.agg(_score(F.coalesce(F.avg("p"), F.lit(0.0))).alias("label_quality"))
+    return facts.agg(_label_quality())
 
 
 # --- together ---------------------------------------------------------------
@@ -305,13 +323,12 @@ def ranked(issues: DataFrame) -> DataFrame:
 
 def scores(facts: DataFrame, duplicates: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One row: the five dimension scores and their weighted sum."""
-    parts = [
-        completeness(facts), consistency(facts, duplicates), accuracy(facts), distribution(facts), label_quality(facts)
-    ]
-    joined = beside(*parts)
-    weights = weights or WEIGHTS
-    total = reduce(lambda a, b: a + b, [F.col(name) * F.lit(w) for name, w in weights.items()])
-    return joined.select(F.round(total, 1).alias("overall"), *WEIGHTS)
+    over_columns = facts.agg(
+        _completeness(), _accuracy(), _distribution(), _label_quality(), F.count_if(_is_mixed()).alias("mixed")
+    )
+    both = beside(over_columns, duplicates).withColumn("consistency", _consistency())
+    total = reduce(lambda a, b: a + b, [F.col(name) * F.lit(w) for name, w in (weights or WEIGHTS).items()])
+    return both.select(F.round(total, 1).alias("overall"), *WEIGHTS)
 
 
 def column_scores(facts: DataFrame, issues: DataFrame) -> DataFrame:
