@@ -60,7 +60,9 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 def _utf8(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "texts") + ".csv"
     table(spark, d, "documents").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(path)
-    return files.invalid_utf8(spark, path)
+    return files.invalid_utf8(spark, path).agg(
+        F.sum("lines").alias("lines"), F.sum("invalid_lines").alias("invalid_lines")
+    )
 
 
 QUERIES = {
@@ -98,5 +100,6 @@ SQL = {
         UNION ALL SELECT 5, 'l_returnflag', 'string', bool_or(l_returnflag IS NULL) FROM t
         UNION ALL SELECT 6, 'l_suppkey', 'integer', bool_or(l_suppkey IS NULL) FROM t""",
     "io_versioned_write": "SELECT s_suppkey, lower(s_name) AS s_name, s_nationkey, s_acctbal FROM supplier",
+    "io_utf8": "SELECT count(*) AS lines, 0 AS invalid_lines FROM documents",
     "io_summary": "SELECT count(*) AS row_count, 6 AS column_count FROM orders",
 }

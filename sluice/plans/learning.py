@@ -76,7 +76,7 @@ CANDIDATES = Derived(
 RESULT_COLUMNS = ("candidate_no", "candidate_id", "status", "accuracy", "f1", "r2")
 ROUNDS = Derived(
     "conversations",
-    {"session_id": "conv_id", "round": "turn", "accuracy": "length(text) % 101 * 0.01"},
+    {"session_id": "conv_id", "round": "turn", "accuracy": "CAST(length(text) % 101 AS DOUBLE) / 100"},
 )
 SCORED = Derived(
     "customer",
