@@ -93,3 +93,21 @@ def test_wide_tables_are_taken_in_blocks(spark, monkeypatch):
     df = spark.range(30).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(5)])
     got = {r["column"]: (r["min"], r["max"]) for r in profile.facts(df).collect()}
     assert got == {f"c{i}": (float(i), float(i + 29)) for i in range(5)}
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    context = spark.sparkContext
+
+    def jobs(columns):
+        df = spark.range(200).select(
+            *[(F.col("id") % (7 + i)).alias(f"n{i}") for i in range(columns)],
+            *[F.concat(F.lit("v"), F.col("id") % (3 + i)).alias(f"s{i}") for i in range(columns)],
+        )
+        group = f"facts over {columns}"
+        context.setJobGroup(group, group)
+        profile.facts(df)
+        profile.duplicates(df).first()
+        context.setJobGroup("other", "other")
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2) == jobs(12)
