@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import contamination, langid, packing, token_files
+from sluice.llm import contamination, langid, neardup, packing, secrets, token_files, topk, toxicity
 from sluice.llm import texts as X
 from sluice.llm.sql import SQL  # noqa: F401
 from sluice.session import checkpoint_dir
@@ -46,9 +46,36 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.digest(found)
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learnt from the rows that are not held out."""
+    docs = _table(spark, folder, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return found.select(F.col("key").alias("doc_id"), X.held_out(F.col("key")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return neardup.near_duplicates(_table(spark, folder, "documents"), k=4).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_near_duplicates": op10_near_duplicates,
 }

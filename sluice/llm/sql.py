@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sluice.llm.secrets import BASE, RULES
+
 OP5 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -32,4 +34,71 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op5_decontamination": OP5}
+
+
+def _secrets() -> str:
+    """Spans by cutting each text at a rule's matches and adding up the lengths of what comes before."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT id, {rank} AS rank, '{rule.kind}' AS kind,
+    unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': CAST(coalesce(list_sum(list_transform(b[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS BIGINT), 'n': length(m[i]), 'g': length(g[i])}})) AS u, {rule.least} AS least
+  FROM (SELECT id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS b FROM d)""")
+    base = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (SELECT id, rank, kind, u.s AS s, kind || ':' || u.s || ':' || (u.s + u.n) AS x FROM found WHERE u.g >= least),
+docs AS (
+  SELECT id, {base}, string_agg(x, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN docs USING (id)
+"""
+
+
+OP8 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q, e c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_SHINGLES = r"""
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM {source}
+), sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {k} THEN w ELSE list_slice(w, p, p + {k} - 1) END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k} + 1, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, component_id) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.component_id FROM reach r JOIN edges e ON e.a = r.doc_id
+), least AS (
+  SELECT doc_id, min(component_id) AS component_id FROM reach GROUP BY doc_id
+)"""
+
+OP10 = f"""
+WITH RECURSIVE {_SHINGLES.format(source="documents", k=4)}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op5_decontamination": OP5,
+    "op6_secret_scan": _secrets(),
+    "op8_exact_top_k": OP8,
+    "op10_near_duplicates": OP10,
+}
