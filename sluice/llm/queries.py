@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import contamination, langid, neardup, packing, secrets, token_files, topk, toxicity
+from sluice.llm import contamination, langid, neardup, packing, secrets, token_files, topk, toxicity, urls
 from sluice.llm import texts as X
 from sluice.llm.sql import SQL  # noqa: F401
 from sluice.session import checkpoint_dir
@@ -64,6 +64,11 @@ def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge(_table(spark, folder, "pages")).select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return neardup.near_duplicates(_table(spark, folder, "documents"), k=4).withColumnRenamed("key", "doc_id")
@@ -77,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_url_filter": op9_url_filter,
     "op10_near_duplicates": op10_near_duplicates,
 }
