@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import contamination, langid, neardup, packing, secrets, token_files, topk, toxicity, urls
+from sluice.llm import contamination, langid, neardup, packing, secrets, suffixes, token_files, topk, toxicity, urls
 from sluice.llm import texts as X
 from sluice.llm.sql import SQL  # noqa: F401
 from sluice.session import checkpoint_dir
@@ -28,6 +28,12 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the passages of 100 bytes or more that have come before."""
+    found = suffixes.deduplicated(_table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, from context trees of the rows that are not held out."""
     docs = _table(spark, folder, "documents")
@@ -76,6 +82,7 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
