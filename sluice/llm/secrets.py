@@ -174,9 +174,10 @@ def trigram_query(pattern: str) -> Clauses:
     return _all([*queries, *_mandatory(strings)])
 
 
-def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+def _texts(df: DataFrame, key: str, text: str, carry: str | None = None) -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("key"), whole.alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = df.select(F.col(key).cast("long").alias("key"), whole.alias("text"), *([F.col(carry)] if carry else []))
+    return rows.withColumn("mark", F.xxhash64("text"))
 
 
 def build_index(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,9 +243,9 @@ def _spans(rule: Rule, rank: int) -> Column:
     return F.when(F.rlike(text, pattern), walked).otherwise(none)
 
 
-def scan(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text`` and all ``spans`` of every row, sorted by start and then by the order of the rules."""
-    texts = _texts(df, key, text)
+def scan(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """``key``, ``text``, a column to ``carry`` along, and all ``spans`` of every row, sorted by start and then by the order of the rules."""
+    texts = _texts(df, key, text, carry)
     met = candidates(build_index(df, rules, key, text), rules).select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), "kinds")
     joined = texts.join(met, F.col("key").eqNullSafe(F.col("__key")) & (F.col("mark") == F.col("__mark")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -252,7 +253,7 @@ def scan(df: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text
     for rank, rule in enumerate(rules):
         spans = _spans(rule, rank)
         each.append(F.when(F.array_contains(F.coalesce(F.col("kinds"), F.array().cast("array<string>")), rule.kind), spans).otherwise(none) if trigram_query(rule.pattern) else spans)
-    return joined.select("key", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    return joined.select("key", "text", *([carry] if carry else []), F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -270,15 +271,15 @@ def digest(found: DataFrame, base: Sequence[Rule] = BASE) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(of, kinds), F.sha2(spans_text(own), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def redacted(found: DataFrame, mark: str = "[secret]") -> Column:
-    """``text`` of a scan with every span replaced; spans that overlap are replaced together."""
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """A text with every span replaced; spans that overlap are replaced together."""
 
     def cut(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         kept = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), kept.alias("out"))
 
     def close(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
+        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
 
-    return F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, close))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, close)
