@@ -24,80 +24,96 @@ TOTAL_BITS, BASE_BITS = 15, 12
 TOTAL = 1 << TOTAL_BITS
 SPIKES = TOTAL - (1 << BASE_BITS) - 2  # most that orders 1 and 2 may weigh together
 #: Steps after which order 0 takes in what it has counted.
-REFRESH = frozenset({8, 16, 32, 64, 96, 128, 192, 256, 384, 512, 768})
+REFRESH = frozenset({8, 32, 96, 224, 480})
 U = np.uint32
 _WORD, _LIMIT = U(16), U(1 << 16)
+_SHARE = np.array([0, *((1 << 31) // np.arange(1, BLOCK + 8))], U)  # 2**31 over a count
 
 
 class Model:
-    """The statistics of ``n`` blocks."""
+    """The statistics of ``n`` blocks. Places in its tables are kept as flat positions."""
 
     def __init__(self, n: int):
-        self.n, self.row = n, np.arange(n)
-        self.at = [self.row * SLOTS, self.row * SLOTS]
+        self.n, row = n, np.arange(n)
+        self.slots, self.cells, self.base = row * SLOTS, row * 256, row * 257
         self.guess = [np.full(n * SLOTS, 0xFFFF, np.uint16) for _ in range(2)]
         self.last, self.before = np.zeros(n, U), np.zeros(n, U)
         self.uses = [np.full(n, 4, U) for _ in range(2)]
         self.hits = [np.ones(n, U) for _ in range(2)]
         self.low_hits = [np.ones(n, U) for _ in range(2)]
-        self.counts = [np.ones((n, 256), np.uint16) for _ in range(2)]
-        self.sums = [np.zeros((n, 257), np.uint16) for _ in range(2)]
-        for which in range(2):
-            self._refresh(which)
-        self.base = self.row * 257
+        self.counts = [np.ones(n * 256, np.uint16) for _ in range(2)]
+        self.sums = [np.zeros(n * 257, U) for _ in range(2)]
+        self._refresh()
 
-    def _refresh(self, which: int) -> None:
+    def _refresh(self) -> None:
         """Order 0's frequencies, scaled to a fixed sum with at least 1 for every byte."""
-        upto = np.cumsum(self.counts[which], axis=1, dtype=U)
-        room = U((1 << BASE_BITS) - 256)
-        self.sums[which][:, 1:] = upto * room // upto[:, -1:] + np.arange(1, 257, dtype=U)
+        for counts, sums in zip(self.counts, self.sums):
+            upto = np.cumsum(counts.reshape(-1, 256), axis=1, dtype=U)
+            scaled = (upto * (((1 << BASE_BITS) - 256) / upto[:, -1:])).astype(U)
+            np.add(scaled, np.arange(1, 257, dtype=U), out=sums.reshape(-1, 257)[:, 1:])
 
     def predict(self) -> None:
         """What orders 1 and 2 expect, and how much each weighs for the high byte."""
         one = (self.last * U(0x9E3779B1)) >> U(23)
         two = ((self.last * U(0x85EBCA6B)) ^ (self.before * U(0xC2B2AE35) + (self.before >> U(3)))) * U(0x9E3779B1) >> U(23)
-        self.slot = [self.at[0] + one, self.at[1] + two]
-        expected = [g[s] for g, s in zip(self.guess, self.slot)]
-        self.live = [e != 0xFFFF for e in expected]
-        self.high = [(e >> np.uint16(8)).astype(U) for e in expected]
-        self.low = [(e & np.uint16(255)).astype(U) for e in expected]
-        self.spike = self._weights([self.hits[k] * U(TOTAL) // self.uses[k] * self.live[k] for k in range(2)])
+        self.slot = [self.slots + one.astype(np.int64), self.slots + two.astype(np.int64)]
+        expected = [g.take(s, mode="wrap").astype(U) for g, s in zip(self.guess, self.slot)]
+        self.live = [e != U(0xFFFF) for e in expected]
+        self.high = [e >> U(8) for e in expected]
+        self.low = [e & U(255) for e in expected]
+        self.spike = self._weights([self._share(self.hits[k], self.uses[k]) * self.live[k] for k in range(2)])
+
+    @staticmethod
+    def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """``part`` of ``whole``, out of ``TOTAL``."""
+        return (part * _SHARE.take(whole, mode="wrap")) >> _WORD
 
     @staticmethod
     def _weights(trust: list[np.ndarray]) -> list[np.ndarray]:
         """Trust in order 2 comes first; order 1 gets its part of what is left."""
         two = np.minimum(trust[1], U(SPIKES))
-        return [np.minimum(trust[0], U(TOTAL)) * (U(SPIKES) - two) >> U(TOTAL_BITS), two]
+        return [trust[0] * (U(SPIKES) - two) >> U(TOTAL_BITS), two]
 
     def expect_low(self, high: np.ndarray) -> None:
         """Weights for the low byte: only predictions whose high byte has come true count."""
         self.right = [self.live[k] & (self.high[k] == high) for k in range(2)]
-        self.low_spike = self._weights([self.low_hits[k] * U(TOTAL) // self.hits[k] * self.right[k] for k in range(2)])
+        self.low_spike = self._weights([self._share(self.low_hits[k], self.hits[k]) * self.right[k] for k in range(2)])
 
     def interval(self, which: int, byte: np.ndarray, predicted: list[np.ndarray], spike: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Where a byte's interval starts in the mixture, and its width."""
         rest = U(TOTAL) - spike[0] - spike[1]
-        place = self.base + byte
-        flat = self.sums[which].reshape(-1)
-        start = flat[place] * rest >> U(BASE_BITS)
-        end = flat[place + 1] * rest >> U(BASE_BITS)
+        place = self.base + byte.astype(np.int64)
+        start = self.sums[which].take(place, mode="wrap") * rest >> U(BASE_BITS)
+        place += 1
+        width = (self.sums[which].take(place, mode="wrap") * rest >> U(BASE_BITS)) - start
         for k in range(2):
             start += spike[k] * (predicted[k] < byte)
-            end += spike[k] * (predicted[k] <= byte)
-        return start, end - start
+            width += spike[k] * (predicted[k] == byte)
+        return start, width
 
     def find(self, which: int, value: np.ndarray, predicted: list[np.ndarray], spike: list[np.ndarray]) -> np.ndarray:
-        """The byte in whose interval ``value`` lies: the last one that starts at or before it."""
+        """The byte in whose interval ``value`` lies.
+
+        Up to a predicted byte the mixture is order 0 alone; after it, order 0
+        moved on by the weight of the prediction. So the weights of predictions
+        that end before the value are taken off, and order 0 is searched.
+        """
         rest = U(TOTAL) - spike[0] - spike[1]
-        flat = self.sums[which].reshape(-1)
-        byte = np.zeros(self.n, U)
+        sums = self.sums[which]
+        swap = predicted[0] > predicted[1]
+        small, large = np.minimum(*predicted), np.maximum(*predicted)
+        small_spike, large_spike = np.where(swap, spike[1], spike[0]), np.where(swap, spike[0], spike[1])
+        after_small = sums.take(self.base + small.astype(np.int64) + 1, mode="wrap") * rest >> U(BASE_BITS)
+        after_large = sums.take(self.base + large.astype(np.int64) + 1, mode="wrap") * rest >> U(BASE_BITS)
+        # a value inside a prediction's own weight becomes the last value of that byte
+        value = np.where(value >= after_small + small_spike, value - small_spike, np.minimum(value, after_small - U(1)))
+        value = np.where(value >= after_large + large_spike, value - large_spike, np.where(value >= after_large, after_large - U(1), value))
+        bound = (((value + U(1)) << U(BASE_BITS)) - U(1)) // rest
+        place = self.base.copy()
         for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            more = byte + U(step)
-            start = flat[self.base + more] * rest >> U(BASE_BITS)
-            start += spike[0] * (predicted[0] < more)
-            start += spike[1] * (predicted[1] < more)
-            byte += U(step) * (start <= value)
-        return byte
+            more = place + step
+            place += (sums.take(more, mode="wrap") <= bound) * np.int64(step)
+        return (place - self.base).astype(U)
 
     def update(self, ids: np.ndarray, high: np.ndarray, low: np.ndarray, step: int) -> None:
         for k in range(2):
@@ -105,11 +121,11 @@ class Model:
             self.hits[k] += self.right[k]
             self.low_hits[k] += self.right[k] & (self.low[k] == low)
             self.guess[k][self.slot[k]] = ids
-        self.counts[0][self.row, high] += np.uint16(16)
-        self.counts[1][self.row, low] += np.uint16(16)
+        for counts, byte in zip(self.counts, (high, low)):
+            cell = self.cells + byte.astype(np.int64)
+            counts[cell] = counts.take(cell, mode="wrap") + np.uint16(16)
         if step + 1 in REFRESH:
-            self._refresh(0)
-            self._refresh(1)
+            self._refresh()
         self.before, self.last = self.last, ids
 
 
@@ -134,7 +150,7 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, int, int]]:
     model = Model(n)
     low, width = np.zeros(n, U), np.full(n, 0xFFFFFFFF, U)
     words = np.zeros((2 * steps + 4, n), U)
-    flat, used = words.reshape(-1), np.zeros(n, np.int64)
+    flat, used, rows = words.reshape(-1), np.zeros(n, np.int64), np.arange(n)
 
     def put(start: np.ndarray, span: np.ndarray) -> None:
         nonlocal low, width
@@ -160,7 +176,7 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, int, int]]:
         put(*model.interval(1, less, model.low, model.low_spike))
         model.update(symbol, high, less, step)
     for shift in (16, 0):  # what is left in the coder
-        flat[used * n + model.row] = (low >> U(shift)) & U(0xFFFF)
+        flat[used * n + rows] = (low >> U(shift)) & U(0xFFFF)
         used += 1
     for at in range(int(used.max()) - 1, 0, -1):  # carries that ran over a word
         words[at - 1] += words[at] >> _WORD
