@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows a task may sort all values of one column.
-ONE_PASS_ROWS = 1_000_000
+from sluice.session import small_frame
 
 
 def quantiles(
@@ -17,20 +16,18 @@ def quantiles(
     probs: Sequence[float],
     rows: int | None = None,
     approximate: bool = False,
-    one_pass_rows: int = ONE_PASS_ROWS,
 ) -> DataFrame:
     """One row per column: ``column``, ``n`` (non-null) and ``q`` (array, as ``probs``).
 
-    Small inputs sort each column's values in a task of its own. Larger ones
-    take two passes: a sketch brackets each quantile within its guaranteed rank
-    error, then the values in the brackets are counted exactly and the order
-    statistics read off. ``approximate`` stops at the sketch.
+    Two passes, whatever the size: a sketch brackets each quantile within its
+    guaranteed rank error, then the values in the brackets are counted exactly
+    and the order statistics read off. ``approximate`` stops at the sketch.
     """
     numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     if approximate:
         return _sketched(numbers, columns, probs)
     rows = df.count() if rows is None else rows
-    return _sorted(numbers, columns, probs) if rows <= one_pass_rows else _bracketed(numbers, columns, probs, rows)
+    return _bracketed(numbers, columns, probs, rows)
 
 
 def _sketched(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -45,23 +42,6 @@ def _sketched(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]
     return wide.select(F.inline(F.array(*entries)))
 
 
-def _sorted(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in columns])
-    long = numbers.select(*[F.col(f"c{i}").alias(str(i)) for i in range(len(columns))]).unpivot(
-        [], [str(i) for i in range(len(columns))], "at", "x"
-    )
-    values = long.groupBy(names[F.col("at").cast("int")].alias("column")).agg(F.sort_array(F.collect_list("x")).alias("v"))
-
-    def quantile(p: Column) -> Column:
-        spot = p * (F.size("v") - 1)
-        low, high = (F.element_at("v", (f(spot) + 1).cast("int")) for f in (F.floor, F.ceil))
-        part = spot - F.floor(spot)
-        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
-
-    found = F.transform(F.array(*[F.lit(float(p)) for p in probs]), quantile)
-    return values.select("column", F.size("v").cast("bigint").alias("n"), F.when(F.size("v") > 0, found).alias("q"))
-
-
 def _bracketed(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int) -> DataFrame:
     accuracy = int(min(100_000, max(1_000, rows // 10_000)))
     margin = 2.0 / accuracy
@@ -72,6 +52,8 @@ def _bracketed(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float
         *[F.percentile_approx(f"c{i}", edges, accuracy).alias(f"e{i}") for i in range(len(columns))],
     ).first()  # one row, as wide as the schema
     known = [i for i in range(len(columns)) if wide[f"n{i}"] > 0]
+    if not known:
+        return small_frame(numbers.sparkSession, [(c, 0, None) for c in columns], "column string, n bigint, q array<double>")
     hits = []
     for i in known:
         value = F.col(f"c{i}")

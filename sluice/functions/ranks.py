@@ -97,6 +97,18 @@ def rank_by_draw(
     return ranked.select(*df.columns, name, *([group_size] if group_size else []))
 
 
+def take_ranks(picks: DataFrame, ranked: DataFrame, size: int, n: int, rank: str = "__rank") -> DataFrame:
+    """Join ``n`` drawn ranks (with the draw's number ``__pick``) with the ``size`` rows that hold them.
+
+    Each of few rows may be drawn very often, so rows are repeated over salts,
+    as often as a row is drawn on average and never beyond ``SALTS``.
+    """
+    salts = max(1, min(SALTS, n // max(size, 1)))
+    salted = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return picks.withColumn("__salt", F.pmod(F.xxhash64("__pick"), F.lit(salts)).cast("int")).join(salted, [rank, "__salt"]).drop("__salt")
+
+
+SALTS = 64
 FINE_SLICES = 65_536
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -49,6 +50,13 @@ def groupable_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
 
 
+def comparable(df: DataFrame) -> tuple[list[str], dict[str, Column]]:
+    """The columns by which rows can be grouped, and for every map a column of its sorted entries."""
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    entries = {f"__entries_{i}": F.array_sort(F.map_entries(f"`{c}`")) for i, c in enumerate(maps)}
+    return [*groupable_columns(df), *entries], entries
+
+
 def kind_of(data_type: T.DataType) -> str:
     if is_numeric(data_type):
         return "numeric"

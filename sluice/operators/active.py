@@ -160,11 +160,6 @@ def should_stop(
     return reached or round_no >= max_rounds or batch_empty
 
 
-def append_round(history: list[dict], round_no: int, labelled: int, metrics: dict, **more) -> list[dict]:
-    previous = history[-1]["metrics"] if history else None
-    return [*history, {"round": round_no, "labeled_count": labelled, "metrics": metrics, "previous": previous, **more}]
-
-
 def export_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Labelled rows with the label they were given, in key order."""
     assigned = labels.select(F.col(key).alias("__key"), F.col("label").alias("assigned_label"))

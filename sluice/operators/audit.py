@@ -19,10 +19,10 @@ CATEGORIES = {
     "marketplace": "marketplace",
     "settings": "settings",
 }
+# The header of an export.
 EXPORT_COLUMNS = (
     "id", "event_type", "category", "entity_type", "entity_id", "entity_name", "duration_ms", "created_at", "metadata",
 )
-EXPORT_ROWS = 10_000
 
 
 def category(event_type: Column) -> Column:
@@ -64,9 +64,9 @@ def excerpt(log: DataFrame, limit: int = 50) -> DataFrame:
     return search(log, category="compliance", limit=limit).select("event_type", "entity_name", "created_at", "metadata")
 
 
-def export(log: DataFrame, rows: int = EXPORT_ROWS) -> DataFrame:
-    """The newest events with the metadata as JSON text, for a CSV sink."""
-    newest = search(log, limit=rows)
+def export(log: DataFrame, rows: int | None = None) -> DataFrame:
+    """All events, or the newest ``rows``, with the metadata as JSON text, for a CSV sink."""
+    newest = search(log, limit=rows) if rows is not None else log
     kind = newest.schema["metadata"].dataType.typeName()
     text = F.col("metadata") if kind == "string" else F.to_json("metadata")
     return newest.withColumn("metadata", text).select(*[c for c in EXPORT_COLUMNS if c in newest.columns])

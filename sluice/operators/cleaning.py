@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from sluice.functions.draws import wide_draw
 from sluice.functions.quantiles import quantiles
-from sluice.functions.ranks import lowest_draws, rank_by_draw
+from sluice.functions.ranks import lowest_draws, rank_by_draw, take_ranks
 from sluice.functions.scalars import beside, mean_of, mode_of
-from sluice.functions.types import is_numeric
+from sluice.functions.types import comparable, is_numeric
 from sluice.operators import profile
 
 SEED = 42
-BROADCAST_ROWS = 20_000
 
 METHODS = {
     "duplicate_rows": "drop_exact_duplicates",
@@ -72,7 +71,9 @@ def fill_nulls(df: DataFrame, column: str) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One row of each set of equal rows; maps are equal if their entries are."""
+    names, entries = comparable(df)
+    return df.withColumns(entries).dropDuplicates(names).drop(*entries)
 
 
 def lower_case(df: DataFrame, column: str) -> DataFrame:
@@ -119,11 +120,9 @@ def oversample(df: DataFrame, column: str, key: str, seed: int = SEED, sizes: Cl
         return df
     rare = rank_by_draw(df.where(F.col(column) == F.lit(sizes.minority)), [column], key, seed, "__rank")
     picks = df.sparkSession.range(sizes.gap).select(
-        (F.pmod(wide_draw(F.col("id"), seed), F.lit(sizes.smallest)) + 1).alias("__rank")
+        F.col("id").alias("__pick"), (F.pmod(wide_draw(F.col("id"), seed), F.lit(sizes.smallest)) + 1).alias("__rank")
     )
-    if sizes.smallest <= BROADCAST_ROWS:  # few rows, each drawn very often
-        rare = F.broadcast(rare)
-    return df.unionByName(picks.join(rare, "__rank").select(*df.columns))
+    return df.unionByName(take_ranks(picks, rare, sizes.smallest, sizes.gap).select(*df.columns))
 
 
 def undersample(df: DataFrame, column: str, key: str, seed: int = SEED, sizes: ClassSizes | None = None) -> DataFrame:

@@ -56,12 +56,6 @@ def default_policies() -> list[dict]:
     ]
 
 
-def with_defaults(policies: Sequence[dict]) -> list[dict]:
-    """Add the default policy of every type that is not there yet."""
-    present = {p["policy_type"] for p in policies}
-    return [*policies, *[p for p in default_policies() if p["policy_type"] not in present]]
-
-
 def latest_scans(scans: DataFrame) -> DataFrame:
     """The newest complete scan per dataset, as an aggregate without a window."""
     done = scans.where(F.col("status") == "complete")

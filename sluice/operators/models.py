@@ -132,8 +132,11 @@ class Fitted:
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:
-    """Few training rows in few partitions: iterative fits run many short jobs. Many rows stay spread."""
-    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_PARTITION)))
+    """Training rows dealt evenly over partitions of ``ROWS_PER_PARTITION``: iterative fits run many short jobs.
+
+    Only the training rows are shuffled; what reads and joins them keeps its own partitions.
+    """
+    return df.repartition(max(1, math.ceil(rows / ROWS_PER_PARTITION)))
 
 
 def _labelled(df: DataFrame, target: str, classes: Sequence[str]) -> Column:

@@ -11,86 +11,86 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scalars import beside
 from sluice.functions.text import plain_text, stars
-from sluice.session import small_frame, spread
+from sluice.session import small_frame
 
 # Keyword, category, severity and confidence. A column whose name
 # contains the keyword is a candidate; the order decides between equals.
-NAME_RULES = """
-ssn              national_id       critical  0.90
-social_security  national_id       critical  0.92
-national_id      national_id       critical  0.88
-passport         national_id       critical  0.85
-drivers_license  national_id       critical  0.85
-license_number   national_id       critical  0.80
-tax_id           national_id       critical  0.85
-nhs              national_id       critical  0.85
-credit_card      financial         critical  0.92
-card_number      financial         critical  0.90
-cvv              financial         critical  0.88
-iban             financial         critical  0.90
-account_number   financial         critical  0.82
-bank_account     financial         critical  0.85
-routing_number   financial         critical  0.85
-diagnosis        health            critical  0.85
-icd              health            critical  0.80
-condition        health            critical  0.72
-medication       health            critical  0.80
-prescription     health            critical  0.82
-medical_record   health            critical  0.85
-patient_id       health            critical  0.80
-email            contact           high      0.92
-e_mail           contact           high      0.90
-phone            contact           high      0.88
-mobile           contact           high      0.85
-telephone        contact           high      0.85
-tel              contact           high      0.75
-address          contact           high      0.78
-street           contact           high      0.75
-city             contact           high      0.60
-ip_address       contact           high      0.88
-ip               contact           high      0.72
-mac_address      contact           high      0.85
-latitude         geolocation       high      0.85
-longitude        geolocation       high      0.85
-lat              geolocation       high      0.70
-lng              geolocation       high      0.70
-gps              geolocation       high      0.80
-location         geolocation       high      0.65
-dob              quasi_identifier  high      0.90
-date_of_birth    quasi_identifier  high      0.92
-birth_date       quasi_identifier  high      0.90
-birthdate        quasi_identifier  high      0.90
-age              quasi_identifier  low       0.65
-gender           quasi_identifier  medium    0.75
-sex              quasi_identifier  medium    0.65
-race             quasi_identifier  high      0.78
-ethnicity        quasi_identifier  high      0.80
-religion         quasi_identifier  high      0.78
-nationality      quasi_identifier  medium    0.72
-zip              quasi_identifier  medium    0.80
-postal           quasi_identifier  medium    0.78
-postcode         quasi_identifier  medium    0.80
-first_name       name              medium    0.85
-last_name        name              medium    0.85
-full_name        name              medium    0.88
-surname          name              medium    0.85
-given_name       name              medium    0.85
-username         name              low       0.70
-user_id          identifier        low       0.60
-customer_id      identifier        low       0.62
-device_id        identifier        medium    0.72
-fingerprint      biometric         critical  0.80
-biometric        biometric         critical  0.85
-face             biometric         critical  0.75
-voice            biometric         critical  0.75
-salary           financial         high      0.82
-income           financial         high      0.78
-wage             financial         high      0.78
-salary_band      financial         medium    0.75
-cookie           behavioral        medium    0.72
-session_id       behavioral        medium    0.68
-token            behavioral        medium    0.60
-"""
+NAME_RULES = (
+    ("ssn", "national_id", "critical", 0.90),
+    ("social_security", "national_id", "critical", 0.92),
+    ("national_id", "national_id", "critical", 0.88),
+    ("passport", "national_id", "critical", 0.85),
+    ("drivers_license", "national_id", "critical", 0.85),
+    ("license_number", "national_id", "critical", 0.80),
+    ("tax_id", "national_id", "critical", 0.85),
+    ("nhs", "national_id", "critical", 0.85),
+    ("credit_card", "financial", "critical", 0.92),
+    ("card_number", "financial", "critical", 0.90),
+    ("cvv", "financial", "critical", 0.88),
+    ("iban", "financial", "critical", 0.90),
+    ("account_number", "financial", "critical", 0.82),
+    ("bank_account", "financial", "critical", 0.85),
+    ("routing_number", "financial", "critical", 0.85),
+    ("diagnosis", "health", "critical", 0.85),
+    ("icd", "health", "critical", 0.80),
+    ("condition", "health", "critical", 0.72),
+    ("medication", "health", "critical", 0.80),
+    ("prescription", "health", "critical", 0.82),
+    ("medical_record", "health", "critical", 0.85),
+    ("patient_id", "health", "critical", 0.80),
+    ("email", "contact", "high", 0.92),
+    ("e_mail", "contact", "high", 0.90),
+    ("phone", "contact", "high", 0.88),
+    ("mobile", "contact", "high", 0.85),
+    ("telephone", "contact", "high", 0.85),
+    ("tel", "contact", "high", 0.75),
+    ("address", "contact", "high", 0.78),
+    ("street", "contact", "high", 0.75),
+    ("city", "contact", "high", 0.60),
+    ("ip_address", "contact", "high", 0.88),
+    ("ip", "contact", "high", 0.72),
+    ("mac_address", "contact", "high", 0.85),
+    ("latitude", "geolocation", "high", 0.85),
+    ("longitude", "geolocation", "high", 0.85),
+    ("lat", "geolocation", "high", 0.70),
+    ("lng", "geolocation", "high", 0.70),
+    ("gps", "geolocation", "high", 0.80),
+    ("location", "geolocation", "high", 0.65),
+    ("dob", "quasi_identifier", "high", 0.90),
+    ("date_of_birth", "quasi_identifier", "high", 0.92),
+    ("birth_date", "quasi_identifier", "high", 0.90),
+    ("birthdate", "quasi_identifier", "high", 0.90),
+    ("age", "quasi_identifier", "low", 0.65),
+    ("gender", "quasi_identifier", "medium", 0.75),
+    ("sex", "quasi_identifier", "medium", 0.65),
+    ("race", "quasi_identifier", "high", 0.78),
+    ("ethnicity", "quasi_identifier", "high", 0.80),
+    ("religion", "quasi_identifier", "high", 0.78),
+    ("nationality", "quasi_identifier", "medium", 0.72),
+    ("zip", "quasi_identifier", "medium", 0.80),
+    ("postal", "quasi_identifier", "medium", 0.78),
+    ("postcode", "quasi_identifier", "medium", 0.80),
+    ("first_name", "name", "medium", 0.85),
+    ("last_name", "name", "medium", 0.85),
+    ("full_name", "name", "medium", 0.88),
+    ("surname", "name", "medium", 0.85),
+    ("given_name", "name", "medium", 0.85),
+    ("username", "name", "low", 0.70),
+    ("user_id", "identifier", "low", 0.60),
+    ("customer_id", "identifier", "low", 0.62),
+    ("device_id", "identifier", "medium", 0.72),
+    ("fingerprint", "biometric", "critical", 0.80),
+    ("biometric", "biometric", "critical", 0.85),
+    ("face", "biometric", "critical", 0.75),
+    ("voice", "biometric", "critical", 0.75),
+    ("salary", "financial", "high", 0.82),
+    ("income", "financial", "high", 0.78),
+    ("wage", "financial", "high", 0.78),
+    ("salary_band", "financial", "medium", 0.75),
+    ("cookie", "behavioral", "medium", 0.72),
+    ("session_id", "behavioral", "medium", 0.68),
+    ("token", "behavioral", "medium", 0.60),
+)
 
 # Pattern, category, severity and confidence, in the order that
 # decides between equals.
@@ -103,8 +103,7 @@ VALUE_RULES = (
     (r"\b3[47][0-9]{13}\b", "financial", "critical", 0.90),
     (r"\b(?:[0-9]{4}[- ]?){3}[0-9]{4}\b", "financial", "critical", 0.85),
     (
-        r"\b(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\."
-        r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
+        r"\b(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
         "contact", "high", 0.92,
     ),
     (r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}(?:[A-Z0-9]{0,16})?\b", "financial", "critical", 0.88),
@@ -118,10 +117,6 @@ RANKS = {"critical": 4, "high": 3, "medium": 2, "low": 1, "clean": 0}
 LEAST_SHARE = 0.05
 SAMPLES = 3
 
-def name_rules() -> list[tuple[str, str, str, float]]:
-    rows = [line.split() for line in NAME_RULES.strip().splitlines()]
-    return [(keyword, category, severity, float(confidence)) for keyword, category, severity, confidence in rows]
-
 
 RULE = "array<struct<rank: int, rule_no: int, category: string, severity: string, confidence: double, mark: string>>"
 
@@ -139,7 +134,7 @@ def _rules(rules: Sequence[tuple[str, str, str, float]]) -> Column:
 def name_signal(name: Column) -> Column:
     """The best name rule whose keyword occurs in ``name``, or null."""
     lowered = F.lower(name)
-    return F.array_min(F.filter(_rules(name_rules()), lambda rule: F.contains(lowered, rule["mark"])))
+    return F.array_min(F.filter(_rules(NAME_RULES), lambda rule: F.contains(lowered, rule["mark"])))
 
 
 def value_matches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -148,7 +143,7 @@ def value_matches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     One pass over whole values, counted inside one aggregate.
     """
     columns = list(columns or df.columns)
-    texts = spread(df.select(*columns)).select(*[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
+    texts = df.select(*[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
     # what a text needs at least: an @ for the first pattern, some digits for all others
     texts = texts.withColumns(
         {f"mail{i}": F.contains(f"t{i}", F.lit("@")) for i in range(len(columns))}
@@ -307,8 +302,3 @@ def scan_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Findings of several tables as one lazy union."""
     parts = [findings(df).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
-
-
-def rules_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, *rule) for i, rule in enumerate(name_rules())]
-    return small_frame(spark, rows, "rule_no int, keyword string, category string, severity string, confidence double")

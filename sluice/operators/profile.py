@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.quantiles import quantiles
-from sluice.functions.types import dtype_label, groupable_columns, is_numeric, is_string, kind_of
+from sluice.functions.types import dtype_label, comparable, is_numeric, is_string, kind_of
 from sluice.session import small_frame
 
 # Fixed values
@@ -141,7 +141,8 @@ def value_facts(counts: DataFrame, with_top: bool = True) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """One row: all rows, and those that repeat an earlier one."""
-    copies = df.groupBy(*groupable_columns(df)).agg(F.count(F.lit(1)).alias("n"))
+    names, entries = comparable(df)
+    copies = df.withColumns(entries).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("copies")
     )

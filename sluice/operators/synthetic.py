@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
 from statistics import NormalDist
@@ -14,12 +16,11 @@ from pyspark.sql import functions as F
 
 from sluice.functions.draws import uniform, wide_draw
 from sluice.functions.quantiles import quantiles
-from sluice.functions.ranks import rank_by_draw
+from sluice.functions.ranks import rank_by_draw, take_ranks
 from sluice.functions.types import INTEGERS, is_numeric
 from sluice.session import small_frame
 
 SEED = 42
-BROADCAST_ROWS = 20_000
 GRID = 201  # points of a marginal's quantile function
 MAX_CATEGORIES = 1_000
 DISTRIBUTIONS = ("normal", "log_normal", "uniform", "beta")
@@ -38,11 +39,9 @@ def bootstrap(df: DataFrame, n: int, key: str, seed: int | str = SEED, row_id: s
     if size == 0:
         return df
     ranked = rank_by_draw(df, [], key, seed, "__rank")
-    if size <= BROADCAST_ROWS:  # few rows, each drawn very often
-        ranked = F.broadcast(ranked)
-    picks = df.sparkSession.range(n).select("id", (F.pmod(wide_draw(F.col("id"), seed), F.lit(size)) + 1).alias("__rank"))
-    kept = [F.col("id").alias(row_id)] if row_id else []
-    return picks.join(ranked, "__rank").select(*kept, *df.columns)
+    picks = df.sparkSession.range(n).select(F.col("id").alias("__pick"), (F.pmod(wide_draw(F.col("id"), seed), F.lit(size)) + 1).alias("__rank"))
+    kept = [F.col("__pick").alias(row_id)] if row_id else []
+    return take_ranks(picks, ranked, size, n).select(*kept, *df.columns)
 
 
 # --- overrides --------------------------------------------------------------------
@@ -315,8 +314,13 @@ def fit_or_load(
     df: DataFrame, root: str, dataset: str, method: str = "statistical", distributions: dict[str, str] | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The stored model of a dataset, fitted and stored on first use."""
-    path = f"{root}/{dataset}_{method}.parquet"
+    """The stored model of a dataset, fitted and stored on first use.
+
+    Other columns, distributions or types make another model. Data that changed
+    under the same name needs another ``dataset`` name or version.
+    """
+    asked = json.dumps([[(c, df.schema[c].dataType.simpleString()) for c in columns or df.columns], sorted((distributions or {}).items())])
+    path = f"{root}/{dataset}_{method}_{hashlib.sha256(asked.encode()).hexdigest()[:12]}.parquet"
     if not _complete(df.sparkSession, path):
         fit(df, columns, distributions).coalesce(1).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -137,6 +137,16 @@ ODD = Derived(
     },
 )
 
+# orders with totals of up to ten digits before the point and many behind it
+FINE = Derived(
+    "orders",
+    {
+        "o_orderkey": "o_orderkey",
+        "total": "CASE WHEN o_orderkey % 7 = 0 THEN 12345678.1234561 + CAST(o_orderkey % 3 AS DOUBLE) * 3e-7 "
+        "WHEN o_orderkey % 7 = 1 THEN o_totalprice / 100000000e0 WHEN o_orderkey % 7 = 2 THEN o_totalprice * 1000e0 ELSE o_totalprice END",
+    },
+)
+
 QUERIES = {
     "pii_names": _names,
     "pii_value_counts": _counts,
@@ -150,6 +160,8 @@ QUERIES = {
     "anon_mask": lambda s, d: _one("value", "mask")(ODD.frame(s, d)),
     "anon_hash": lambda s, d: _one("text", "hash")(table(s, d, "documents").select("doc_id", "text")),
     "anon_hash_numbers": lambda s, d: _one("o_custkey", "hash")(table(s, d, "orders").select("o_orderkey", "o_custkey")),
+    "anon_hash_double": lambda s, d: _one("total", "hash")(FINE.frame(s, d)),
+    "anon_pseudonym_double": lambda s, d: _one("total", "pseudonymize")(FINE.frame(s, d), "o_orderkey"),
     "anon_bucket": lambda s, d: _one("p_size", "generalize", bucket_size=7)(table(s, d, "part").select("p_partkey", "p_size")),
     "anon_bucket_double": lambda s, d: _one("c_acctbal", "generalize", bucket_size=500)(
         table(s, d, "customer").select("c_custkey", "c_acctbal")
@@ -170,7 +182,7 @@ QUERIES = {
 _CT = f"WITH t AS MATERIALIZED ({CONTACTS.sql})"
 _CONTACT_COLUMNS = [c for c in CONTACTS.columns if c != "c_custkey"]
 _RULES = ", ".join(
-    f"({i}, '{k}', '{c}', '{s}', {f}, {pii.RANKS[s]})" for i, (k, c, s, f) in enumerate(pii.name_rules())
+    f"({i}, '{k}', '{c}', '{s}', {f}, {pii.RANKS[s]})" for i, (k, c, s, f) in enumerate(pii.NAME_RULES)
 )
 _RULE_TABLE = f"rules(no, keyword, category, severity, confidence, rnk) AS (VALUES {_RULES})"
 
@@ -254,6 +266,11 @@ SQL = {
         END AS value FROM h""",
     "anon_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS text FROM documents",
     "anon_hash_numbers": "SELECT o_orderkey, substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 16) AS o_custkey FROM orders",
+    "anon_hash_double": f"WITH t AS ({FINE.sql}) SELECT o_orderkey, substr(sha256(CAST(total AS VARCHAR)), 1, 16) AS total FROM t",
+    "anon_pseudonym_double": f"""WITH t AS ({FINE.sql}), v AS (SELECT total AS x, min(o_orderkey) AS first FROM t GROUP BY 1),
+        n AS (SELECT x, row_number() OVER (ORDER BY first, CAST(x AS VARCHAR)) AS k FROM v)
+        SELECT o_orderkey, 'ID-' || lpad(CAST(k AS VARCHAR), CAST(greatest(5, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS total
+        FROM t JOIN n ON total = x""",
     "anon_bucket": """SELECT p_partkey, CAST(p_size // 7 * 7 AS VARCHAR) || '–' || CAST(p_size // 7 * 7 + 6 AS VARCHAR) AS p_size
         FROM part""",
     "anon_bucket_double": """SELECT c_custkey, CAST(b AS VARCHAR) || '–' || CAST(b + 499 AS VARCHAR) AS c_acctbal

@@ -58,20 +58,6 @@ def small_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.S
     return spark.createDataFrame(table, fields)
 
 
-SMALL_INPUT = 256 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small input that sits in too few files or row groups.
-
-    Worth it before work that is heavy per row, such as many patterns per text. Larger inputs have more splits than cores and stay as they are, without a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def shuffle_buckets(spark: SparkSession) -> int:
     """How many slices a hot group is split into: follows the cluster's own width."""
     return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.types import dtype_label
-from sluice.session import checkpoint_dir, small_frame
 
-# Suffixes that may be read, and lines looked at to infer a CSV schema.
+# Suffixes that may be read.
 READABLE = (".csv", ".json", ".jsonl", ".parquet")
-INFER_LINES = 10_000
-BYTE_ORDER_MARK = "\ufeff"
+CSV = {"quote": '"', "escape": '"'}  # a quote inside a cell is doubled
+EMPTY = "\ue000"  # stands for a quoted empty cell while a file is read, to tell it from a missing one
 
 
 def suffix_of(path: str) -> str:
@@ -35,26 +33,24 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None
     raise ValueError(f"Unsupported file format: {suffix or path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; cells that do not fit their type become null.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, rejects: str | None = None) -> DataFrame:
+    """CSV with a header; quoted cells may hold separators, line breaks and doubled quotes.
 
-    Types come from the first lines only, so a large file is not read twice.
+    Without a schema the types are inferred from all cells by the same reader.
+    Nothing is lost silently: with ``rejects`` a column of that name holds the
+    whole line of every row that has a cell which does not fit its type; such
+    cells are null. ``""`` is an empty text, nothing between separators a null.
+    Cells may span lines, so one file is one split: write CSV in many files.
     """
+    reader = spark.read.options(**CSV, header=True, multiLine=True, emptyValue=EMPTY, mode="PERMISSIVE")
     if schema is None:
-        schema = _csv_schema(spark, path)
-    return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")
-
-
-def _csv_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Infer from the first lines; the header of further files in a folder is skipped."""
-    lines = [r["value"] for r in spark.read.text(path).limit(INFER_LINES + 1).collect()]
-    if not lines:
-        raise ValueError(f"No header in {path}")
-    body = [(line,) for line in lines[1:] if line != lines[0]]
-    sample = f"{checkpoint_dir(spark)}/csv-head-{uuid.uuid4().hex}"
-    head = small_frame(spark, [(lines[0].lstrip(BYTE_ORDER_MARK),), *body], "value string")
-    head.coalesce(1).write.text(sample)
-    return spark.read.csv(sample, header=True, inferSchema=True).schema
+        schema = reader.option("inferSchema", True).csv(path).schema
+    if rejects:
+        schema = T.StructType([*schema.fields, T.StructField(rejects, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", rejects)
+    out = reader.schema(schema).csv(path)
+    texts = [f.name for f in schema if isinstance(f.dataType, T.StringType) and f.name != rejects]
+    return out.withColumns({c: F.when(F.col(f"`{c}`") == EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")) for c in texts})
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

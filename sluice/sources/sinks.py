@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.sources.files import suffix_of
+from sluice.sources.files import CSV, suffix_of
 
 
 def save_output(df: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -16,7 +16,9 @@ def save_output(df: DataFrame, path: str, fmt: str = "csv") -> str:
     elif fmt in ("json", "jsonl"):
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     else:
-        df.write.mode("overwrite").option("header", True).csv(path)
+        # blanks at the ends of a text are kept, and an empty text is told from a missing one
+        plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""'}
+        df.write.mode("overwrite").options(**CSV, **plain).csv(path)
     return path
 
 

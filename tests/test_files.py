@@ -12,8 +12,9 @@ def write(path, data):
 
 def test_csv_marks_types_and_bad_cells(spark, tmp_path):
     body = "id,n,day,word\n" + "".join(f"{i},{i},2024-01-{i % 28 + 1:02d},w{i}\n" for i in range(10_050)) + "7,oops,no day,x\n"
-    df = files.read_file(spark, write(tmp_path / "a.csv", b"\xef\xbb\xbf" + body.encode()))
-    assert df.dtypes == [("id", "int"), ("n", "int"), ("day", "date"), ("word", "string")]
+    path = write(tmp_path / "a.csv", b"\xef\xbb\xbf" + body.encode())
+    assert files.read_file(spark, path).dtypes == [("id", "int"), ("n", "string"), ("day", "string"), ("word", "string")]
+    df = files.read_file(spark, path, spark.createDataFrame([], "id int, n int, day date, word string").schema)
     last = df.where("word = 'x'").first()
     assert (last["id"], last["n"], last["day"]) == (7, None, None)
 
@@ -66,3 +67,28 @@ def test_streamed_log_equals_batch(spark, small, tmp_path):
     assert got.exceptAll(want).count() == 0
     with pytest.raises(ValueError, match="whole table"):
         append.run_steps(stream, [{"type": "normalize", "config": {"column": "id"}}])
+
+
+def test_csv_keeps_every_row_and_cell(spark, tmp_path):
+    """Doubled quotes, separators, line breaks, blanks, and an empty text told from a missing one."""
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines\r\nand more"), (3, ""), (4, None), (5, "  blanks  "), (6, "é, ü"), (7, '"'), (8, "a\\b\\")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    back = files.read_file(spark, sinks.save_output(df, f"{tmp_path}/x.csv"))
+    assert sorted((r["id"], r["text"]) for r in back.collect()) == rows
+
+
+def test_csv_by_others(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('﻿id,text,n\n1,"say ""hi"", ok",2\n2,"a\nb",x\n3,"",\n', "utf-8")
+    got = files.read_file(spark, str(path))
+    assert got.columns == ["id", "text", "n"] and [tuple(r) for r in got.collect()] == [(1, 'say "hi", ok', "2"), (2, "a\nb", "x"), (3, "", None)]
+    kinds = spark.createDataFrame([], "id int, text string, n int").schema
+    read = files.read_csv(spark, str(path), kinds, rejects="line").collect()
+    assert [r["n"] for r in read] == [2, None, None] and [r["line"] is not None for r in read] == [False, True, False]
+
+
+def test_types_come_from_all_lines(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "1,2\n" * 10_050 + "x9,2.5\n")
+    got = files.read_file(spark, str(path))
+    assert dict(got.dtypes) == {"a": "string", "b": "double"} and got.where("a = 'x9' AND b = 2.5").count() == 1

@@ -111,3 +111,11 @@ def test_jobs_do_not_grow_with_columns(spark):
         return len(context.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(2) == jobs(12)
+
+
+def test_copies_with_maps(spark):
+    df = spark.sql("SELECT 1 AS a, map('x', 1, 'y', 2) AS m UNION ALL SELECT 1, map('y', 2, 'x', 1) UNION ALL SELECT 1, map('x', 3) UNION ALL SELECT 1, NULL")
+    from sluice.operators import cleaning, profile
+
+    assert tuple(profile.duplicates(df).first()) == (4, 1)
+    assert cleaning.drop_duplicates(df).count() == 3 and cleaning.drop_duplicates(df).columns == ["a", "m"]

@@ -80,8 +80,7 @@ def test_attach_hot_and_cold_keys(uneven, monkeypatch, limit):
     assert all(r["code"] == known.get(r["cls"]) for r in got)
 
 
-@pytest.mark.parametrize("one_pass", [0, 1_000_000])
-def test_exact_quantiles(spark, one_pass):
+def test_exact_quantiles(spark):
     df = spark.range(20_000).selectExpr(
         "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(pow(id % 997, 2) AS DOUBLE) END AS a",
         "CASE WHEN id % 3 = 0 THEN 5 ELSE CAST(id % 13 AS INT) END AS b",
@@ -89,10 +88,26 @@ def test_exact_quantiles(spark, one_pass):
         "rand(3) AS d",
     ).cache()
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["column"]: r for r in quantiles(df, ["a", "b", "c", "d"], probs, one_pass_rows=one_pass).collect()}
+    got = {r["column"]: r for r in quantiles(df, ["a", "b", "c", "d"], probs).collect()}
     pdf = df.toPandas()
     for c in ("a", "b", "d"):
         values = pdf[c].dropna().to_numpy(dtype=float)
         assert got[c]["n"] == len(values)
         np.testing.assert_allclose(got[c]["q"], np.percentile(values, [p * 100 for p in probs]), rtol=1e-12)
     assert "c" not in got or got["c"]["q"] is None
+
+
+@pytest.mark.parametrize("n", [3, 5_000])
+def test_few_rows_drawn_often(spark, n):
+    """Every draw finds its row, whether rows are salted or not."""
+    rows = spark.createDataFrame([(i + 1, f"r{i}") for i in range(7)], "__rank bigint, name string")
+    picks = spark.range(n).selectExpr("id AS __pick", "id % 7 + 1 AS __rank")
+    got = ranks.take_ranks(picks, rows, 7, n)
+    assert got.count() == n and got.where("name <> concat('r', __rank - 1)").count() == 0
+
+
+def test_training_rows_are_dealt_by_a_shuffle(spark):
+    from sluice.operators.models import compact
+
+    plan = compact(spark.range(100, numPartitions=16), 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan
