@@ -12,6 +12,7 @@ from sluice.session import small_frame
 
 SEED = 42
 PROTOCOLS = {"holdout_80": 0.2, "holdout_90": 0.1, "kfold_5": 5, "kfold_10": 10}
+LEARNING_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
 LEAST_ROWS = 10
 
 # Display names of models and presets.
@@ -103,18 +104,20 @@ def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def classification_metrics(
-    df: DataFrame, truth: str = "truth", prediction: str = "prediction", by: Sequence[str] = (), digits: int = 4
+    df: DataFrame, truth: str = "truth", prediction: str = "prediction", by: Sequence[str] = (), digits: int = 4,
+    macro: bool = False,
 ) -> DataFrame:
     """Accuracy, F1, weighted F1, precision and recall from one grouping.
 
-    With two classes the second one in order is the positive class; with more
-    the scores are plain means over classes. Undefined ratios count as zero.
+    With two classes the second one in order is the positive class, unless
+    ``macro`` is asked for; else the scores are plain means over classes.
+    Undefined ratios count as zero.
     """
     counts = confusion(df, truth, prediction, by)
     per_class = class_scores(counts, by)
     total = F.sum("support")
     weighted = {c: F.sum(F.col(c) * F.col("support")) / total for c in ("f1", "precision", "recall")}
-    binary = F.count(F.lit(1)) == 2
+    binary = F.lit(False) if macro else F.count(F.lit(1)) == 2
     pick = lambda c: F.when(binary, F.max_by(c, "class")).otherwise(F.avg(c))
     picked = per_class.groupBy(*by).agg(
         (F.sum("tp") / total).alias("accuracy"),
@@ -221,7 +224,3 @@ def auto_labels(candidates: DataFrame, order: str) -> DataFrame:
     text = F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit(" #"), F.col("__n").cast("string")))
     named = candidates.where(own != "").withColumn("label", own)
     return named.unionByName(numbered.withColumn("label", text).select(*candidates.columns))
-
-
-def learning_sizes(rows: int, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0)) -> list[int]:
-    return sorted({max(int(rows * s), LEAST_ROWS) for s in shares})

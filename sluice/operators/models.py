@@ -114,6 +114,8 @@ class Fitted:
         picks = [F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted_label")]
         if "probability" in out.columns:
             picks.append(vector_to_array("probability").alias("probabilities"))
+        if "rawPrediction" in out.columns and len(self.classes) == 2:
+            picks.append(F.element_at(vector_to_array("rawPrediction"), 2).alias("second_class_score"))
         return out.select(*df.columns, *picks)
 
     def importances(self, top: int = 10, digits: int | None = None) -> list[tuple[str, float]]:
@@ -178,10 +180,10 @@ def fit(
 # --- protocols -----------------------------------------------------------------------
 
 
-def judged(predictions: DataFrame, target: str, task: str, by: Sequence[str] = ()) -> DataFrame:
+def judged(predictions: DataFrame, target: str, task: str, by: Sequence[str] = (), digits: int = 4, macro: bool = False) -> DataFrame:
     if task == "classification":
-        return evaluation.classification_metrics(predictions, target, "predicted_label", by)
-    return evaluation.regression_metrics(predictions, target, "predicted_label", by)
+        return evaluation.classification_metrics(predictions, target, "predicted_label", by, digits, macro)
+    return evaluation.regression_metrics(predictions, target, "predicted_label", by, digits)
 
 
 def cross_predictions(df: DataFrame, target: str, columns: Sequence[str], key: str, k: int, **options) -> DataFrame:
@@ -230,14 +232,15 @@ def run_candidate(
             fitted = fit(split.where(~F.col("is_test")), target, columns, key, **options)
             tested = fitted.predict(split.where("is_test")).persist()
             metrics = judged(tested, target, task).first().asDict()
-            if classify and len(fitted.classes) == 2 and "probabilities" in tested.columns:
-                second = tested.withColumn("p", F.element_at("probabilities", 2)).withColumn(
-                    "y", (F.col(target).cast("string") == fitted.classes[1]).cast("int")
-                )
+            if classify and len(fitted.classes) == 2:
+                # a support vector machine has no probabilities but ranks as well by its raw score
+                score = F.element_at("probabilities", 2) if "probabilities" in tested.columns else F.col("second_class_score")
+                second = tested.select(score.alias("p"), (F.col(target).cast("string") == fitted.classes[1]).cast("int").alias("y"))
                 metrics["roc_auc"] = evaluation.roc_auc(second, "p", "y").first()["roc_auc"]
+            split.unpersist()
         else:
             out_of_fold = cross_predictions(df, target, columns, key, size, **options)
-            per_fold = judged(out_of_fold, target, task, ["fold"])
+            per_fold = judged(out_of_fold, target, task, ["fold"], digits=12, macro=True)
             names = CLASS_METRICS if classify else VALUE_METRICS
             metrics = evaluation.cv_summary(per_fold, names, by=()).first().asDict()
             fitted = fit(df, target, columns, key, **options)
@@ -245,6 +248,7 @@ def run_candidate(
         if classify:
             counts = evaluation.confusion(tested, target, "predicted_label")
             result.confusion = sorted((r["truth"], r["prediction"], r["n"]) for r in counts.collect())  # classes squared
+        tested.unpersist()
         result.metrics = {k: v for k, v in metrics.items() if v is not None}
         result.importances = fitted.importances(15, 4)
         if curve_shares:
@@ -264,6 +268,8 @@ def learning_curve(
     classify = task == "classification"
     metric = "accuracy" if classify else "r2"
     split = evaluation.folds(df, key, k, target if classify else None).persist()
+    least = min(1.0, evaluation.LEAST_ROWS / max(1.0, split.count() * (k - 1) / k))
+    shares = sorted({max(share, least) for share in shares})
     parts = []
     for i in range(k):
         held = split.where(F.col("fold") == i)
@@ -276,11 +282,14 @@ def learning_curve(
     scores = judged(told, target, task, ["share", "fold", "kind"])
     of = lambda kind: F.round(F.avg(F.when(F.col("kind") == kind, F.col(metric))), 4)
     curve = scores.groupBy("share").agg(of("train").alias("train"), of("val").alias("val")).orderBy("share")
-    return [tuple(r) for r in curve.collect()]  # one row per share
+    found = [tuple(r) for r in curve.collect()]  # one row per share
+    split.unpersist()
+    return found
 
 
 RESULTS = """candidate_no int, candidate_id string, status string, accuracy double, f1 double, f1_weighted double,
-    precision double, recall double, roc_auc double, r2 double, mae double, rmse double, error_message string"""
+    precision double, recall double, roc_auc double, accuracy_std double, f1_std double, r2 double, mae double, rmse double,
+    mape double, r2_std double, error_message string"""
 
 
 def run_benchmark(

@@ -187,6 +187,16 @@ def _coreset(s: SparkSession, d: str) -> DataFrame:
     return picks.withColumn("distance", F.round("distance", 5))
 
 
+# two classes by rule, in five folds
+TWO = Derived(
+    "orders",
+    {
+        "fold": "o_orderkey % 5",
+        "truth": "CASE WHEN o_custkey % 3 = 0 THEN 'yes' ELSE 'no' END",
+        "prediction": "CASE WHEN (o_custkey + o_orderkey % 4) % 3 = 0 THEN 'yes' ELSE 'no' END",
+    },
+)
+
 GRID = [
     {"candidate_id": "lr", "model_type": "logistic_regression", "preset": "grid_search"},
     {"candidate_id": "lr_tuned", "model_type": "logistic_regression", "preset": "tuned"},
@@ -211,11 +221,18 @@ def _benchmark(protocol: str, *ids: str):
 
 def _curve(s: SparkSession, d: str) -> DataFrame:
     rows = models.learning_curve(
-        _train(s, d), "quality", _feature_names(s, d), "doc_id", (0.2, 0.6, 1.0), model="logistic_regression"
+        _train(s, d), "quality", _feature_names(s, d), "doc_id", evaluation.LEARNING_SHARES, model="logistic_regression"
     )
     return small_frame(s, rows, "share double, train_score double, val_score double")
 
 
+def _two_class_folds(s: SparkSession, d: str) -> DataFrame:
+    """Macro scores of two classes over fixed folds, with their deviations."""
+    told = TWO.frame(s, d)
+    per_fold = evaluation.classification_metrics(told, "truth", "prediction", ["fold"], digits=12, macro=True)
+    return evaluation.cv_summary(per_fold, ["accuracy", "f1", "precision", "recall"], by=())
+
+
 def _regression(s: SparkSession, d: str) -> DataFrame:
     """Regression candidates on all orders' prices."""
     orders = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"))
@@ -319,6 +336,7 @@ QUERIES = {
     "bm_auc": lambda s, d: evaluation.roc_auc(JUDGED.frame(s, d), "score", "positive"),
     "bm_reg_metrics": lambda s, d: evaluation.regression_metrics(JUDGED.frame(s, d), "y", "estimate"),
     "bm_fold_metrics": _by_fold,
+    "bm_cv_two_class": _two_class_folds,
     "bm_cv_summary": lambda s, d: evaluation.cv_summary(FOLDS.frame(s, d), ["accuracy", "f1"]),
     "bm_confusion": lambda s, d: evaluation.confusion(JUDGED.frame(s, d), by=["fold"]),
     "bm_grid": _benchmark("holdout_80"),
@@ -460,6 +478,11 @@ SQL = {
         round(avg(abs(y - estimate)), 4) AS mae, round(sqrt(avg((y - estimate) ** 2)), 4) AS rmse,
         round(avg(abs((y - estimate) / y)) FILTER (y <> 0) * 100, 2) AS mape FROM t, m""",
     "bm_fold_metrics": _metrics_sql(_J, "fold,", False),
+    "bm_cv_two_class": f"""WITH t AS ({TWO.sql}), k AS (SELECT unnest(['no', 'yes']) AS c), n AS (
+        SELECT fold, c, count(*) FILTER (truth = c AND prediction = c) AS tp, count(*) FILTER (truth = c) AS s, count(*) FILTER (prediction = c) AS p
+        FROM t, k GROUP BY ALL), per AS (
+        SELECT fold, sum(tp) / sum(s) AS accuracy, avg(2.0 * tp / (s + p)) AS f1, avg(tp / p) AS precision, avg(tp / s) AS recall FROM n GROUP BY fold)
+        SELECT {", ".join(f"round(avg({m}), 4) AS {m}, round(stddev_pop({m}), 4) AS {m}_std" for m in ("accuracy", "f1", "precision", "recall"))} FROM per""",
     "bm_cv_summary": f"""WITH t AS ({FOLDS.sql}) SELECT candidate_id, round(avg(accuracy), 4) AS accuracy, round(avg(f1), 4) AS f1,
         round(stddev_pop(accuracy), 4) AS accuracy_std, round(stddev_pop(f1), 4) AS f1_std FROM t GROUP BY 1""",
     "bm_confusion": f"{_J} SELECT fold, truth, prediction, count(*) AS n FROM t GROUP BY ALL",
