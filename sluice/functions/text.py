@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.types import FLOATS, is_string
 
@@ -13,6 +14,8 @@ def plain_text(df: DataFrame, name: str) -> Column:
     column, data_type = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(data_type, FLOATS):
         return written_out(column)
+    if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, FLOATS):
+        return F.transform(column, written_out).cast("string")
     return column if is_string(data_type) else column.cast("string")
 
 
