@@ -19,6 +19,7 @@ AREAS = (
     "graph",
     "synthetic",
     "learning",
+    "relations",
 )
 
 
