@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-SLOTS = 512  # predictions a block keeps for order 1, and as many for order 2
+SLOTS = 256  # predictions a block keeps for order 1, and as many for order 2
 TOTAL_BITS, BASE_BITS = 15, 12
 TOTAL = 1 << TOTAL_BITS
 SPIKES = TOTAL - (1 << BASE_BITS) - 2  # most that orders 1 and 2 may weigh together
@@ -42,20 +42,23 @@ class Model:
         self.hits = [np.ones(n, U) for _ in range(2)]
         self.low_hits = [np.ones(n, U) for _ in range(2)]
         self.counts = [np.ones(n * 256, np.uint16) for _ in range(2)]
-        self.sums = [np.zeros(n * 257, U) for _ in range(2)]
+        self.sums = [np.zeros(n * 257, np.uint16) for _ in range(2)]
+        self.tops, self.rows = [np.zeros(0, np.uint16)] * 2, row * 16  # every sixteenth sum, close together
         self._refresh()
 
     def _refresh(self) -> None:
         """Order 0's frequencies, scaled to a fixed sum with at least 1 for every byte."""
-        for counts, sums in zip(self.counts, self.sums):
-            upto = np.cumsum(counts.reshape(-1, 256), axis=1, dtype=U)
-            scaled = (upto * (((1 << BASE_BITS) - 256) / upto[:, -1:])).astype(U)
-            np.add(scaled, np.arange(1, 257, dtype=U), out=sums.reshape(-1, 257)[:, 1:])
+        for which, (counts, sums) in enumerate(zip(self.counts, self.sums)):
+            upto = np.cumsum(counts.reshape(-1, 256), axis=1, dtype=np.float32)  # whole numbers below 2**24: exact
+            scaled = (upto * (np.float32((1 << BASE_BITS) - 256) / upto[:, -1:])).astype(np.uint16)
+            table = sums.reshape(-1, 257)
+            np.add(scaled, np.arange(1, 257, dtype=np.uint16), out=table[:, 1:])
+            self.tops[which] = np.ascontiguousarray(table[:, :256:16]).ravel()
 
     def predict(self) -> None:
         """What orders 1 and 2 expect, and how much each weighs for the high byte."""
-        one = (self.last * U(0x9E3779B1)) >> U(23)
-        two = ((self.last * U(0x85EBCA6B)) ^ (self.before * U(0xC2B2AE35) + (self.before >> U(3)))) * U(0x9E3779B1) >> U(23)
+        one = (self.last * U(0x9E3779B1)) >> U(24)
+        two = ((self.last * U(0x85EBCA6B)) ^ (self.before * U(0xC2B2AE35) + (self.before >> U(3)))) * U(0x9E3779B1) >> U(24)
         self.slot = [self.slots + one.astype(np.int64), self.slots + two.astype(np.int64)]
         expected = [g.take(s, mode="wrap").astype(U) for g, s in zip(self.guess, self.slot)]
         self.live = [e != U(0xFFFF) for e in expected]
@@ -79,13 +82,16 @@ class Model:
         self.right = [self.live[k] & (self.high[k] == high) for k in range(2)]
         self.low_spike = self._weights([self._share(self.low_hits[k], self.hits[k]) * self.right[k] for k in range(2)])
 
+    def _sum(self, which: int, place: np.ndarray) -> np.ndarray:
+        return self.sums[which].take(place, mode="wrap").astype(U)
+
     def interval(self, which: int, byte: np.ndarray, predicted: list[np.ndarray], spike: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Where a byte's interval starts in the mixture, and its width."""
         rest = U(TOTAL) - spike[0] - spike[1]
         place = self.base + byte.astype(np.int64)
-        start = self.sums[which].take(place, mode="wrap") * rest >> U(BASE_BITS)
+        start = self._sum(which, place) * rest >> U(BASE_BITS)
         place += 1
-        width = (self.sums[which].take(place, mode="wrap") * rest >> U(BASE_BITS)) - start
+        width = (self._sum(which, place) * rest >> U(BASE_BITS)) - start
         for k in range(2):
             start += spike[k] * (predicted[k] < byte)
             width += spike[k] * (predicted[k] == byte)
@@ -99,20 +105,21 @@ class Model:
         that end before the value are taken off, and order 0 is searched.
         """
         rest = U(TOTAL) - spike[0] - spike[1]
-        sums = self.sums[which]
         swap = predicted[0] > predicted[1]
         small, large = np.minimum(*predicted), np.maximum(*predicted)
         small_spike, large_spike = np.where(swap, spike[1], spike[0]), np.where(swap, spike[0], spike[1])
-        after_small = sums.take(self.base + small.astype(np.int64) + 1, mode="wrap") * rest >> U(BASE_BITS)
-        after_large = sums.take(self.base + large.astype(np.int64) + 1, mode="wrap") * rest >> U(BASE_BITS)
+        after_small = self._sum(which, self.base + small.astype(np.int64) + 1) * rest >> U(BASE_BITS)
+        after_large = self._sum(which, self.base + large.astype(np.int64) + 1) * rest >> U(BASE_BITS)
         # a value inside a prediction's own weight becomes the last value of that byte
         value = np.where(value >= after_small + small_spike, value - small_spike, np.minimum(value, after_small - U(1)))
         value = np.where(value >= after_large + large_spike, value - large_spike, np.where(value >= after_large, after_large - U(1), value))
-        bound = (((value + U(1)) << U(BASE_BITS)) - U(1)) // rest
-        place = self.base.copy()
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            more = place + step
-            place += (sums.take(more, mode="wrap") <= bound) * np.int64(step)
+        bound = ((((value + U(1)) << U(BASE_BITS)) - U(1)) // rest).astype(np.uint16)
+        tops, place = self.tops[which], self.rows.copy()
+        for step in (8, 4, 2, 1):
+            place += (tops.take(place + step, mode="wrap") <= bound) * np.int64(step)
+        sums, place = self.sums[which], self.base + (place - self.rows) * 16
+        for step in (8, 4, 2, 1):
+            place += (sums.take(place + step, mode="wrap") <= bound) * np.int64(step)
         return (place - self.base).astype(U)
 
     def update(self, ids: np.ndarray, high: np.ndarray, low: np.ndarray, step: int) -> None:

@@ -28,6 +28,16 @@ _PLAIN = np.zeros(256, bool)  # bytes after which a mark is a chunk of its own
 _PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -74,6 +84,16 @@ def _has(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return seen[ends] > seen[starts]
 
 
+def _lettered(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which pieces are ASCII and Latin-1 letters only."""
+    fits = _PLAIN[body] & ~((body >= 48) & (body < 58))
+    lead = np.flatnonzero(body[:-1] == 0xC3)
+    lead = lead[(body[lead + 1] >= 0x80) & (body[lead + 1] < 0xC0) & (body[lead + 1] != 0x97) & (body[lead + 1] != 0xB7)]
+    fits[lead] = fits[lead + 1] = True
+    seen = np.concatenate(([0], np.cumsum(~fits)))
+    return seen[ends] == seen[starts]
+
+
 class Encoder:
     """Ids of all texts of a step, as one array and the number of ids of each text.
 
@@ -92,9 +112,15 @@ class Encoder:
         self.pool = np.zeros(POOL_IDS, np.uint32)
         self.used = 0
 
-    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-        ids = [x.ids for x in found]
+    def _encode(self, parts: list[bytes], lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks. One of letters only is one word to the tokenizer: its model takes it as it is."""
+        model, ids = self.tokenizer.model, [None] * len(parts)
+        for i in np.flatnonzero(lettered).tolist():
+            word = parts[i].decode().lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids[i] = [t.id for t in model.tokenize(word)]
+        others = np.flatnonzero(~lettered).tolist()
+        for i, found in zip(others, self.tokenizer.encode_batch_fast([parts[i].decode("utf-8", "replace") for i in others], add_special_tokens=False)):
+            ids[i] = found.ids
         sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
@@ -102,7 +128,8 @@ class Encoder:
         """Encode the chunks ``new``, remember them and note where their ids are."""
         values, at_first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
         view = body.tobytes()
-        flat, sizes = self._encode([view[starts[i] : ends[i]] for i in new[at_first]])
+        first = new[at_first]
+        flat, sizes = self._encode([view[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], _lettered(body, starts[first], ends[first]))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(flat) + POOL_IDS // 8, np.uint32)))
         at = self.used + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
