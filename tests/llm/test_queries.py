@@ -50,3 +50,12 @@ def test_stages_take_an_empty_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_redaction_keeps_missing_texts_and_other_columns(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, 'a password="abcdefgh" b', "en", None, 9), (2, None, "en", "s", None), (None, "", None, "s", 0), (3, "plain", "de", "s", 77)]
+    docs = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.redact(spark, docs, "")
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 'a [secret]" b', "en", None, 13), *rows[1:]], key=str)
