@@ -79,7 +79,7 @@ def write_tokens(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
             close()
         yield from flush()
 
-    ordered = X.prepared(df, key, text).repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    ordered = X.prepared(df, key, text).repartitionByRange("key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(frames, X.schema(FRAME)).write.parquet(folder)
 
 
