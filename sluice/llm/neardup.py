@@ -5,25 +5,27 @@ white space). Two documents are linked if the Jaccard similarity of their sets
 reaches the threshold.
 
 1. Documents with equal sets form a class; only the class's smallest key goes on.
-2. Each set gets ``BANDS * ROWS`` minima under universal hash functions. Equal
-   rows of a band put two classes into one bucket. A pair at similarity 0.8
-   misses all buckets with a probability of 6e-7.
+2. Each set gets ``MINIMA`` minima under universal hash functions, its signature.
+   Equal rows of a band put two classes into one bucket. A pair at similarity 0.8
+   misses all buckets with a probability of 6e-7, and its signatures agree too
+   little with one of 1e-5.
 3. In every bucket each class is paired with the smallest one (a star, never all
    pairs). Pairs whose signatures agree enough are confirmed on the full sets.
 4. Links become components by alternating large-star and small-star steps.
 5. Buckets that still hold several components are looked at again: the classes
    outside a bucket's largest component are compared, by signature, with all
    others of the bucket, in blocks. Pairs that agree enough and lie in different
-   components are confirmed, the most similar ones first and more in each round,
-   until none is left. So a link between classes that meet in a bucket can only
-   be left out if it joins what is joined already.
+   components are confirmed: first the most similar ones of each class and
+   component, then all that still lie apart. So a link between classes that meet
+   in a bucket can only be left out if it joins what is joined already.
 
 Nothing passes the driver but counts. A class in very many pairs is spread over
 salts, a bucket over blocks.
 
 Null texts, empty ones and those without words have an empty set and are linked
 with nothing. Rows without a key are linked with nothing; their component is
-null and they are kept. Rows that repeat a key count as one document for links.
+null and they are kept. Rows that repeat a key are judged by their own texts; where
+several texts share the key that stands for a class, one of them is confirmed.
 """
 
 from __future__ import annotations
@@ -38,20 +40,25 @@ from pyspark.sql import functions as F
 from sluice.llm import texts as X
 
 BANDS, ROWS = 36, 5
-SLACK = 0.15  # five deviations of an estimate from 180 minima at 0.8
+MINIMA = 360  # the first BANDS * ROWS make buckets, all of them make estimates
+SLACK = 0.09  # more than four deviations of an estimate from 360 minima at 0.8
 BLOCK = 256  # classes of a bucket compared in one go
+FIRST_TRIES = 16  # pairs of a class and a component that are confirmed before all others
 SALT_PAIRS = 512  # pairs of one class that stay together
 _RANDOM = np.random.default_rng(36 * 5)
-_A = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+_A = _RANDOM.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest values of a set under every hash function, as their top 16 of 64 bits after mixing."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    """The smallest values of a set under every hash function, as 8 of their bits after mixing.
+
+    Two different values agree by chance once in 256; that adds a thousandth to an estimate near 0.8.
+    """
+    least = np.full(MINIMA, np.iinfo(np.uint64).max)
     for low in range(0, len(shingles), 2048):
         np.minimum(least, (_A * shingles[low : low + 2048] + _B).min(axis=1), out=least)
-    return (X.mixed(least) >> np.uint64(48)).astype(np.uint16)
+    return (X.mixed(least) >> np.uint64(56)).astype(np.uint8)
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -78,14 +85,15 @@ def _bands(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, ROWS).astype(np.uint64)
-                band = np.tile(np.arange(BANDS, dtype=np.uint64) << np.uint64(32), batch.num_rows)
-                bucket = X.joined_hash([sig[:, i] + band for i in range(ROWS)])
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, MINIMA)[:, : BANDS * ROWS].reshape(-1, ROWS).astype(np.uint64)
+                band = np.tile(np.arange(BANDS, dtype=np.uint64), batch.num_rows)
+                bucket = X.joined_hash([sig[:, i] + (band << np.uint64(32)) for i in range(ROWS)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("rep", "n"))], names=["bucket", "rep", "n"]
+                    [pa.array(bucket.view(np.int64)), pa.array(band.astype(np.int32)), *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("rep", "n"))],
+                    names=["bucket", "band", "rep", "n"],
                 )
 
-    return classes.mapInArrow(run, X.schema("bucket bigint, rep bigint, n bigint"))
+    return classes.mapInArrow(run, X.schema("bucket bigint, band int, rep bigint, n bigint"))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -94,7 +102,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 keep = pa.array((a == b).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -158,44 +166,57 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
         large = edges.join(least, F.col("v") == F.col("at")).select("u", F.col("m").alias("v"))
         # neighbours larger than a node go to its smallest neighbour; then each node and its smaller neighbours to the smallest of them
-        turned = large.where(F.col("u") != F.col("v")).distinct()
+        turned = large.where(F.col("u") != F.col("v"))
         lowest = turned.groupBy("u").agg(F.min("v").alias("m"))
         small = turned.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = X.written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _crossing(rows: DataFrame, classes: DataFrame, least: float, most: int) -> DataFrame:
-    """Pairs of a bucket in different components whose signatures agree; per class and component the ``most`` similar ones.
+def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """Pairs of a bucket in different components whose signatures agree.
+
+    The ``first`` time the ``FIRST_TRIES`` most similar ones of each class and
+    component, the second time all of those that had more.
 
-    ``rows``: ``bucket``, ``rep``, ``component``. ``cut`` tells that a pair's class had more than ``most``.
+    A pair that meets in several buckets comes from the one of its first band.
+    ``rows``: ``bucket``, ``band``, ``rep``, ``n``, ``component``. ``cut`` tells that a pair's class had more.
     """
+    fields = ["bucket", "band", "rep", "n", "component", "sig"]
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     per_bucket = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
     mixed = per_bucket.where(F.col("parts") > 1).select("bucket", F.col("top")["component"].alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
     active = rows.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep")
-    spread = active.select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int").alias("block"), F.lit(False).alias("seeks"), "rep", "component", "sig")
+    free = (F.col("component") != F.col("main")).alias("free")
+    spread = active.select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int").alias("block"), F.lit(False).alias("seeks"), free, *fields[1:])
     seeking = active.where(F.col("component") != F.col("main")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"), "rep", "component", "sig"
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"), free, *fields[1:]
     )
 
     def block(table: pa.Table) -> pa.Table:
-        seeks = table.column("seeks").to_numpy()
-        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
+        seeks, free = table.column("seeks").to_numpy(), table.column("free").to_numpy()
+        rep, size, component = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
+        band = table.column("band")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
         mine, others = np.flatnonzero(seeks), np.flatnonzero(~seeks)
         out_a, out_b, out_cut = [], [], []
         for i in mine:
-            apart = others[component[others] != component[i]]
-            share = (sig[apart] == sig[i]).mean(axis=1)
-            near = np.flatnonzero(share >= least)
+            apart = others[(component[others] != component[i]) & (~free[others] | (rep[others] > rep[i]))]  # a pair that seeks on both sides comes from the smaller
+            apart = apart[np.minimum(size[apart], size[i]) >= threshold * np.maximum(size[apart], size[i])]
+            equal = sig[apart] == sig[i]
+            share = equal.mean(axis=1)
+            near = np.flatnonzero(share >= threshold - SLACK)
+            near = near[equal[near, : BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
             near = near[np.lexsort((rep[apart[near]], -share[near]))]
-            taken: dict[int, int] = {}
+            taken: dict[int, list[int]] = {}
             for j in apart[near]:
-                count = taken[component[j]] = taken.get(component[j], 0) + 1
-                if count <= most:
-                    out_a.append(int(rep[i]))
-                    out_b.append(int(rep[j]))
-            out_cut += [max(taken.values(), default=0) > most] * (len(out_a) - len(out_cut))
+                taken.setdefault(component[j], []).append(int(rep[j]))
+            for found in taken.values():
+                many = len(found) > FIRST_TRIES
+                if first or many:  # the second time only what was left the first time
+                    found = found[:FIRST_TRIES] if first else found
+                    out_a += [int(rep[i])] * len(found)
+                    out_b += found
+                    out_cut += [first and many] * len(found)
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_cut, pa.bool_())], names=["a", "b", "cut"])
 
     grouped = spread.unionByName(seeking).groupBy("bucket", "block")
@@ -209,10 +230,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     known = every.where(F.col("digest").isNotNull() & F.col("key").isNotNull())
     grouped = known.groupBy("digest").agg(F.min(F.struct("key", "n", "sig")).alias("s"))
     classes = X.written(grouped.select("digest", F.col("s")["key"].alias("rep"), F.col("s")["n"].alias("n"), F.col("s")["sig"].alias("sig")))
-    links = _links(df, classes, key, text, k, threshold)
-    joined = components(links)
+    joined = _joined(df, classes, key, text, k, threshold)
     named = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    # a key that repeats may be in several classes; they count as one
     return (
         every.join(named, "digest", "left")
         .select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
@@ -221,29 +240,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     )
 
 
-def _links(df: DataFrame, classes: DataFrame, key: str, text: str, k: int, threshold: float) -> DataFrame:
+def _joined(df: DataFrame, classes: DataFrame, key: str, text: str, k: int, threshold: float) -> DataFrame:
+    """``node`` and ``component`` of all classes that are linked with a smaller one."""
     banded = _bands(classes)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("s")).where(F.col("c") > 1)
     rows = X.written(banded.join(shared.select("bucket", F.col("s")["rep"].alias("first"), F.col("s")["n"].alias("first_n")), "bucket"))
     alike = (F.least("n", "first_n") >= F.greatest("n", "first_n") * threshold) & (F.col("rep") != F.col("first"))
     stars = rows.where(alike).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    least = threshold - SLACK
     sets = X.written(_sets(df, rows.select("rep").distinct(), key, text, k).dropDuplicates(["rep"]))
-    own = classes.select(F.col("rep").alias("a"), "digest")  # a key with several classes is one document
-    same = own.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("a", F.col("a").alias("b"))
-    links = X.written(_confirmed(X.written(_agreeing(stars, classes, least)), sets, threshold).union(same))
+    links = X.written(_confirmed(X.written(_agreeing(stars, classes, threshold - SLACK)), sets, threshold))
+    joined = components(links)
     tested = stars
-    most = 4
-    while True:
-        joined = components(links)
-        placed = rows.select("bucket", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        crossing = X.written(_crossing(placed, classes, least, most))
-        fresh = X.written(crossing.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        cut = crossing.where("cut").limit(1).count()
-        if not fresh.limit(1).count():
-            if not cut:
-                return links
-        else:
-            links = X.written(links.union(_confirmed(fresh, sets, threshold)))
-            tested = X.written(tested.union(fresh))
-        most *= 16
+    for first in (True, False):
+        named = rows.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+        crossing = X.written(_crossing(named.select("bucket", "band", "rep", "n", "component"), classes, threshold, first))
+        fresh = crossing.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        more = X.written(_confirmed(X.written(fresh), sets, threshold))
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        if not crossing.where("cut").limit(1).count():
+            break
+        tested = tested.union(crossing.select("a", "b"))
+    return joined
