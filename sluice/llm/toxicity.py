@@ -3,9 +3,10 @@
 Features of a text are its distinct words (letters, digits, non-ASCII; A-Z as
 a-z) and their beginnings of 4, 5 and 6 bytes, as hashes.
 
-1. *Voters.* Of the features of a bounded sample of labelled rows, the ones that
-   speak most for the label become voters: lexicon voters are words, pattern
-   voters are beginnings. A voter fires on a text that has its feature.
+1. *Voters.* Of the features of a bounded sample of labelled rows, all that speak
+   for the label become voters: lexicon voters are words, pattern voters are
+   beginnings. Features that occur in the same labelled texts are one voter, which
+   fires on a text that has any of them.
 2. *Label model.* Which voters fire together is counted over all rows that may
    be learnt from, as one count per pattern of votes. A mixture of two classes is
    fitted to these counts by expectation maximisation: how often each voter
@@ -38,7 +39,7 @@ from sluice.llm import texts as X
 
 LABELLED_ROWS = 8192
 TRAIN_ROWS = 4096
-VOTERS = 62  # votes of a text are the bits of a long
+PATTERNS = 1024  # patterns of votes spread out at once
 LEAST = 4  # texts of the label in which a voter's feature must occur
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
@@ -90,53 +91,59 @@ def _sample(rows: DataFrame, key: str, seed: str, size: int) -> DataFrame:
     return rows.withColumn("__draw", wide_draw(key, seed)).orderBy("__draw", key).limit(size).drop("__draw")
 
 
-def mine(texts: DataFrame) -> tuple[np.ndarray, LabelModel] | None:
-    """The voters' hashes and what the labelled rows ``text``, ``toxic`` say of them."""
+def mine(texts: DataFrame) -> tuple[Voters, LabelModel] | None:
+    """The voters and what the labelled rows ``key``, ``text``, ``toxic`` say of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in X.steps(batches):
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            toxic, low, high = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "low", "high"))
             h, text = _distinct(*features(body, at))
             h = np.concatenate((h, np.zeros(len(toxic), np.uint64)))  # hash 0 counts the texts
-            y = np.concatenate((toxic[text], toxic))
+            text = np.concatenate((text, np.arange(len(toxic))))
             value, spot = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(np.bincount(spot, y, len(value)).astype(np.int64)), pa.array(np.bincount(spot, minlength=len(value)).astype(np.int64))],
-                names=["h", "yes", "n"],
-            )
+            summed = (np.bincount(spot, x[text], len(value)) for x in (toxic, np.ones(len(toxic)), low, high))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in summed)], names=["h", *counts])
 
-    table = texts.mapInArrow(count, X.schema("h bigint, yes bigint, n bigint")).groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
+    counts = ["yes", "n", "low", "high"]
+    row = F.xxhash64("key", "text")  # its halves are summed over the texts of a feature: equal sums, equal texts
+    halves = texts.select("text", "toxic", row.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(row, 32).alias("high"))
+    table = halves.mapInArrow(count, X.schema("h bigint, yes bigint, n bigint, low bigint, high bigint")).groupBy("h").agg(*[F.sum(c).alias(c) for c in counts])
     whole = F.col("h") == 0
     strong = (F.col("yes") >= LEAST) & (5 * F.col("yes") >= 4 * F.col("n"))  # right four times in five
-    best = table.where(whole | strong).orderBy(whole.desc(), (F.col("yes") * F.col("yes") / F.col("n")).desc(), "h").limit(16 * VOTERS).collect()
-    total = next((r for r in best if r["h"] == 0), None)
-    if total is None or not 0 < total["yes"] < total["n"]:
+    # a word and its beginnings that occur in the same texts say the same: they are one voter
+    found = table.where(whole | strong).groupBy(whole.alias("whole"), *counts).agg(F.sort_array(F.collect_list("h")).alias("h")).collect()
+    total = next((r for r in found if r["whole"]), None)
+    chosen = sorted((r for r in found if not r["whole"]), key=lambda r: (-r["yes"] * r["yes"] / r["n"], r["h"]))
+    if total is None or not 0 < total["yes"] < total["n"] or not chosen:
         return None
-    chosen, seen = [], set()
-    for r in best:
-        like = (r["yes"], r["n"])  # a word and its beginnings that occur in the same texts say the same
-        if r["h"] != 0 and like not in seen or r["h"] != 0 and r["yes"] < 8 and len(chosen) < VOTERS // 2:
-            seen.add(like)
-            chosen.append(r)
-    if not chosen:
-        return None
-    hashes, yes, n = (np.array([r[c] for r in chosen[:VOTERS]], np.int64) for c in ("h", "yes", "n"))
-    return hashes.view(np.uint64), LabelModel(yes, n, total["yes"], total["n"])
+    yes, n = (np.array([r[c] for r in chosen], np.int64) for c in ("yes", "n"))
+    return Voters([np.array(r["h"], np.int64).view(np.uint64) for r in chosen]), LabelModel(yes, n, total["yes"], total["n"])
+
+
+class Voters:
+    """Every voter's features; a voter fires on a text that has one of them."""
+
+    def __init__(self, features: list[np.ndarray]):
+        self.lookup = Lookup(np.concatenate(features))
+        self.of, self.n = np.repeat(np.arange(len(features)), [len(x) for x in features]), len(features)
+
+    def masks(self, h: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """The voters that fire on each text, as bits in as many bytes as they need."""
+        spot, feature = self.lookup.find(h)
+        fired = np.zeros((texts, self.n), bool)
+        fired[text[spot], self.of[feature]] = True
+        return np.packbits(fired, axis=1, bitorder="little")
 
 
-def votes(df: DataFrame, voters: np.ndarray) -> DataFrame:
+def votes(df: DataFrame, voters: Voters) -> DataFrame:
     """``key`` and the voters that fire on the text as the bits of ``votes``."""
-    lookup = Lookup(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in X.steps(batches):
-            h, text = features(body, at)
-            spot, voter = lookup.find(h)
-            mask = np.zeros(len(at) - 1, np.int64)
-            np.bitwise_or.at(mask, text[spot], np.int64(1) << voter.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(mask)], names=["key", "votes"])
+            masks = voters.masks(*features(body, at), len(at) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([m.tobytes() for m in masks], pa.binary())], names=["key", "votes"])
 
-    return df.mapInArrow(run, X.schema("key bigint, votes bigint"))
+    return df.mapInArrow(run, X.schema("key bigint, votes binary"))
 
 
 class LabelModel:
@@ -161,7 +168,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
     def _fired(self, masks: np.ndarray) -> np.ndarray:
-        return (masks[:, None] >> np.arange(len(self.together), dtype=np.int64) & 1).astype(float)
+        return np.unpackbits(masks, axis=1, count=len(self.together), bitorder="little").astype(float)
 
     def moments(self, masks: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For each class the texts, then how often each pair of voters fires (a voter with itself: alone)."""
@@ -191,7 +198,10 @@ def label_model(patterns: DataFrame, model: LabelModel, rounds: int = ROUNDS) ->
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, 1 + voters * voters))
             for batch in batches:
-                total += held.moments(batch.column("votes").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False))
+                n = batch.column("n").to_numpy(zero_copy_only=False)
+                for low in range(0, len(n), PATTERNS):
+                    part = batch.column("votes").slice(low, PATTERNS).to_pylist()
+                    total += held.moments(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1), n[low : low + PATTERNS])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         parts = patterns.mapInArrow(sums, X.schema("sums binary")).collect()  # one fixed-size row per partition of the patterns
@@ -266,7 +276,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         .agg(F.max("toxic").alias("toxic"))
     )
     sampled = _sample(known, "key", "labels", labelled_rows)
-    mined = mine(docs.join(F.broadcast(sampled), "key").select("text", "toxic"))  # labelled_rows rows
+    mined = mine(docs.join(F.broadcast(sampled), "key").select("key", "text", "toxic"))  # labelled_rows rows
     if mined is None:
         return None
     voters, model = mined
@@ -276,20 +286,17 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     labelled = _sample(sampled, "key", "labels", train_rows)
     chosen = _sample(docs.select("key").distinct(), "key", "train", train_rows).union(labelled.select("key")).distinct()
     rows = docs.join(F.broadcast(chosen), "key", "left_semi")  # at most 2 * train_rows keys
-    lookup = Lookup(voters)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, texts, targets, n = [], [], [], 0
         for batch, body, at in X.steps(batches):
             h, of = features(body, at)
-            spot, voter = lookup.find(h)
-            mask = np.zeros(len(at) - 1, np.int64)
-            np.bitwise_or.at(mask, of[spot], np.int64(1) << voter.astype(np.int64))
+            masks = voters.masks(h, of, len(at) - 1)
             h, of = _distinct(h, of)
             hashes.append(h)
             texts.append((of + n).astype(np.int32))
-            targets.append(model.posterior(mask))
-            n += len(mask)
+            targets.append(model.posterior(masks))
+            n += len(masks)
         if not n:
             return
         found, weights, bias = _train(np.concatenate(hashes), np.concatenate(texts), np.clip(np.concatenate(targets), 1e-4, 1 - 1e-4))

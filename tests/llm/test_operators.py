@@ -322,6 +322,19 @@ def test_toxicity_learns_words_and_beginnings(spark, empty):
     assert toxicity.fit(empty, table) is None and toxicity.score(empty, model).count() == 0
 
 
+def test_toxic_words_with_equal_counts_all_vote(spark):
+    """A word is only dropped for another one of the same texts; words of other texts keep their vote, however many there are."""
+    rows = [(i, f"w{i // 8:02} the", 1) for i in range(8 * 70)]  # 70 words with 8 texts each
+    rows += [(i, "ab1 ab2 the", 1) for i in range(600, 608)] + [(i, "the", 0) for i in range(700, 900)]
+    labelled = spark.createDataFrame(rows, "key bigint, text string, toxic int").repartition(4)
+    voters, model = toxicity.mine(labelled)
+    fired = {r["key"]: r["votes"] for r in toxicity.votes(labelled, voters).collect()}
+    silent = fired[700]
+    assert len(model.together) == 71
+    assert all((fired[k] != silent) == bool(toxic) for k, _, toxic in rows)
+    assert len({fired[k] for k, _, toxic in rows if toxic}) == 71
+
+
 def brute_top(rows, k):
     vectors = {}
     for key, v in rows:
