@@ -176,7 +176,7 @@ def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool
     """Pairs of a bucket in different components whose signatures agree.
 
     The ``first`` time the ``FIRST_TRIES`` most similar ones of each class and
-    component, the second time all of those that had more.
+    component, the second time all that still lie apart, whichever side seeks by then.
 
     A pair that meets in several buckets comes from the one of its first band.
     ``rows``: ``bucket``, ``band``, ``rep``, ``n``, ``component``. ``cut`` tells that a pair's class had more.
@@ -212,11 +212,10 @@ def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool
                 taken.setdefault(component[j], []).append(int(rep[j]))
             for found in taken.values():
                 many = len(found) > FIRST_TRIES
-                if first or many:  # the second time only what was left the first time
-                    found = found[:FIRST_TRIES] if first else found
-                    out_a += [int(rep[i])] * len(found)
-                    out_b += found
-                    out_cut += [first and many] * len(found)
+                found = found[:FIRST_TRIES] if first else found
+                out_a += [int(rep[i])] * len(found)
+                out_b += found
+                out_cut += [first and many] * len(found)
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_cut, pa.bool_())], names=["a", "b", "cut"])
 
     grouped = spread.unionByName(seeking).groupBy("bucket", "block")

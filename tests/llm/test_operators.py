@@ -122,6 +122,22 @@ def test_chains_in_one_bucket_lose_no_link(spark):
     assert {(r["key"], r["component_id"]) for r in got} == {(k, find(k)) for k, _ in rows}
 
 
+def test_pairs_cut_the_first_time_are_tested_when_the_other_side_seeks(spark):
+    """Class 0 seeks 20 like it, then joins the bucket's main component, so that the 20 seek it."""
+    near, far = bytes(neardup.MINIMA), bytes(neardup.ROWS) + b"\x01" * (neardup.MINIMA - neardup.ROWS)
+    like, main = range(100, 120), range(200, 230)
+    classes = spark.createDataFrame([(0, bytearray(near)), *((i, bytearray(near)) for i in like), *((i, bytearray(far)) for i in main)], "rep bigint, sig binary")
+
+    def pairs(component, first):
+        rows = [(7, 0, 0, 50, component), *((7, 0, i, 50, 100) for i in like), *((7, 0, i, 50, 200) for i in main)]
+        found = neardup._crossing(spark.createDataFrame(rows, "bucket bigint, band int, rep bigint, n bigint, component bigint"), classes, 0.8, first)
+        return {(r["a"], r["b"]): r["cut"] for r in found.collect()}
+
+    some = pairs(0, True)
+    assert len(some) == neardup.FIRST_TRIES and all(some.values())
+    assert set(some) | set(pairs(200, False)) == {(0, i) for i in like}
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 200), (200, 7), (300, 300)]
     got = {(r["node"], r["component"]) for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
