@@ -128,7 +128,7 @@ def _first_labels(s: SparkSession, d: str, size: int = 120) -> DataFrame:
 
 def _round(s: SparkSession, d: str, **options) -> models.Round:
     df = texts(s, d).drop("toxic")
-    return models.run_round(df, _first_labels(s, d), "doc_id", "quality", **{"trees": 20, **options})
+    return models.run_round(df, _first_labels(s, d), "doc_id", "quality", **options)
 
 
 def _round_rows(s: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
     """The rows a model trained on the first batch is least sure of, with its confidence."""
     df, labels = texts(s, d).drop("toxic", "quality"), _first_labels(s, d)
     labelled = df.join(labels.withColumnRenamed("label", "quality"), "doc_id")
-    fitted = models.fit(labelled, "quality", _feature_names(s, d), "doc_id", trees=20)
+    fitted = models.fit(labelled, "quality", _feature_names(s, d), "doc_id")
     pool = active.pool(df, labels, "doc_id")
     batch = active.uncertain_batch(fitted.predict(pool), "doc_id", 20, "margin")
     return models.batch_rows(df, batch, fitted, "doc_id")
@@ -176,7 +176,7 @@ def _variance(s: SparkSession, d: str) -> DataFrame:
 
 def _predict(s: SparkSession, d: str) -> DataFrame:
     train = _train(s, d)
-    fitted = models.fit(train, "quality", _feature_names(s, d), "doc_id", model="random_forest", trees=20)
+    fitted = models.fit(train, "quality", _feature_names(s, d), "doc_id", model="random_forest")
     return models.predict_all(texts(s, d).drop("quality", "toxic"), fitted)
 
 
@@ -197,21 +197,15 @@ TWO = Derived(
     },
 )
 
-GRID = [
-    {"candidate_id": "lr", "model_type": "logistic_regression", "preset": "grid_search"},
-    {"candidate_id": "lr_tuned", "model_type": "logistic_regression", "preset": "tuned"},
-    {"candidate_id": "rf", "model_type": "random_forest", "preset": "default", "trees": 20},
-    {"candidate_id": "gbt", "model_type": "xgboost", "preset": "default", "trees": 5},
-    {"candidate_id": "svm", "model_type": "svm", "preset": "default"},
-    {"candidate_id": "mlp", "model_type": "mlp", "preset": "default"},
-]
+# every model under every preset, with the operator's own settings
+GRID = [{"candidate_id": f"{m}_{p}", "model_type": m, "preset": p} for m in models.MODELS for p in models.PRESETS]
+VALUE_MODELS = ("logistic_regression", "random_forest", "xgboost")  # the others have no regressor in Spark
 
 
-def _benchmark(protocol: str, *ids: str):
+def _benchmark(protocol: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         train = _train(s, d).persist()
-        chosen = [c for c in GRID if not ids or c["candidate_id"] in ids]
-        results, detail = models.run_benchmark(train, "quality", "doc_id", chosen, protocol)
+        results, detail = models.run_benchmark(train, "quality", "doc_id", GRID, protocol)
         found = [(r.candidate_id, ", ".join(n for n, _ in r.importances)) for r in detail]
         tops = small_frame(s, found, "candidate_id string, features string")
         return results.join(tops, "candidate_id").drop("mae", "rmse", "r2")
@@ -236,10 +230,7 @@ def _two_class_folds(s: SparkSession, d: str) -> DataFrame:
 def _regression(s: SparkSession, d: str) -> DataFrame:
     """Regression candidates on all orders' prices."""
     orders = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"))
-    chosen = [
-        {"candidate_id": "linear", "model_type": "logistic_regression"},
-        {"candidate_id": "forest", "model_type": "random_forest", "trees": 5},
-    ]
+    chosen = [c for c in GRID if c["model_type"] in VALUE_MODELS]
     return models.run_benchmark(orders, "o_totalprice", "o_orderkey", chosen, "holdout_90", "regression")[0].select(
         "candidate_id", "status", "r2", "mae", "rmse"
     )
@@ -340,7 +331,7 @@ QUERIES = {
     "bm_cv_summary": lambda s, d: evaluation.cv_summary(FOLDS.frame(s, d), ["accuracy", "f1"]),
     "bm_confusion": lambda s, d: evaluation.confusion(JUDGED.frame(s, d), by=["fold"]),
     "bm_grid": _benchmark("holdout_80"),
-    "bm_cross_validated": _benchmark("kfold_5", "lr_tuned"),
+    "bm_cross_validated": _benchmark("kfold_5"),
     "bm_regression": _regression,
     "bm_learning_curve": _curve,
     "bm_winner": lambda s, d: evaluation.winner(CANDIDATES.frame(s, d), "classification", ["job"]),

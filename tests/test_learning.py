@@ -116,3 +116,29 @@ def test_copula_keeps_moments_and_dependence(spark):
     assert made[2] == pytest.approx(real[2], abs=0.05)
     assert made[3] == pytest.approx(real[3], abs=0.03)
     assert out.join(df, "name", "left_semi").count() == 4_000
+
+
+def test_registered_models_keep_the_operators_settings(spark, small, monkeypatch):
+    """Every model under every preset is benchmarked, and no query sets its own number of trees."""
+    from sluice.plans import all_queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(*found, **_):
+        raise Seen(found)
+
+    def first(query):
+        with pytest.raises(Seen) as stopped:
+            all_queries()[query](spark, small)
+        return stopped.value.args[0]
+
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "run_benchmark", seen)
+        for query, kinds in (("bm_grid", models.MODELS), ("bm_cross_validated", models.MODELS), ("bm_regression", models.MODELS[:3])):
+            chosen = first(query)[3]
+            assert sorted((c["model_type"], c["preset"]) for c in chosen) == sorted((m, p) for m in kinds for p in models.PRESETS)
+            assert not any("trees" in c for c in chosen)
+    monkeypatch.setattr(models, "estimator", seen)
+    for query in ("al_train", "al_batch", "al_predict"):
+        assert first(query)[6:] in ((), (None,))
