@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import contamination, langid, neardup, packing, secrets, suffixes, token_files, topk, toxicity, urls
+from sluice.llm import codes, contamination, langid, neardup, packing, secrets, spelling, suffixes, token_files, topk, toxicity, urls
 from sluice.llm import texts as X
 from sluice.llm.sql import SQL  # noqa: F401
 from sluice.session import checkpoint_dir
@@ -80,6 +80,18 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), k=4).withColumnRenamed("key", "doc_id")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents with the more frequent words they are variants of."""
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors as eight-byte codes, with their errors and those of their label."""
+    coded = codes.encode(_table(spark, folder, "embeddings"))
+    rows = codes.with_label_errors(coded.rows)
+    return rows.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -91,4 +103,6 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_url_filter": op9_url_filter,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
