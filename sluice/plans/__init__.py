@@ -20,6 +20,7 @@ AREAS = (
     "synthetic",
     "learning",
     "relations",
+    "streams",
 )
 
 

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sluice.session import local_session
 
-    session = local_session(8, "tests", "8g")
+    session = local_session(int(os.environ.get("TEST_CORES", "8")), "tests", "8g")
     yield session
     session.stop()
 
