@@ -286,7 +286,8 @@ def encode(
         fresh = [np.array([[x // n for x in s] if n else old.tolist() for s, n, old in zip(sums[p], counts[p], book)], np.int64).reshape(book.shape) for p, book in enumerate(books)]
         moves = [np.sqrt(((new - old) ** 2).sum(axis=1).astype(np.float64)) * (1 + EASE) for new, old in zip(fresh, books)]
         books, b = fresh, needed(depths)
-        state = X.written(_next(state, books, moves, edges, b))
+        last, state = state, X.written(_next(state, books, moves, edges, b))
+        X.forget(last)
     return Coded(_errors(state, books, edges), [book.tolist() for book in books])
 
 

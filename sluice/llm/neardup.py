@@ -13,11 +13,13 @@ reaches the threshold.
    pairs). Pairs whose signatures agree enough are confirmed on the full sets.
 4. Links become components by alternating large-star and small-star steps.
 5. Buckets that still hold several components are looked at again: the classes
-   outside a bucket's largest component are compared, by signature, with all
-   others of the bucket, in blocks. Pairs that agree enough and lie in different
-   components are confirmed: first the most similar ones of each class and
-   component, then all that still lie apart. So a link between classes that meet
-   in a bucket can only be left out if it joins what is joined already.
+   outside a bucket's largest component are compared, by signature and sketch,
+   with all others of the bucket, in blocks of both sides. Pairs that agree enough
+   and lie in different components are confirmed: first the most similar ones of
+   each class and component, then all that still lie apart. So a link between
+   classes that meet in a bucket can only be left out if it joins what is joined
+   already. Sketches rule out nearly all pairs just below the threshold, and never
+   a link, so that what is confirmed follows the classes and not their pairs.
 
 Nothing passes the driver but counts. A class in very many pairs is spread over
 salts, a bucket over blocks.
@@ -37,14 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import links as L
 from sluice.llm import texts as X
+from sluice.llm.links import components
 
 BANDS, ROWS = 36, 5
 MINIMA = 360  # the first BANDS * ROWS make buckets, all of them make estimates
 SLACK = 0.09  # more than four deviations of an estimate from 360 minima at 0.8
 BLOCK = 256  # classes of a bucket compared in one go
 FIRST_TRIES = 16  # pairs of a class and a component that are confirmed before all others
-SALT_PAIRS = 512  # pairs of one class that stay together
 _RANDOM = np.random.default_rng(36 * 5)
 _A = _RANDOM.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64)
@@ -62,7 +65,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
-    """``key``, ``n`` (size of the set), ``digest`` (equal for equal sets; null for empty ones) and ``sig``."""
+    """``key``, ``n`` (size of the set), ``digest`` (equal for equal sets; null for empty ones), ``sig`` and ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -71,12 +74,13 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
             sets = X.text_sets(body, at, X.SPACED, k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             found = [minima(s).tobytes() if len(s) else None for s in sets]
+            marks = [L.sketch(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
-                names=["key", "n", "digest", "sig"],
+                [batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, found, marks))],
+                names=["key", "n", "digest", "sig", "sketch"],
             )
 
-    return X.prepared(df, key, text).mapInArrow(run, X.schema("key bigint, n bigint, digest binary, sig binary"))
+    return X.prepared(df, key, text).mapInArrow(run, X.schema("key bigint, n bigint, digest binary, sig binary, sketch binary"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -96,80 +100,22 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, X.schema("bucket bigint, band int, rep bigint, n bigint"))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least the share ``least`` of their minima."""
+def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose signatures agree enough and whose sketches do not rule them out."""
+    percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                keep = pa.array((a == b).mean(axis=1) >= least)
+                n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                keep = (a == b).mean(axis=1) >= threshold - SLACK
+                keep = pa.array(keep & L.possible(L.sketches(batch.column("sketch_a")), L.sketches(batch.column("sketch_b")), n, m, percent))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, X.schema("a bigint, b bigint"))
-
-
-def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """``rep`` and its shingle set as bytes, for the wanted classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in X.steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in X.text_sets(body, at, X.SPACED, k)], pa.binary())], names=["rep", "members"])
-
-    docs = X.prepared(df, key, text).join(wanted.select(F.col("rep").alias("key")), "key", "left_semi")
-    return docs.mapInArrow(run, X.schema("rep bigint, members binary"))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets are similar enough.
-
-    ``a``'s set travels once per salt and not once per pair: pairs are sorted by
-    ``a`` and its set comes first.
-    """
-    percent = round(threshold * 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found = []
-            for a, b, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members")):
-                values = np.frombuffer(members.as_buffer(), np.uint64)
-                if b is None:
-                    held, own = a, values.copy()
-                elif a == held:
-                    common = len(np.intersect1d(own, values, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(values) - common):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
-
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")).cast("int").alias("salt"), F.col("b").alias("rep"))
-    leaders = salts.select("a", F.lit(None).cast("bigint").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("rep"))
-    rows = members.unionByName(leaders).join(sets, "rep").select("a", "b", "salt", "members")
-    ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(run, X.schema("a bigint, b bigint"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (the smallest node reachable) of all nodes with a link but the smallest ones, by large-star and small-star steps."""
-    up, down = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges = X.written(links.where(F.col("a") != F.col("b")).select(up, down).distinct())
-    before = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-        large = edges.join(least, F.col("v") == F.col("at")).select("u", F.col("m").alias("v"))
-        # neighbours larger than a node go to its smallest neighbour; then each node and its smaller neighbours to the smallest of them
-        turned = large.where(F.col("u") != F.col("v"))
-        lowest = turned.groupBy("u").agg(F.min("v").alias("m"))
-        small = turned.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = X.written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+    side = lambda s: classes.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "sketch")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{s}" for c in ("n", "sig", "sketch") for s in "ab"])
+    return met.mapInArrow(run, X.schema("a bigint, b bigint"))
 
 
 def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool) -> DataFrame:
@@ -181,45 +127,41 @@ def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool
     A pair that meets in several buckets comes from the one of its first band.
     ``rows``: ``bucket``, ``band``, ``rep``, ``n``, ``component``. ``cut`` tells that a pair's class had more.
     """
-    fields = ["bucket", "band", "rep", "n", "component", "sig"]
+    percent = round(threshold * 100)
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     per_bucket = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
-    mixed = per_bucket.where(F.col("parts") > 1).select("bucket", F.col("top")["component"].alias("main"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    active = rows.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep")
-    free = (F.col("component") != F.col("main")).alias("free")
-    spread = active.select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int").alias("block"), F.lit(False).alias("seeks"), free, *fields[1:])
-    seeking = active.where(F.col("component") != F.col("main")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"), free, *fields[1:]
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    mixed = per_bucket.where(F.col("parts") > 1).select(
+        "bucket", F.col("top")["component"].alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("top")["c"]).alias("seekers")
     )
+    active = rows.join(mixed, "bucket").join(classes.select("rep", "sig", "sketch"), "rep").withColumn("free", F.col("component") != F.col("main"))
+    place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c).cast("bigint")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    fields = ["free", "band", "rep", "n", "component", "sig", "sketch"]
+    met = active.select("bucket", every("seekers").alias("x"), place("blocks").alias("y"), F.lit(False).alias("seeks"), *fields)
+    seeking = active.where("free").select("bucket", place("seekers").alias("x"), every("blocks").alias("y"), F.lit(True).alias("seeks"), *fields)
 
     def block(table: pa.Table) -> pa.Table:
         seeks, free = table.column("seeks").to_numpy(), table.column("free").to_numpy()
         rep, size, component = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
         band = table.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
+        marks = L.sketches(table.column("sketch").combine_chunks())
         mine, others = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        out_a, out_b, out_cut = [], [], []
-        for i in mine:
-            apart = others[(component[others] != component[i]) & (~free[others] | (rep[others] > rep[i]))]  # a pair that seeks on both sides comes from the smaller
-            apart = apart[np.minimum(size[apart], size[i]) >= threshold * np.maximum(size[apart], size[i])]
-            equal = sig[apart] == sig[i]
-            share = equal.mean(axis=1)
-            near = np.flatnonzero(share >= threshold - SLACK)
-            near = near[equal[near, : BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            near = near[np.lexsort((rep[apart[near]], -share[near]))]
-            taken: dict[int, list[int]] = {}
-            for j in apart[near]:
-                taken.setdefault(component[j], []).append(int(rep[j]))
-            for found in taken.values():
-                many = len(found) > FIRST_TRIES
-                found = found[:FIRST_TRIES] if first else found
-                out_a += [int(rep[i])] * len(found)
-                out_b += found
-                out_cut += [first and many] * len(found)
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_cut, pa.bool_())], names=["a", "b", "cut"])
-
-    grouped = spread.unionByName(seeking).groupBy("bucket", "block")
-    found = grouped.applyInArrow(block, X.schema("a bigint, b bigint, cut boolean"))
+        fit = component[mine][:, None] != component[others][None]
+        fit &= ~free[others][None] | (rep[others][None] > rep[mine][:, None])  # a pair that seeks on both sides comes from the smaller
+        fit &= np.minimum(size[mine][:, None], size[others][None]) >= threshold * np.maximum(size[mine][:, None], size[others][None])
+        i, j = np.nonzero(fit)
+        i, j = mine[i], others[j]
+        near = L.possible(marks[i], marks[j], size[i], size[j], percent) if len(i) else np.zeros(0, bool)
+        i, j = i[near], j[near]
+        equal = sig[i] == sig[j]
+        share = equal.mean(axis=1) if len(i) else np.zeros(0)
+        near = (share >= threshold - SLACK) & (equal[:, : BANDS * ROWS].reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+        i, j, cut = L.most_alike(i[near], j[near], -share[near], component, rep, FIRST_TRIES if first else None)
+        return pa.table([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+    found = met.unionByName(seeking).groupBy("bucket", "x", "y").applyInArrow(block, X.schema("a bigint, b bigint, cut boolean"))
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 
@@ -227,8 +169,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     """One row per row of ``df``: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable), ``kept`` (the component's smallest key)."""
     every = X.written(signatures(df, key, text, k))
     known = every.where(F.col("digest").isNotNull() & F.col("key").isNotNull())
-    grouped = known.groupBy("digest").agg(F.min(F.struct("key", "n", "sig")).alias("s"))
-    classes = X.written(grouped.select("digest", F.col("s")["key"].alias("rep"), F.col("s")["n"].alias("n"), F.col("s")["sig"].alias("sig")))
+    grouped = known.groupBy("digest").agg(F.min(F.struct("key", "n", "sig", "sketch")).alias("s"))
+    classes = X.written(grouped.select("digest", F.col("s")["key"].alias("rep"), *[F.col("s")[c].alias(c) for c in ("n", "sig", "sketch")]))
     joined = _joined(df, classes, key, text, k, threshold)
     named = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
@@ -246,15 +188,16 @@ def _joined(df: DataFrame, classes: DataFrame, key: str, text: str, k: int, thre
     rows = X.written(banded.join(shared.select("bucket", F.col("s")["rep"].alias("first"), F.col("s")["n"].alias("first_n")), "bucket"))
     alike = (F.least("n", "first_n") >= F.greatest("n", "first_n") * threshold) & (F.col("rep") != F.col("first"))
     stars = rows.where(alike).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = X.written(_sets(df, rows.select("rep").distinct(), key, text, k).dropDuplicates(["rep"]))
-    links = X.written(_confirmed(X.written(_agreeing(stars, classes, threshold - SLACK)), sets, threshold))
+    sets = X.written(L.sets(df, rows.select("rep").distinct(), key, text, k).dropDuplicates(["rep"]))
+    percent = round(threshold * 100)
+    links = X.written(L.confirmed(X.written(_agreeing(stars, classes, threshold)), sets, percent))
     joined = components(links)
     tested = stars
     for first in (True, False):
         named = rows.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
         crossing = X.written(_crossing(named.select("bucket", "band", "rep", "n", "component"), classes, threshold, first))
         fresh = crossing.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        more = X.written(_confirmed(X.written(fresh), sets, threshold))
+        more = X.written(L.confirmed(X.written(fresh), sets, percent))
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         if not crossing.where("cut").limit(1).count():
             break

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import codes, contamination, langid, neardup, packing, secrets, spelling, suffixes, token_files, topk, toxicity, urls
+from sluice.llm import codes, contamination, langid, neardup, packing, secrets, setjoin, spelling, suffixes, token_files, topk, toxicity, urls
 from sluice.llm import texts as X
 from sluice.llm.sql import SQL  # noqa: F401
 from sluice.session import checkpoint_dir
@@ -80,6 +80,11 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), k=4).withColumnRenamed("key", "doc_id")
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every document under links of similar shingle sets."""
+    return setjoin.jaccard_join(_table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """The words of all documents with the more frequent words they are variants of."""
     return spelling.variants(_table(spark, folder, "documents"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_url_filter": op9_url_filter,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_vector_codes": op13_vector_codes,
 }

@@ -190,6 +190,7 @@ SQL: dict[str, str] = {
     "op6_secret_scan": _secrets(),
     "op8_exact_top_k": OP8,
     "op10_near_duplicates": OP10,
+    "op11_jaccard_join": OP11,
     "op12_spelling_variants": OP12,
     "op13_vector_codes": _codes(),
 }

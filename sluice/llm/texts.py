@@ -42,7 +42,16 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written into the cluster's shared folder and read back: computed once, safe from lost executors."""
     path = f"{checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`written` gave, once nothing will read it again."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import contamination, langid, neardup, packing, secrets, suffixes, token_files, topk, toxicity, urls
+from sluice.llm import contamination, langid, links, neardup, packing, secrets, suffixes, token_files, topk, toxicity, urls
 from sluice.llm.tokens import tokenizer, vocabulary
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -126,7 +126,8 @@ def test_pairs_cut_the_first_time_are_tested_when_the_other_side_seeks(spark):
     """Class 0 seeks 20 like it, then joins the bucket's main component, so that the 20 seek it."""
     near, far = bytes(neardup.MINIMA), bytes(neardup.ROWS) + b"\x01" * (neardup.MINIMA - neardup.ROWS)
     like, main = range(100, 120), range(200, 230)
-    classes = spark.createDataFrame([(0, bytearray(near)), *((i, bytearray(near)) for i in like), *((i, bytearray(far)) for i in main)], "rep bigint, sig binary")
+    mark = bytearray(links.SKETCH_BITS // 8)
+    classes = spark.createDataFrame([(0, bytearray(near), mark), *((i, bytearray(near), mark) for i in like), *((i, bytearray(far), mark) for i in main)], "rep bigint, sig binary, sketch binary")
 
     def pairs(component, first):
         rows = [(7, 0, 0, 50, component), *((7, 0, i, 50, 100) for i in like), *((7, 0, i, 50, 200) for i in main)]
