@@ -1,8 +1,8 @@
 """Facts about every column of a table, found in a fixed number of passes.
 
 The number of Spark jobs does not depend on the number of columns: one wide
-aggregate for counts and moments (with the quartiles where the table is small),
-one for values beyond the fences, one grouping of all text values and one of
+aggregate for counts, moments and sketches of the quartiles, two that read the
+quartiles off what the sketches leave open, one for values beyond the fences, one grouping of all text values and one of
 whole rows. What comes back is as wide as the schema, never as long as the data.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.quantiles import quantiles
+from sluice.functions.quantiles import from_sketches, quantiles, sketches
 from sluice.functions.types import dtype_label, comparable, is_numeric, is_string, kind_of
 from sluice.session import small_frame
 
@@ -42,9 +42,10 @@ def label_columns(df: DataFrame) -> list[str]:
     return [last.name] if dtype_label(last.dataType) in ("string", "boolean") else []
 
 
-def _wide(df: DataFrame, parts: Iterable[str]) -> dict[str, dict]:
-    """Counts and moments of all columns by one aggregate per block of columns."""
+def _wide(df: DataFrame, parts: Iterable[str], sketched: Iterable[str] = ()) -> tuple[dict[str, dict], dict]:
+    """Counts and moments of all columns, and quartile sketches of some, by one aggregate per block of columns."""
     found: dict[str, dict] = {}
+    bracketed: dict = {}
     fields = list(df.schema)
     for at in range(0, len(fields), MOST_COLUMNS_PER_AGGREGATE):
         block = fields[at : at + MOST_COLUMNS_PER_AGGREGATE]
@@ -64,19 +65,24 @@ def _wide(df: DataFrame, parts: Iterable[str]) -> dict[str, dict]:
                     F.stddev_pop(x).alias(f"{i}:std"),
                     F.skewness(x).alias(f"{i}:skew"),
                 ]
+        wanted += sketches([f.name for f in block if f.name in sketched], QUARTILES)
         row = df.agg(*wanted).first().asDict()
+        bracketed |= {k: v for k, v in row.items() if k.startswith("sketch:")}
         for i, field in enumerate(block):
             own = {k.split(":", 1)[1]: v for k, v in row.items() if k.startswith(f"{i}:")}
             present = own.pop("present")
             found[field.name] = {"rows": row["rows"], "nulls": row["rows"] - present, **own}
             if is_numeric(field.dataType):
                 found[field.name]["numbers"] = present
-    return found
+    return found, bracketed
 
 
-def quartiles(df: DataFrame, rows: int | None = None, approximate: bool = False) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def quartiles(df: DataFrame, approximate: bool = False) -> DataFrame:
     names = [f.name for f in df.schema if is_numeric(f.dataType)]
-    return quantiles(df, names, [0.25, 0.5, 0.75], rows=rows, approximate=approximate)
+    return quantiles(df, names, QUARTILES, approximate=approximate)
 
 
 def fences(q1: float | None, q3: float | None, n: int) -> tuple[float, float] | None:
@@ -154,18 +160,19 @@ def facts(df: DataFrame, parts: Iterable[str] = PARTS, approximate: bool = False
     ``approximate`` takes quartiles from a sketch instead of exact ones.
     """
     parts = set(parts)
-    found = _wide(df, parts)
-    labels = label_columns(df)
-    rows = next(iter(found.values()))["rows"] if found else 0
     numeric = [f.name for f in df.schema if is_numeric(f.dataType)]
-    if parts & {"outliers", "moments"} and numeric:
+    ranked = numeric if parts & {"outliers", "moments"} else []
+    found, bracketed = _wide(df, parts, () if approximate else ranked)
+    labels = label_columns(df)
+    if ranked:
         bounds = {}
-        for r in quartiles(df, rows, approximate).collect():  # one row per numeric column
-            q1, median, q3 = r["q"] if r["q"] else (None, None, None)
-            found[r["column"]].update(q1=q1, median=median, q3=q3)
-            limits = fences(q1, q3, r["n"])
+        read = {r["column"]: (r["n"], r["q"]) for r in quartiles(df, approximate=True).collect()} if approximate else from_sketches(df, ranked, QUARTILES, bracketed)
+        for c, (n, q) in read.items():
+            q1, median, q3 = q or (None, None, None)
+            found[c].update(q1=q1, median=median, q3=q3)
+            limits = fences(q1, q3, n)
             if limits:
-                bounds[r["column"]] = limits
+                bounds[c] = limits
         if "outliers" in parts:
             for c in numeric:
                 found[c]["outliers"] = 0

@@ -331,6 +331,25 @@ def scores(facts: DataFrame, duplicates: DataFrame, weights: dict[str, float] |
     return both.select(F.round(total, 1).alias("overall"), *WEIGHTS)
 
 
+def weighted_score(scan_scores: DataFrame, columns: DataFrame, weights: dict[str, float], critical: Sequence[tuple[str, float, float]] = ()) -> DataFrame:
+    """One row: ``base`` (dimension scores under ``weights``, scaled to their sum), ``penalty`` and ``final``, from 0 to 100.
+
+    ``critical`` lists columns (name, least score, points): a column that scores
+    below its least costs its points, in proportion to how far it falls short; one
+    that is not there costs them all.
+    """
+    unknown = set(weights) - set(WEIGHTS)
+    if unknown or not sum(weights.values()) > 0:
+        raise ValueError(f"weights are needed for some of {sorted(WEIGHTS)}, got {sorted(weights)}")
+    total = reduce(lambda a, b: a + b, [F.col(name) * F.lit(float(w)) for name, w in weights.items()]) / float(sum(weights.values()))
+    rules = small_frame(scan_scores.sparkSession, [(c, float(least), float(points)) for c, least, points in critical], "name string, least double, points double")
+    met = rules.join(columns.select(F.col("column").alias("name"), "quality_score"), "name", "left")  # a row per rule
+    short = F.when(F.col("least") > 0, F.greatest(F.lit(0.0), F.col("least") - F.coalesce("quality_score", F.lit(0.0))) / F.col("least")).otherwise(0.0)
+    lost = met.agg(F.round(F.coalesce(F.sum(F.col("points") * short), F.lit(0.0)), 2).alias("penalty"))
+    both = beside(scan_scores.select(F.round(total, 1).alias("base")), lost)
+    return both.withColumn("final", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") - F.col("penalty"))), 1))
+
+
 def column_scores(facts: DataFrame, issues: DataFrame) -> DataFrame:
     weight = F.when(F.col("severity") == "critical", 15).when(F.col("severity") == "warning", 8).otherwise(3)
     lost = issues.groupBy(F.col("column_name").alias("column")).agg(F.sum(weight).alias("lost"))

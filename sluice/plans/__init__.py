@@ -21,6 +21,7 @@ AREAS = (
     "learning",
     "relations",
     "streams",
+    "trust",
 )
 
 

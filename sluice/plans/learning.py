@@ -112,12 +112,12 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     return documents.join(table(s, d, "labels"), "doc_id", "left").persist()
 
 
-def _train(s: SparkSession, d: str) -> DataFrame:
+def training_rows(s: SparkSession, d: str) -> DataFrame:
     return texts(s, d).where("quality IS NOT NULL").drop("toxic")
 
 
-def _feature_names(s: SparkSession, d: str) -> list[str]:
-    return preparation.feature_columns(_train(s, d), "quality", ["doc_id"])
+def feature_names(s: SparkSession, d: str) -> list[str]:
+    return preparation.feature_columns(training_rows(s, d), "quality", ["doc_id"])
 
 
 def _first_labels(s: SparkSession, d: str, size: int = 120) -> DataFrame:
@@ -143,7 +143,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
     """The rows a model trained on the first batch is least sure of, with its confidence."""
     df, labels = texts(s, d).drop("toxic", "quality"), _first_labels(s, d)
     labelled = df.join(labels.withColumnRenamed("label", "quality"), "doc_id")
-    fitted = models.fit(labelled, "quality", _feature_names(s, d), "doc_id")
+    fitted = models.fit(labelled, "quality", feature_names(s, d), "doc_id")
     pool = active.pool(df, labels, "doc_id")
     batch = active.uncertain_batch(fitted.predict(pool), "doc_id", 20, "margin")
     return models.batch_rows(df, batch, fitted, "doc_id")
@@ -175,8 +175,8 @@ def _variance(s: SparkSession, d: str) -> DataFrame:
 
 
 def _predict(s: SparkSession, d: str) -> DataFrame:
-    train = _train(s, d)
-    fitted = models.fit(train, "quality", _feature_names(s, d), "doc_id", model="random_forest")
+    train = training_rows(s, d)
+    fitted = models.fit(train, "quality", feature_names(s, d), "doc_id", model="random_forest")
     return models.predict_all(texts(s, d).drop("quality", "toxic"), fitted)
 
 
@@ -204,7 +204,7 @@ VALUE_MODELS = ("logistic_regression", "random_forest", "xgboost")  # the others
 
 def _benchmark(protocol: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        train = _train(s, d).persist()
+        train = training_rows(s, d).persist()
         results, detail = models.run_benchmark(train, "quality", "doc_id", GRID, protocol)
         found = [(r.candidate_id, ", ".join(n for n, _ in r.importances)) for r in detail]
         tops = small_frame(s, found, "candidate_id string, features string")
@@ -215,7 +215,7 @@ def _benchmark(protocol: str):
 
 def _curve(s: SparkSession, d: str) -> DataFrame:
     rows = models.learning_curve(
-        _train(s, d), "quality", _feature_names(s, d), "doc_id", evaluation.LEARNING_SHARES, model="logistic_regression"
+        training_rows(s, d), "quality", feature_names(s, d), "doc_id", evaluation.LEARNING_SHARES, model="logistic_regression"
     )
     return small_frame(s, rows, "share double, train_score double, val_score double")
 
