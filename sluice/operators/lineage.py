@@ -29,19 +29,20 @@ class Entities:
 
     datasets: DataFrame  # id, name, file_path, row_count, status, created_at
     scans: DataFrame
-    pipelines: DataFrame  # id, name, dataset_id, status
-    runs: DataFrame  # id, pipeline_id, status, output_path
-    synthetic_jobs: DataFrame  # id, method, status, source_dataset_id, output_dataset_id
-    sessions: DataFrame  # id, name, model_type, status, dataset_id
-    benchmarks: DataFrame  # id, name, status, dataset_id
-    assets: DataFrame  # id, title, asset_type
+    pipelines: DataFrame  # id, name, dataset_id, status, step_count, created_at
+    runs: DataFrame  # id, pipeline_id, status, output_path, rows_in, rows_out, created_at
+    synthetic_jobs: DataFrame  # id, method, status, source_dataset_id, output_dataset_id, row_count, created_at
+    sessions: DataFrame  # id, name, model_type, task_type, status, dataset_id, created_at
+    rounds: DataFrame  # session_id, round, accuracy
+    benchmarks: DataFrame  # id, name, status, task_type, dataset_id, candidate_count, created_at
+    assets: DataFrame  # id, title, asset_type, author_name
     installs: DataFrame  # asset_id, resulting_id
 
 
 def _nodes(df: DataFrame, kind: str, node_id: Column, label: Column, meta: list[str | Column]) -> DataFrame:
     return df.select(
         node_id.alias("id"), F.lit(kind).alias("type"), label.alias("label"), F.lit(COLORS[kind]).alias("color"),
-        F.to_json(F.struct(*meta)).alias("meta"),
+        F.to_json(F.struct(*meta), {"ignoreNullFields": "false"}).alias("meta"),
     )
 
 
@@ -54,21 +55,27 @@ def asset_node(asset_id: Column) -> Column:
 
 
 def nodes(e: Entities) -> DataFrame:
+    """Everything that was made or used, with the facts of its kind as JSON."""
     risks = latest_scans(e.scans).select(F.col("dataset_id").alias("__id"), "overall_risk")
     sets = e.datasets.join(risks, F.col("id") == F.col("__id"), "left").withColumn(
         "pii_risk", F.coalesce("overall_risk", F.lit("unscanned"))
     )
-    used = e.assets.join(e.installs, F.col("id") == F.col("asset_id"), "left_semi")
+    trained = e.rounds.groupBy(F.col("session_id").alias("__id")).agg(F.count(F.lit(1)).alias("rounds"), F.max_by("accuracy", "round").alias("accuracy"))
+    sessions = e.sessions.join(trained, F.col("id") == F.col("__id"), "left").withColumn("rounds", F.coalesce("rounds", F.lit(0)))
+    used = e.assets.join(e.installs, F.col("id") == F.col("asset_id"), "left_semi").withColumn("author", F.col("author_name"))
     col = F.col
     named = lambda fallback: F.coalesce(F.when(col("name") != "", col("name")), fallback)
     parts = [
-        _nodes(sets, "dataset", col("id"), col("name"), ["row_count", "status", "pii_risk"]),
-        _nodes(e.pipelines, "pipeline", col("id"), col("name"), ["status"]),
-        _nodes(e.runs, "pipeline_run", run_node(col("id")), F.format_string("Run (%s)", "status"), ["status"]),
-        _nodes(e.synthetic_jobs, "synthetic_job", col("id"), F.format_string("Synthetic (%s)", "method"), ["method", "status"]),
-        _nodes(e.sessions, "al_session", col("id"), named(F.format_string("AL: %s", "model_type")), ["model_type", "status"]),
-        _nodes(e.benchmarks, "benchmark_job", col("id"), named(F.lit("Benchmark")), ["status"]),
-        _nodes(used, "marketplace_asset", asset_node(col("id")), col("title"), ["asset_type"]),
+        _nodes(sets, "dataset", col("id"), col("name"), ["row_count", "status", "pii_risk", "created_at"]),
+        _nodes(e.pipelines, "pipeline", col("id"), col("name"), ["step_count", "status", "created_at"]),
+        _nodes(e.runs, "pipeline_run", run_node(col("id")), F.format_string("Run (%s)", "status"), ["status", "rows_in", "rows_out", "created_at"]),
+        _nodes(e.synthetic_jobs, "synthetic_job", col("id"), F.format_string("Synthetic (%s)", "method"), ["method", "row_count", "status", "created_at"]),
+        _nodes(
+            sessions, "al_session", col("id"), named(F.format_string("AL: %s", "model_type")),
+            ["model_type", "task_type", "status", "rounds", "created_at", "accuracy"],
+        ),
+        _nodes(e.benchmarks, "benchmark_job", col("id"), named(F.lit("Benchmark")), ["candidate_count", "status", "task_type", "created_at"]),
+        _nodes(used, "marketplace_asset", asset_node(col("id")), col("title"), ["asset_type", "author"]),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -107,19 +107,21 @@ QUERIES = {
 
 # --- the same in SQL ----------------------------------------------------------
 
-_GRAPH = f"""{BASE}, runs AS ({w.RUNS.sql}), syn AS ({w.SYNTHETIC.sql}), assets AS ({w.ASSETS.sql}), installs AS ({w.INSTALLS.sql}),
+_GRAPH = f"""{BASE}, runs AS ({w.RUNS.sql}), syn AS ({w.SYNTHETIC.sql}), assets AS ({w.ASSETS.sql}), installs AS ({w.INSTALLS.sql}), session_rounds AS ({w.ROUNDS.sql}),
     nodes AS MATERIALIZED (
-    SELECT id, 'dataset' AS type, name AS label, '#3b82f6' AS color, '{{"row_count":' || row_count || ',"status":"' || status
-        || '","pii_risk":"' || coalesce(overall_risk, 'unscanned') || '"}}' AS meta FROM d
-    UNION ALL SELECT id, 'pipeline', name, '#a855f7', '{{"status":"' || status || '"}}' FROM pipelines
-    UNION ALL SELECT 'prun_' || id, 'pipeline_run', 'Run (' || status || ')', '#7c3aed', '{{"status":"' || status || '"}}' FROM runs
-    UNION ALL SELECT id, 'synthetic_job', 'Synthetic (' || method || ')', '#14b8a6', '{{"method":"' || method || '","status":"'
-        || status || '"}}' FROM syn
+    SELECT id, 'dataset' AS type, name AS label, '#3b82f6' AS color, json_object('row_count', row_count, 'status', status,
+        'pii_risk', coalesce(overall_risk, 'unscanned'), 'created_at', created_at)::VARCHAR AS meta FROM d
+    UNION ALL SELECT id, 'pipeline', name, '#a855f7', json_object('step_count', step_count, 'status', status, 'created_at', created_at) FROM pipelines
+    UNION ALL SELECT 'prun_' || id, 'pipeline_run', 'Run (' || status || ')', '#7c3aed',
+        json_object('status', status, 'rows_in', rows_in, 'rows_out', rows_out, 'created_at', created_at) FROM runs
+    UNION ALL SELECT id, 'synthetic_job', 'Synthetic (' || method || ')', '#14b8a6',
+        json_object('method', method, 'row_count', row_count, 'status', status, 'created_at', created_at) FROM syn
     UNION ALL SELECT id, 'al_session', CASE WHEN name = '' THEN 'AL: ' || model_type ELSE name END, '#22c55e',
-        '{{"model_type":"' || model_type || '","status":"' || status || '"}}' FROM sessions
+        json_object('model_type', model_type, 'task_type', task_type, 'status', status, 'rounds', coalesce(n_rounds, 0), 'created_at', created_at, 'accuracy', last_accuracy)
+        FROM sessions LEFT JOIN (SELECT session_id, count(*) AS n_rounds, arg_max({{'x': accuracy}}, "round")['x'] AS last_accuracy FROM session_rounds GROUP BY 1) ON session_id = id
     UNION ALL SELECT id, 'benchmark_job', CASE WHEN name = '' THEN 'Benchmark' ELSE name END, '#f97316',
-        '{{"status":"' || status || '"}}' FROM benchmarks
-    UNION ALL SELECT 'mp_' || id, 'marketplace_asset', title, '#ec4899', '{{"asset_type":"' || asset_type || '"}}' FROM assets
+        json_object('candidate_count', candidate_count, 'status', status, 'task_type', task_type, 'created_at', created_at) FROM benchmarks
+    UNION ALL SELECT 'mp_' || id, 'marketplace_asset', title, '#ec4899', json_object('asset_type', asset_type, 'author', author_name) FROM assets
         WHERE id IN (SELECT asset_id FROM installs)),
     links AS (SELECT dataset_id AS source, id AS target, 'source of' AS label FROM pipelines
     UNION ALL SELECT pipeline_id, 'prun_' || id, 'executed as' FROM runs

@@ -188,7 +188,7 @@ def _coreset(s: SparkSession, d: str) -> DataFrame:
 
 
 # two classes by rule, in five folds
-TWO = Derived(
+TWO_FOLDS = Derived(
     "orders",
     {
         "fold": "o_orderkey % 5",
@@ -222,7 +222,7 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
 
 def _two_class_folds(s: SparkSession, d: str) -> DataFrame:
     """Macro scores of two classes over fixed folds, with their deviations."""
-    told = TWO.frame(s, d)
+    told = TWO_FOLDS.frame(s, d)
     per_fold = evaluation.classification_metrics(told, "truth", "prediction", ["fold"], digits=12, macro=True)
     return evaluation.cv_summary(per_fold, ["accuracy", "f1", "precision", "recall"], by=())
 
@@ -469,7 +469,7 @@ SQL = {
         round(avg(abs(y - estimate)), 4) AS mae, round(sqrt(avg((y - estimate) ** 2)), 4) AS rmse,
         round(avg(abs((y - estimate) / y)) FILTER (y <> 0) * 100, 2) AS mape FROM t, m""",
     "bm_fold_metrics": _metrics_sql(_J, "fold,", False),
-    "bm_cv_two_class": f"""WITH t AS ({TWO.sql}), k AS (SELECT unnest(['no', 'yes']) AS c), n AS (
+    "bm_cv_two_class": f"""WITH t AS ({TWO_FOLDS.sql}), k AS (SELECT unnest(['no', 'yes']) AS c), n AS (
         SELECT fold, c, count(*) FILTER (truth = c AND prediction = c) AS tp, count(*) FILTER (truth = c) AS s, count(*) FILTER (prediction = c) AS p
         FROM t, k GROUP BY ALL), per AS (
         SELECT fold, sum(tp) / sum(s) AS accuracy, avg(2.0 * tp / (s + p)) AS f1, avg(tp / p) AS precision, avg(tp / s) AS recall FROM n GROUP BY fold)

@@ -15,6 +15,10 @@ _TEXT = "cast({} AS STRING)".format
 _JOIN = "concat('{}', cast({} AS STRING))".format
 
 
+def _day(key: str) -> str:
+    return f"concat('2024-', cast(10 + {key} % 3 AS STRING), '-', cast(10 + {key} % 19 AS STRING))"
+
+
 class Datasets:
     """Customers as datasets; their orders give the row count and the day of creation."""
 
@@ -68,6 +72,8 @@ PIPELINES = Derived(
         "name": "p_name",
         "dataset_id": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE " + _JOIN("ds", "p_partkey * 7 % 2500") + " END",
         "status": "'active'",
+        "step_count": "p_size % 7",
+        "created_at": _day("p_partkey"),
     },
 )
 RUNS = Derived(
@@ -76,6 +82,9 @@ RUNS = Derived(
         "id": _TEXT("o_orderkey"),
         "pipeline_id": _JOIN("pl", "o_orderkey % 2500"),
         "status": "lower(o_orderstatus)",
+        "rows_in": "o_custkey * 3",
+        "rows_out": "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey * 3 - o_orderkey % 10 END",
+        "created_at": _day("o_orderkey"),
         "output_path": "CASE WHEN o_orderkey % 5 = 0 THEN concat('out/', cast(o_custkey % 1800 AS STRING), '.csv') END",
     },
 )
@@ -85,6 +94,8 @@ SYNTHETIC = Derived(
         "id": _JOIN("sy", "s_suppkey"),
         "method": "CASE s_suppkey % 2 WHEN 0 THEN 'statistical' ELSE 'bootstrap' END",
         "status": "'complete'",
+        "row_count": "s_suppkey * 100",
+        "created_at": _day("s_suppkey"),
         "source_dataset_id": _JOIN("ds", "s_suppkey * 3"),
         "output_dataset_id": _JOIN("ds", "s_suppkey * 40"),
     },
@@ -95,6 +106,8 @@ SESSIONS = Derived(
         "id": _JOIN("al", "s_suppkey"),
         "name": "CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END",
         "model_type": "'random_forest'",
+        "task_type": "CASE WHEN s_suppkey % 3 = 0 THEN 'regression' ELSE 'classification' END",
+        "created_at": _day("s_suppkey"),
         "status": "CASE WHEN s_suppkey % 5 = 0 THEN 'annotating' ELSE 'complete' END",
         "dataset_id": _JOIN("ds", "s_nationkey"),
     },
@@ -116,6 +129,9 @@ BENCHMARKS = Derived(
         "status": "CASE p_size % 3 WHEN 0 THEN 'running' ELSE 'complete' END",
         "winner": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE " + _JOIN("c", "p_size") + " END",
         "dataset_id": _JOIN("ds", "p_partkey"),
+        "candidate_count": "1 + p_size % 5",
+        "task_type": "CASE WHEN p_size % 4 = 0 THEN 'regression' ELSE 'classification' END",
+        "created_at": _day("p_partkey"),
     },
 )
 ASSETS = Derived(
@@ -125,6 +141,7 @@ ASSETS = Derived(
         "title": "p_name",
         "description": "p_type",
         "brand": "p_brand",
+        "author_name": "CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_brand END",
         "asset_type": "CASE p_size % 4 WHEN 0 THEN 'dataset' WHEN 1 THEN 'pipeline' WHEN 2 THEN 'model' ELSE 'benchmark' END",
         "category": "lower(p_type)",
         "status": "CASE WHEN p_partkey % 20 = 0 THEN 'draft' ELSE 'published' END",
@@ -203,5 +220,5 @@ def entities(s: SparkSession, d: str) -> lineage.Entities:
     installs = INSTALLS.frame(s, d).withColumn("asset_id", F.col("asset_id").cast("string"))
     return lineage.Entities(
         Datasets.frame(s, d), scans(s, d), PIPELINES.frame(s, d), RUNS.frame(s, d), SYNTHETIC.frame(s, d),
-        SESSIONS.frame(s, d), BENCHMARKS.frame(s, d), shown, installs,
+        SESSIONS.frame(s, d), ROUNDS.frame(s, d), BENCHMARKS.frame(s, d), shown, installs,
     )
