@@ -359,7 +359,7 @@ def report_sections(framework: str, sections: Sequence[str]) -> list[str]:
 
 def report(framework: str, sections: Sequence[str], available: dict[str, DataFrame], risk: DataFrame) -> DataFrame:
     """All rows of a report as ``section, body`` (JSON), ready for a JSON sink."""
-    body = lambda df: F.to_json(F.struct(*df.columns))
+    body = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     parts = [risk.select(F.lit("risk").alias("section"), body(risk).alias("body"))]
     for name in report_sections(framework, sections):
         df = available[name]

@@ -68,7 +68,7 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
     risk = governance.risk_score(cat, found, w.AS_OF)
     rows = governance.report("general", ["lineage_summary", "audit_excerpt"], available, risk)
     path = sinks.save_output(rows, scratch(s, "report"), "json")
-    return s.read.json(path).groupBy("framework", "section").agg(F.count(F.lit(1)).alias("n"))
+    return s.read.schema("framework string, section string, body string").json(path)
 
 
 def _stamped(df: DataFrame, *names: str) -> DataFrame:
@@ -222,11 +222,3 @@ SQL = {
         CASE WHEN late AND kind <> 'al_session' AND status = 'running' THEN 'Interrupted by server restart' END AS error_message
         FROM h""",
 }
-
-SQL["gov_report"] = f"""{BASE}, {_FINDINGS}, a AS ({w.AUDIT.sql}), x AS (
-    SELECT 'risk' AS section, 1 AS n UNION ALL SELECT 'dataset_inventory', count(*) FROM d
-    UNION ALL SELECT 'pii_findings', count(*) FROM fi UNION ALL SELECT 'policy_status', {len(POLICIES)}
-    UNION ALL SELECT 'lineage_summary', {len(lineage.COLORS)}
-    UNION ALL SELECT 'audit_excerpt', least(50, count(*) FILTER (event_type LIKE 'compliance.%')) FROM a
-    UNION ALL SELECT 'recommendations', count(*) FROM ({SQL['gov_recommend']}))
-    SELECT 'general' AS framework, section, n FROM x"""

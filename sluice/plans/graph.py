@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import audit, catalog, lineage
+from sluice.plans import governance
 from sluice.plans import workspace as w
 from sluice.plans.governance import BASE
 from sluice.plans.tables import scratch, table
@@ -189,3 +190,22 @@ SQL = {
         count(*) FILTER (asset_type = 'pipeline') AS total_pipelines, count(*) FILTER (asset_type = 'model') AS total_models,
         CAST(sum(download_count) AS BIGINT) AS total_downloads, (SELECT count(*) FROM events) AS total_installs FROM a""",
 }
+
+# the sections of a report, with the names of their facts in order
+_SECTIONS = {
+    "risk": (governance.SQL["gov_risk"], "score grade pii_exposure policy_failures scan_coverage data_freshness pii_exposure_pct policy_failures_pct scan_coverage_pct data_freshness_pct"),
+    "dataset_inventory": (governance.SQL["gov_inventory"], "id name row_count column_count size_bytes status pii_risk pii_columns critical_columns quality_score age_days created_at"),
+    "pii_findings": (governance.SQL["gov_findings"], "dataset_id dataset_name column pii_category severity confidence detection_method"),
+    "policy_status": (governance.SQL["gov_policy_status"], "policy_no policy_id name policy_type severity enabled status violation_count violations"),
+    "lineage_summary": (SQL["lineage_summary"], "type n total_nodes total_edges"),
+    "audit_excerpt": (SQL["audit_excerpt"].replace(_STAMP, "strftime(a.created_at, '%Y-%m-%dT%H:%M:%S.%g')"), "event_type entity_name created_at metadata"),
+    "recommendations": (governance.SQL["gov_recommend"], "place recommendation"),
+}
+
+
+def _section(name: str, sql: str, facts: str) -> str:
+    body = ", ".join(f"'{f}', \"{f}\"" for f in facts.split())
+    return f"SELECT 'general' AS framework, '{name}' AS section, json_object({body})::VARCHAR AS body FROM ({sql})"
+
+
+SQL["gov_report"] = " UNION ALL ".join(_section(name, *of) for name, of in _SECTIONS.items())

@@ -25,10 +25,7 @@ def _orders_facts(*parts: str):
     return lambda s, d: profile.facts(ORDERS.frame(s, d), parts)
 
 
-_ISSUE_KEYS = (
-    "place", "column_name", "issue_type", "dimension", "severity", "affected_count", "affected_pct", "impact_score",
-    "fix_available", "fix_type", "status",
-)
+_ISSUE_KEYS = ("place", *quality.ISSUE_COLUMNS)
 
 
 def _top_values(s: SparkSession, d: str) -> DataFrame:
@@ -54,8 +51,13 @@ def _outliers(source: str, *columns: str):
 
 
 def _profile(s: SparkSession, d: str) -> DataFrame:
-    """Profiles with the nested parts as text; moments are checked in q_profile_numeric."""
-    return quality.Scan(ORDERS.frame(s, d)).profiles().drop("stats", "issues")
+    """Profiles, with the statistics as columns and the issues as one text."""
+    profiles = quality.Scan(ORDERS.frame(s, d)).profiles()
+    numbers = {f"stat_{n}": F.get_json_object("stats", f"$.{n}").cast("double") for n in ("min", "max", "mean", "median", "std")}
+    texts = {"stat_unique": F.get_json_object("stats", "$.unique").cast("bigint"), "stat_most_common": F.get_json_object("stats", "$.most_common")}
+    found = F.from_json("issues", "array<struct<issue_type: string, severity: string, affected_count: bigint, impact_score: double>>")
+    told = F.transform(found, lambda i: F.concat_ws("|", i["issue_type"], i["severity"], i["affected_count"].cast("string"), F.round(i["impact_score"] * 100).cast("bigint").cast("string")))
+    return profiles.withColumns({**numbers, **texts, "issues": F.array_join(told, ";")}).drop("stats")
 
 
 QUERIES = {
@@ -157,6 +159,16 @@ _ISSUES = f"""i AS (
         null_pct, least(null_pct * 1.2, 20), 'semi_auto' FROM g WHERE is_label AND nulls > 0
     UNION ALL SELECT col, 'class_imbalance', 'label_quality', 'warning', n, 100, least(ratio * 0.3, 15), NULL
         FROM g WHERE is_label AND is_lopsided)"""
+_NAME = "chr(39) || col || chr(39)"
+_DESCRIPTION = f"""CASE issue_type || ' ' || dimension
+    WHEN 'null_values completeness' THEN printf('%.1f%% null values in %s', pct, {_NAME})
+    WHEN 'duplicate_rows consistency' THEN format('{{:,}} exact duplicate rows ({{:.1f}}%)', affected_count, pct)
+    WHEN 'mixed_case consistency' THEN printf('Mixed case values in %s (%.1f%% inconsistent)', {_NAME}, pct)
+    WHEN 'outliers accuracy' THEN format('{{:,}} outliers in {{}} ({{:.1f}}%), beyond the 3x IQR fence', affected_count, {_NAME}, pct)
+    WHEN 'high_skew distribution' THEN printf('High skewness (%.2f) in %s, consider a log transform', skew, {_NAME})
+    WHEN 'class_imbalance distribution' THEN printf('Severe class imbalance in %s, dominant class %.1f%% (ratio %.0f:1)', {_NAME}, top_n * 100.0 / present, ratio)
+    WHEN 'null_labels label_quality' THEN printf('%.1f%% null values in label column %s', pct, {_NAME})
+    WHEN 'class_imbalance label_quality' THEN printf('Label imbalance in %s, %.0f:1 ratio between classes', {_NAME}, ratio) END"""
 _SCORES = """s AS (SELECT
     (SELECT round(avg(greatest(0, 100 - null_pct * 1.5)), 1) FROM g) AS completeness,
     (SELECT round(greatest(0, 100 - copies * 200.0 / n - 2 * (SELECT count(*) FROM g WHERE is_mixed)), 1) FROM dup) AS consistency,
@@ -229,7 +241,8 @@ SQL = {
     "q_issue_rank": f"""{FACTS}, {_ISSUES} SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0
         WHEN 'warning' THEN 1 ELSE 2 END, round(impact, 2) DESC, column_name NULLS FIRST, issue_type, dimension) AS place,
         column_name, issue_type, dimension, severity, affected_count, round(pct, 3)::DOUBLE AS affected_pct,
-        round(impact, 2)::DOUBLE AS impact_score, fix IS NOT NULL AS fix_available, fix AS fix_type, 'open' AS status FROM i""",
+        round(impact, 2)::DOUBLE AS impact_score, fix IS NOT NULL AS fix_available, fix AS fix_type, 'open' AS status,
+        substr(md5(concat_ws('|', column_name, issue_type, dimension)), 1, 16) AS id, {_DESCRIPTION} AS description FROM i LEFT JOIN g ON g.col = column_name""",
     "q_profile_numeric": f"""{FACTS} SELECT col AS "column", round(lo, 4) AS "min", round(hi, 4) AS "max",
         round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std FROM g WHERE kind = 'numeric'""",
     "q_profile_string": f"""{FACTS} SELECT col AS "column", distinct_n AS "unique", top_value AS most_common,
@@ -242,7 +255,10 @@ SQL = {
         ELSE 'integer' END AS dtype, nulls AS null_count, round(null_pct, 3) AS null_pct,
         distinct_n + (nulls > 0)::BIGINT AS unique_count, quality_score,
         coalesce((SELECT '[' || string_agg('{{"label":"' || "value" || '","count":' || tops.n || ',"pct":' || pct || '}}', ','
-            ORDER BY place) || ']' FROM tops WHERE "column" = cs.col), '[]') AS distribution FROM cs""",
+            ORDER BY place) || ']' FROM tops WHERE "column" = cs.col), '[]') AS distribution,
+        round(lo, 4) AS stat_min, round(hi, 4) AS stat_max, round(mean, 4) AS stat_mean, round(median, 4) AS stat_median, round(std, 4) AS stat_std,
+        distinct_n AS stat_unique, top_value AS stat_most_common, coalesce((SELECT string_agg(concat_ws('|', issue_type, severity, affected_count,
+            CAST(round(round(impact, 2) * 100) AS BIGINT)), ';' ORDER BY issue_type, severity, affected_count, impact) FROM i WHERE column_name = cs.col), '') AS issues FROM cs""",
     "q_latest_scan": f"""WITH h AS ({HISTORY.sql}), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id
         ORDER BY created_at DESC, scan_id DESC) AS place FROM h) SELECT dataset_id, strftime(created_at, '%Y-%m-%d')
         AS created_at, scan_id, status, score FROM r WHERE place = 1""",
