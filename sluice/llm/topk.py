@@ -20,8 +20,9 @@ query. Ties go to the smaller id.
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without an id. Only vectors with the same number of components are
 compared. Rows that repeat an id with the same vector count once; different
-vectors under one id are different candidates, and a query never finds its own
-id. A query with fewer than k candidates gets all of them.
+vectors under one id are different candidates, the smallest of them (fewer
+components, then smaller ones) asks, and a query never finds its own id. An empty
+table gives no rows. Other columns are not read, whatever their names. A query with fewer than k candidates gets all of them.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
     leveled = vectors.withColumn("bucket", _level(F.col("norm")))
     blocks = X.written(_pack(leveled.select("key", "v", "dim", "bucket"), BLOCK, "candidates"))
     asked = quantized(df.where(queries), key, vector).select("key", "v", F.size("v").alias("dim"), _level(F.col("norm")).alias("bucket"))
-    asked = asked.dropDuplicates(["key"])
-    query_blocks = X.written(_pack(asked, QUERIES, "queries").select("dim", F.struct("bucket", "block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    asked = asked.groupBy("key").agg(F.min(F.struct("dim", "v", "bucket")).alias("own")).select("key", F.col("own")["v"].alias("v"), F.col("own")["dim"].alias("dim"), F.col("own")["bucket"].alias("bucket"))
+    query_blocks = X.written(_pack(asked, QUERIES, "queries").select("dim", F.struct("dim", "bucket", "block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     place = Window.partitionBy("dim").orderBy("bucket", "block")  # one row per block
     order = blocks.select("dim", "bucket", "block", "longest").withColumn("at", F.row_number().over(place))
     plain = query_blocks.withColumn("floors", _floors()(F.col("q_ids")))
@@ -189,30 +190,37 @@ def _with_floors(query_blocks: DataFrame, floors: DataFrame) -> DataFrame:
                 struct = pa.array([batch.column("q_block")[i].as_py()] * len(ids), batch.column("q_block").type)
                 yield pa.RecordBatch.from_arrays([struct, pa.array(np.arange(len(ids))), pa.array(ids)], names=["q_block", "n", "id"])
 
-    each = query_blocks.mapInArrow(spread, X.schema("q_block struct<bucket:int,block:int>, n bigint, id bigint"))
+    each = query_blocks.mapInArrow(spread, X.schema("q_block struct<dim:int,bucket:int,block:int>, n bigint, id bigint"))
     lists = each.join(floors, "id", "left").groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("f")))).alias("l"))
 
     @F.pandas_udf("binary")
     def packed(values):
         return values.map(lambda x: np.array([y["f"] for y in x], float).tobytes())
 
-    return query_blocks.join(lists.select("q_block", packed(F.col("l")).alias("floors")), "q_block")
+    return query_blocks.join(lists.select("q_block", packed(F.col("l")).alias("floors")), "q_block")  # blocks of every dimension are numbered anew
 
 
 def _ship(query_blocks: DataFrame, order: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of query blocks and candidate blocks in which some query can still find something."""
+    """Pairs of query blocks and candidate blocks in which some query can still find something.
 
-    @F.pandas_udf("boolean")
-    def useful(q_ids, q_vectors, floors, longest):
+    A query block asks for one number, the shortest vector that any of its queries
+    needs. Numbers meet first; vectors are shipped for the pairs that are left.
+    """
+
+    @F.pandas_udf("double")
+    def shortest(q_ids, q_vectors, floors):
         import pandas as pd
 
         out = []
-        for ids, vectors, floor, most in zip(q_ids, q_vectors, floors, longest):
+        for ids, vectors, floor in zip(q_ids, q_vectors, floors):
             q = np.frombuffer(vectors, np.int64).reshape(len(ids) // 8, -1).astype(float)
-            size = np.sqrt((q**2).sum(axis=1))
-            out.append(bool((size * most * (1 + 1e-9) + 1e-6 >= np.frombuffer(floor)).any()))
+            size = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
+            least = np.frombuffer(floor) - 1e-6
+            needs = np.where(size > 0, least / np.where(size > 0, size, 1), np.where(least <= 0, -np.inf, np.inf))
+            out.append(float(needs.min()))
         return pd.Series(out)
 
-    # block numbers only: a stated set of query blocks against all blocks
-    met = query_blocks.join(order.select("dim", "bucket", "block", "longest"), "dim").where(useful("q_ids", "q_vectors", "floors", "longest"))
-    return met.join(blocks.drop("longest"), ["dim", "bucket", "block"])
+    asks = query_blocks.select("dim", "q_block", shortest("q_ids", "q_vectors", "floors").alias("need"))
+    # numbers of blocks only: a stated set of query blocks against all blocks
+    met = asks.join(order.select("dim", "bucket", "block", "longest"), "dim").where(F.col("longest") >= F.col("need")).select("dim", "q_block", "bucket", "block")
+    return met.join(query_blocks, ["dim", "q_block"]).join(blocks.drop("longest"), ["dim", "bucket", "block"])

@@ -352,14 +352,14 @@ def test_toxic_words_with_equal_counts_all_vote(spark):
     assert len({fired[k] for k, _, toxic in rows if toxic}) == 71
 
 
-def brute_top(rows, k):
+def brute_top(rows, k, every=50):
     vectors = {}
     for key, v in rows:
         if key is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            vectors.setdefault(key, set()).add(tuple(int(np.floor(256 * float(np.float32(x)))) for x in v))
+            vectors.setdefault(key, set()).add(tuple(int(np.floor(256 * float(x if every != 50 else np.float32(x)))) for x in v))
     out = []
     for q in vectors:
-        if q % 50 == 0:
+        if q % every == 0:
             own = next(iter(vectors[q]))
             found = sorted((-sum(a * b for a, b in zip(own, v)), key) for key, vs in vectors.items() if key != q for v in vs if len(v) == len(own))[:k]
             out += [(q, rank, key, -s) for rank, (s, key) in enumerate(found, 1)]
@@ -380,6 +380,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(huge, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=1).collect()) == [(0, 1, 1, 256 * 10**12 * 768 + 256 * 1280)]
 
 
+def test_vectors_of_two_lengths_share_a_norm_bucket(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    unit = lambda n: (v := rng.normal(size=n)) / np.linalg.norm(v)
+    rows = [(i, unit(2 if i % 2 else 3).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = topk.top_k(table, F.col("vec_id") % 5 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, every=5)
+
+
+def test_of_two_vectors_under_one_id_the_smaller_asks(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (0, [1.0, 5.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])]
+    for parts in (1, 4):
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(parts), F.col("vec_id") == 0)
+        assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 256 * 256 * 5), (0, 2, 2, 256 * 256)]
+
+
 URLS = [
     ("https://a.EXAMPLE.org/es/1?x", "a.example.org", "/es/1", "example.org/es/"),
     ("http://example.org/en/19#t", "example.org", "/en/19", "example.org/en/1"),
