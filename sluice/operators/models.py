@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -20,16 +22,16 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.draws import uniform
 from sluice.operators import active, evaluation, preparation
-from sluice.session import small_frame
+from sluice.session import materialize, small_frame
 
 SEED = 42
 ROWS_PER_PARTITION = 20_000
@@ -69,21 +71,25 @@ def estimator(model: str, preset: str, task: str, rows: int, features: int, n_cl
     elif model == "xgboost":
         kind = GBTClassifier if classify else GBTRegressor
         est = kind(maxIter=trees or (200 if tuned else 100), stepSize=0.05 if tuned else 0.1, maxDepth=6, seed=SEED)
-        if search:
-            grid.addGrid(est.maxIter, [trees] if trees else [100, 200]).addGrid(est.stepSize, [0.05, 0.1]).addGrid(est.maxDepth, [4, 6])
+        settings = [(n, step, depth) for n in ([trees] if trees else [100, 200]) for step in (0.05, 0.1) for depth in (4, 6)]
         if classify and n_classes > 2:
+            wrapped = [est.copy({est.maxIter: n, est.stepSize: step, est.maxDepth: depth}) for n, step, depth in settings]
             est = OneVsRest(classifier=est)
-            grid = ParamGridBuilder()
+            grid.addGrid(est.classifier, wrapped)
+        elif search:
+            grid.addGrid(est.maxIter, sorted({n for n, _, _ in settings})).addGrid(est.stepSize, [0.05, 0.1]).addGrid(est.maxDepth, [4, 6])
     elif model == "svm":
         if not classify:
             raise ValueError("a support vector regressor has no Spark counterpart")
         c = 10.0 if tuned else 1.0
         est = LinearSVC(regParam=_penalty(c, rows), maxIter=100, standardization=False)
-        if search:
-            grid.addGrid(est.regParam, [_penalty(v, rows) for v in (0.1, 1.0, 10.0)])
+        strengths = [_penalty(v, rows) for v in (0.1, 1.0, 10.0)]
         if n_classes > 2:
+            wrapped = [est.copy({est.regParam: v}) for v in strengths]
             est = OneVsRest(classifier=est)
-            grid = ParamGridBuilder()
+            grid.addGrid(est.classifier, wrapped)
+        elif search:
+            grid.addGrid(est.regParam, strengths)
     elif model == "mlp":
         if not classify:
             raise ValueError("a neural regressor has no Spark counterpart")
@@ -148,12 +154,27 @@ def _labelled(df: DataFrame, target: str, classes: Sequence[str]) -> Column:
     return codes[F.col(target).cast("string")]
 
 
-def fit(
-    train: DataFrame, target: str, columns: Sequence[str], key: str, model: str = "random_forest", preset: str = "default",
-    task: str = "classification", classes: Sequence[str] | None = None, trees: int | None = None,
-    most_frequent: bool = False,
-) -> Fitted:
-    """Prepare the columns and fit one model; a grid search takes the best of 3 folds."""
+@dataclass
+class Prepared:
+    """Training rows with features and a numbered label, ready for any candidate; ``ready`` is cached until :meth:`release`."""
+
+    features: preparation.Features
+    classes: list[str]
+    task: str
+    ready: DataFrame
+
+    def release(self) -> None:
+        self.ready.unpersist()
+
+
+SEARCH_FOLDS = 3
+
+
+def prepare(
+    train: DataFrame, target: str, columns: Sequence[str], key: str, task: str = "classification", classes: Sequence[str] | None = None,
+    most_frequent: bool = False, searched: bool = False,
+) -> Prepared:
+    """Features fitted on ``train``; with ``searched`` also the folds of a grid search."""
     classify = task == "classification"
     if classify and classes is None:
         classes = preparation.categories(train, target, preparation.MAX_INDICATORS)
@@ -161,20 +182,77 @@ def fit(
             raise ValueError(f"{target} has too many classes")
     classes = list(classes or []) if classify else []
     features = preparation.Features(train, columns, most_frequent)
-    split = evaluation.folds(train, key, 3, target if classify else None) if preset == "grid_search" else train
+    rows = train.drop("fold") if searched else train
+    split = evaluation.folds(rows, key, SEARCH_FOLDS, target if classify else None) if searched else rows
     ready = features.transform(split).withColumn("label", _labelled(split, target, classes))
-    ready = compact(ready, features.rows).persist()
-    est, grid = estimator(model, preset, task, features.rows, len(features.names), max(2, len(classes)), trees)
-    if grid:
-        judge = (
-            MulticlassClassificationEvaluator(metricName="accuracy") if classify else RegressionEvaluator(metricName="r2")
-        )
-        est = CrossValidator(
-            estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold", parallelism=4
-        )
-    fitted = Fitted(features, est.fit(ready), classes, task)
-    ready.unpersist()
-    return fitted
+    kept = ready.select("features", "label", *(["fold"] if searched else []))
+    return Prepared(features, classes, task, compact(kept, features.rows).persist())
+
+
+def fit_prepared(prepared: Prepared, model: str = "random_forest", preset: str = "default", trees: int | None = None) -> Fitted:
+    """One model on prepared rows; a grid search takes the best of 3 folds."""
+    rows, classes = prepared.features.rows, prepared.classes
+    est, grid = estimator(model, preset, prepared.task, rows, len(prepared.features.names), max(2, len(classes)), trees)
+    if not grid:
+        return Fitted(prepared.features, est.fit(prepared.ready), classes, prepared.task)
+    judge = MulticlassClassificationEvaluator(metricName="accuracy") if prepared.task == "classification" else RegressionEvaluator(metricName="r2")
+    if isinstance(est, (GBTClassifier, GBTRegressor)):
+        return Fitted(prepared.features, _search_boosted(est, grid, prepared.ready, judge), classes, prepared.task)
+    search = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=SEARCH_FOLDS, foldCol="fold", parallelism=AT_ONCE)
+    return Fitted(prepared.features, search.fit(prepared.ready), classes, prepared.task)
+
+
+AT_ONCE = 8
+
+
+def first_trees(model: Model, n: int) -> Model:
+    """The boosted model as it was after its first ``n`` trees. Without row or feature sampling that is the model of ``n`` rounds."""
+    own = model._java_obj
+    context = SparkContext._active_spark_context
+    gateway = context._gateway
+    kept, weights = list(own.trees())[:n], list(own.treeWeights())[:n]
+    trees = gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(kept))
+    shares = gateway.new_array(context._jvm.double, len(weights))
+    for i, (tree, weight) in enumerate(zip(kept, weights)):
+        trees[i], shares[i] = tree, weight
+    if isinstance(model, GBTClassificationModel):
+        return GBTClassificationModel(context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, shares))
+    return GBTRegressionModel(context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(own.uid(), trees, shares))
+
+
+def _search_boosted(est: GBTClassifier | GBTRegressor, grid: Sequence[dict], ready: DataFrame, judge: Evaluator) -> Model:
+    """The best setting of a grid over rounds, step and depth: per step, depth and fold only the longest model is fitted, the shorter ones are its beginnings."""
+    lengths = sorted({setting[est.maxIter] for setting in grid})
+    others = list(dict.fromkeys(tuple((p, v) for p, v in setting.items() if p != est.maxIter) for setting in grid))
+
+    def run(job: tuple[tuple, int]) -> list[float]:
+        other, fold = job
+        fitted = est.copy({**dict(other), est.maxIter: lengths[-1]}).fit(ready.where(F.col("fold") != fold))
+        held = ready.where(F.col("fold") == fold)
+        return [judge.evaluate(first_trees(fitted, n).transform(held)) for n in lengths]
+
+    jobs = [(other, fold) for other in others for fold in range(SEARCH_FOLDS)]
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as workers:
+        scores = dict(zip(jobs, workers.map(inheritable_thread_target(ready.sparkSession)(run), jobs)))
+
+    def mean(setting: dict) -> float:
+        other = tuple((p, v) for p, v in setting.items() if p != est.maxIter)
+        return sum(scores[other, fold][lengths.index(setting[est.maxIter])] for fold in range(SEARCH_FOLDS)) / SEARCH_FOLDS
+
+    return est.copy(max(grid, key=mean)).fit(ready)  # the first of equally good settings
+
+
+def fit(
+    train: DataFrame, target: str, columns: Sequence[str], key: str, model: str = "random_forest", preset: str = "default",
+    task: str = "classification", classes: Sequence[str] | None = None, trees: int | None = None,
+    most_frequent: bool = False,
+) -> Fitted:
+    """Prepare the columns and fit one model."""
+    prepared = prepare(train, target, columns, key, task, classes, most_frequent, preset == "grid_search")
+    try:
+        return fit_prepared(prepared, model, preset, trees)
+    finally:
+        prepared.release()
 
 
 # --- protocols -----------------------------------------------------------------------
@@ -190,12 +268,15 @@ def cross_predictions(df: DataFrame, target: str, columns: Sequence[str], key: s
     """Out-of-fold predictions of all rows, with their ``fold``."""
     task = options.get("task", "classification")
     split = evaluation.folds(df, key, k, target if task == "classification" else None).persist()
-    parts = []
-    for i in range(k):
-        fitted = fit(split.where(F.col("fold") != i), target, columns, key, **options)
-        part = fitted.predict(split.where(F.col("fold") == i))
-        parts.append(part.select(key, target, "fold", "predicted_label"))
-    return reduce(DataFrame.unionByName, parts)
+    try:
+        parts = []
+        for i in range(k):
+            fitted = fit(split.where(F.col("fold") != i), target, columns, key, **options)
+            part = fitted.predict(split.where(F.col("fold") == i))
+            parts.append(part.select(key, target, "fold", "predicted_label"))
+        return materialize(reduce(DataFrame.unionByName, parts))
+    finally:
+        split.unpersist()
 
 
 CLASS_METRICS = ("accuracy", "f1", "f1_weighted", "precision", "recall")
@@ -213,50 +294,93 @@ class Result:
     error_message: str | None = None
 
 
-def run_candidate(
-    df: DataFrame, target: str, key: str, candidate: dict, protocol: str, task: str = "classification",
-    curve_shares: Sequence[float] = (),
-) -> Result:
+class Bench:
+    """The splits of a protocol with their prepared rows, made once for all candidates that see the same columns, and freed together."""
+
+    def __init__(self, df: DataFrame, target: str, key: str, protocol: str, task: str, searched: bool):
+        self.df, self.target, self.key, self.protocol, self.task, self.searched = df, target, key, protocol, task, searched
+        self.held: list[DataFrame] = []
+        self.known: dict[tuple, list[tuple[Prepared, DataFrame]]] = {}
+        self.lock = threading.Lock()
+        size, by = evaluation.PROTOCOLS[protocol], target if task == "classification" else None
+        if protocol.startswith("holdout"):
+            split = self._keep(evaluation.holdout(df, key, size, by))
+            self.pairs = [(split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test"))]
+        else:
+            split = self._keep(evaluation.folds(df, key, size, by))
+            self.pairs = [(split.where(F.col("fold") != i), split.where(F.col("fold") == i)) for i in range(size)]
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist())
+        return df
+
+    def columns(self, excluded: Sequence[str]) -> list[str]:
+        return preparation.feature_columns(self.df, self.target, [self.key, *excluded])
+
+    def splits(self, excluded: Sequence[str], whole: bool = False) -> list[tuple[Prepared, DataFrame]]:
+        """Prepared training rows and test rows of every split; with ``whole`` all rows as both."""
+        wanted = (tuple(excluded), whole)
+        with self.lock:
+            if wanted not in self.known:
+                pairs = [(self.df, self.df)] if whole else self.pairs
+                made = []
+                for train, test in pairs:
+                    prepared = prepare(train, self.target, self.columns(excluded), self.key, self.task, None, True, self.searched)
+                    self.held.append(prepared.ready)
+                    made.append((prepared, test))
+                self.known[wanted] = made
+            return self.known[wanted]
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def run_candidate(bench: Bench, candidate: dict, curve_shares: Sequence[float] = ()) -> Result:
     """One candidate under the common protocol; a failure is recorded, not raised."""
     result = Result(candidate["candidate_id"])
+    target, task, excluded = bench.target, bench.task, candidate.get("exclude_columns", [])
+    classify = task == "classification"
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
     try:
-        columns = preparation.feature_columns(df, target, [key, *candidate.get("exclude_columns", [])])
-        options = dict(
-            model=candidate["model_type"], preset=candidate.get("preset", "default"), task=task,
-            trees=candidate.get("trees"), most_frequent=True,
-        )
-        classify = task == "classification"
-        size = evaluation.PROTOCOLS[protocol]
-        if protocol.startswith("holdout"):
-            split = evaluation.holdout(df, key, size, target if classify else None).persist()
-            fitted = fit(split.where(~F.col("is_test")), target, columns, key, **options)
-            tested = fitted.predict(split.where("is_test")).persist()
+        options = dict(model=candidate["model_type"], preset=candidate.get("preset", "default"), trees=candidate.get("trees"))
+        if bench.protocol.startswith("holdout"):
+            prepared, test = bench.splits(excluded)[0]
+            fitted = fit_prepared(prepared, **options)
+            tested = kept(fitted.predict(test))
             metrics = judged(tested, target, task).first().asDict()
             if classify and len(fitted.classes) == 2:
                 # a support vector machine has no probabilities but ranks as well by its raw score
                 score = F.element_at("probabilities", 2) if "probabilities" in tested.columns else F.col("second_class_score")
                 second = tested.select(score.alias("p"), (F.col(target).cast("string") == fitted.classes[1]).cast("int").alias("y"))
                 metrics["roc_auc"] = evaluation.roc_auc(second, "p", "y").first()["roc_auc"]
-            split.unpersist()
         else:
-            out_of_fold = cross_predictions(df, target, columns, key, size, **options)
-            per_fold = judged(out_of_fold, target, task, ["fold"], digits=12, macro=True)
+            parts = [fit_prepared(prepared, **options).predict(test).select(bench.key, target, "fold", "predicted_label") for prepared, test in bench.splits(excluded)]
+            per_fold = judged(kept(reduce(DataFrame.unionByName, parts)), target, task, ["fold"], digits=12, macro=True)
             names = CLASS_METRICS if classify else VALUE_METRICS
             metrics = evaluation.cv_summary(per_fold, names, by=()).first().asDict()
-            fitted = fit(df, target, columns, key, **options)
-            tested = fitted.predict(df).persist()
+            prepared, rows = bench.splits(excluded, whole=True)[0]
+            fitted = fit_prepared(prepared, **options)
+            tested = kept(fitted.predict(rows))
         if classify:
             counts = evaluation.confusion(tested, target, "predicted_label")
             result.confusion = sorted((r["truth"], r["prediction"], r["n"]) for r in counts.collect())  # classes squared
-        tested.unpersist()
         result.metrics = {k: v for k, v in metrics.items() if v is not None}
         result.importances = fitted.importances(15, 4)
         if curve_shares:
-            quick = {**options, "preset": "default"}
-            result.curve = learning_curve(df, target, columns, key, curve_shares, **quick)
+            quick = {**options, "preset": "default", "task": task, "most_frequent": True}
+            result.curve = learning_curve(bench.df, target, bench.columns(excluded), bench.key, curve_shares, **quick)
         result.status = "complete"
     except Exception as error:
         result.status, result.error_message = "failed", str(error)[:500]
+    finally:
+        for df in held:
+            df.unpersist()
     return result
 
 
@@ -298,13 +422,15 @@ def run_benchmark(
 ) -> tuple[DataFrame, list[Result]]:
     """All candidates under one protocol, their Spark jobs submitted side by side.
 
-    Every candidate returns its own row, so none can overwrite another's result.
+    Splits, features and labels are prepared once for all of them. Every candidate returns its own row, so none can overwrite another's result.
     """
-    def run(candidate: dict) -> Result:
-        return run_candidate(df, target, key, candidate, protocol, task, curve_shares)
-
-    with ThreadPoolExecutor(max_workers=at_once) as workers:
-        results = list(workers.map(inheritable_thread_target(df.sparkSession)(run), candidates))
+    bench = Bench(df, target, key, protocol, task, any(c.get("preset") == "grid_search" for c in candidates))
+    try:
+        with ThreadPoolExecutor(max_workers=at_once) as workers:
+            run = inheritable_thread_target(df.sparkSession)(lambda candidate: run_candidate(bench, candidate, curve_shares))
+            results = list(workers.map(run, candidates))
+    finally:
+        bench.release()
     names = [part.split()[0] for part in RESULTS.replace("\n", " ").split(", ")]
     rows = []
     for i, r in enumerate(results):
@@ -342,6 +468,7 @@ def committee_votes(
             maxDepth=5, seed=m, weightCol="weight", predictionCol=f"vote{m}", rawPredictionCol=f"raw{m}", probabilityCol=f"prob{m}"
         ).fit(weighted)
         votes = tree.transform(votes)
+    train.unpersist()
     each = F.array(*[F.struct(F.lit(m).alias("member"), F.col(f"vote{m}").alias("vote")) for m in range(members)])
     return votes.select(key, F.inline(each))
 
@@ -360,6 +487,7 @@ def prediction_variance(
             regParam=_penalty(1.0, rows), weightCol="weight", predictionCol=f"p{m}", standardization=False
         ).fit(weighted)
         out = model.transform(out)
+    train.unpersist()
     values = F.array(*[F.col(f"p{m}") for m in range(members)])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     mean = total(values) / members

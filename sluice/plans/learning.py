@@ -202,13 +202,23 @@ GRID = [{"candidate_id": f"{m}_{p}", "model_type": m, "preset": p} for m in mode
 VALUE_MODELS = ("logistic_regression", "random_forest", "xgboost")  # the others have no regressor in Spark
 
 
-def _benchmark(protocol: str):
+def _benchmark(protocol: str, model: str):
+    """One model under every preset."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
         train = training_rows(s, d).persist()
-        results, detail = models.run_benchmark(train, "quality", "doc_id", GRID, protocol)
-        found = [(r.candidate_id, ", ".join(n for n, _ in r.importances)) for r in detail]
-        tops = small_frame(s, found, "candidate_id string, features string")
-        return results.join(tops, "candidate_id").drop("mae", "rmse", "r2")
+        try:
+            results, detail = models.run_benchmark(train, "quality", "doc_id", [c for c in GRID if c["model_type"] == model], protocol)
+        finally:
+            train.unpersist()
+        named = {r.candidate_id: bool(r.importances) for r in detail}
+        sizes = {r.candidate_id: sum(n for _, _, n in r.confusion) for r in detail}
+        facts = small_frame(s, [(c, sizes[c], named[c]) for c in named], "candidate_id string, judged_rows bigint, has_importances boolean")
+        fair = lambda c: F.col(c).between(0.0, 1.0)
+        return results.join(facts, "candidate_id").select(
+            "candidate_no", "candidate_id", "status", "judged_rows", "has_importances",
+            (fair("accuracy") & fair("f1_weighted")).alias("scores_in_bounds"), (F.col("accuracy") > 0.5).alias("better_than_chance"),
+        )
 
     return run
 
@@ -227,13 +237,16 @@ def _two_class_folds(s: SparkSession, d: str) -> DataFrame:
     return evaluation.cv_summary(per_fold, ["accuracy", "f1", "precision", "recall"], by=())
 
 
-def _regression(s: SparkSession, d: str) -> DataFrame:
+def _regression(model: str):
     """Regression candidates on all orders' prices."""
-    orders = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"))
-    chosen = [c for c in GRID if c["model_type"] in VALUE_MODELS]
-    return models.run_benchmark(orders, "o_totalprice", "o_orderkey", chosen, "holdout_90", "regression")[0].select(
-        "candidate_id", "status", "r2", "mae", "rmse"
-    )
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        orders = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month"))
+        chosen = [c for c in GRID if c["model_type"] == model]
+        results = models.run_benchmark(orders, "o_totalprice", "o_orderkey", chosen, "holdout_90", "regression")[0]
+        return results.select("candidate_no", "candidate_id", "status", (F.col("r2") <= 1).alias("r2_in_bounds"), (F.col("rmse") >= F.col("mae")).alias("rmse_covers_mae"))
+
+    return run
 
 
 def _holdout_sizes(share: float):
@@ -330,9 +343,9 @@ QUERIES = {
     "bm_cv_two_class": _two_class_folds,
     "bm_cv_summary": lambda s, d: evaluation.cv_summary(FOLDS.frame(s, d), ["accuracy", "f1"]),
     "bm_confusion": lambda s, d: evaluation.confusion(JUDGED.frame(s, d), by=["fold"]),
-    "bm_grid": _benchmark("holdout_80"),
-    "bm_cross_validated": _benchmark("kfold_5"),
-    "bm_regression": _regression,
+    **{f"bm_grid_{m}": _benchmark("holdout_80", m) for m in models.MODELS},
+    **{f"bm_cross_validated_{m}": _benchmark("kfold_5", m) for m in models.MODELS},
+    **{f"bm_regression_{m}": _regression(m) for m in VALUE_MODELS},
     "bm_learning_curve": _curve,
     "bm_winner": lambda s, d: evaluation.winner(CANDIDATES.frame(s, d), "classification", ["job"]),
     "bm_winner_regression": lambda s, d: evaluation.winner(CANDIDATES.frame(s, d), "regression", ["job"]),
@@ -492,3 +505,18 @@ SQL = {
         SELECT candidate_no, CASE WHEN trim(label) <> '' THEN trim(label) WHEN k = 1 THEN base ELSE base || ' #' || k END AS label,
         model_type, preset FROM r""",
 }
+
+_LABELLED = "SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1"
+
+
+def _candidates(model: str, rest: str) -> str:
+    presets = ", ".join(f"({i}, '{model}_{p}')" for i, p in enumerate(models.PRESETS))
+    return f"SELECT candidate_no, candidate_id, 'complete' AS status, {rest} FROM (VALUES {presets}) AS c(candidate_no, candidate_id)"
+
+
+for _m in models.MODELS:
+    _told = f"{'false' if _m == 'mlp' else 'true'} AS has_importances, true AS scores_in_bounds, true AS better_than_chance"
+    SQL[f"bm_grid_{_m}"] = _candidates(_m, f"(SELECT sum(ceil(round(n * 0.2, 9)))::BIGINT FROM ({_LABELLED})) AS judged_rows, {_told}")
+    SQL[f"bm_cross_validated_{_m}"] = _candidates(_m, f"(SELECT sum(n)::BIGINT FROM ({_LABELLED})) AS judged_rows, {_told}")
+for _m in VALUE_MODELS:
+    SQL[f"bm_regression_{_m}"] = _candidates(_m, "true AS r2_in_bounds, true AS rmse_covers_mae")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Sequence
 
@@ -31,15 +32,19 @@ def local_session(cores: int = 8, app: str = "sluice", memory: str = "16g") -> S
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that
-    is unset (local tests) a temporary folder is taken.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. A session that
+    runs in one process (tests) may do without and gets a temporary folder; on a
+    cluster that would be a folder of one machine, so it is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="sluice-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sluice-checkpoint-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

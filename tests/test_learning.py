@@ -136,9 +136,30 @@ def test_registered_models_keep_the_operators_settings(spark, small, monkeypatch
     with monkeypatch.context() as patch:
         patch.setattr(models, "run_benchmark", seen)
         for query, kinds in (("bm_grid", models.MODELS), ("bm_cross_validated", models.MODELS), ("bm_regression", models.MODELS[:3])):
-            chosen = first(query)[3]
-            assert sorted((c["model_type"], c["preset"]) for c in chosen) == sorted((m, p) for m in kinds for p in models.PRESETS)
-            assert not any("trees" in c for c in chosen)
+            for kind in kinds:
+                chosen = first(f"{query}_{kind}")[3]
+                assert [(c["model_type"], c["preset"]) for c in chosen] == [(kind, p) for p in models.PRESETS]
+                assert not any("trees" in c for c in chosen)
     monkeypatch.setattr(models, "estimator", seen)
     for query in ("al_train", "al_batch", "al_predict"):
         assert first(query)[6:] in ((), (None,))
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_a_longer_boosted_model_begins_with_the_shorter_one(spark, kind):
+    df = spark.range(120).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS z", "CAST(id % 17 > 7 AND id % 5 > 1 AS INT) AS y")
+    prepared = models.prepare(df, "y", ["x", "z"], "id", kind, searched=True)
+    est = models.estimator("xgboost", "grid_search", kind, 120, 2, 2)[0]
+    fitted = {n: est.copy({est.maxIter: n, est.maxDepth: 3}).fit(prepared.ready) for n in (3, 8)}
+    short, cut = fitted[3], models.first_trees(fitted[8], 3)
+    assert cut.treeWeights == short.treeWeights and [t.toDebugString.split("\n", 1)[1] for t in cut.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+    told = [m.transform(prepared.ready).select("label", "prediction").collect() for m in (cut, short)]
+    assert sorted(told[0]) == sorted(told[1])
+    prepared.release()
+
+
+def test_one_vs_rest_models_are_searched(spark):
+    df = spark.range(90).selectExpr("id", "CAST(id % 9 AS DOUBLE) AS x", "CAST(id % 9 DIV 3 AS STRING) AS y")
+    est, grid = models.estimator("svm", "grid_search", "classification", 90, 1, 3)
+    assert [g[est.classifier].getRegParam() for g in grid] == [models._penalty(c, 90) for c in (0.1, 1.0, 10.0)]
+    assert len(models.estimator("xgboost", "grid_search", "classification", 90, 1, 3)[1]) == 8
