@@ -65,6 +65,11 @@ HEADLINES = (
     "bm_holdout",
     "bm_class_metrics",
     "bm_auc",
+    "bm_grid_logistic_regression",
+    "fid_ks",
+    "out_votes",
+    "noise_issues",
+    "stream_windows",
 )
 
 

@@ -116,23 +116,29 @@ def lowest_draws(df: DataFrame, key: str, seed: int | str, k: int) -> DataFrame:
     """Exactly the ``k`` rows with the smallest draws: a sample without replacement.
 
     One small count per slice of the draw range finds the slice in which the
-    sample ends. Rows of lower slices are kept where they are, without a
-    shuffle; only the last slice is sorted.
+    sample ends, a second one the draw within that slice. Rows with lower draws
+    are kept where they are, without a shuffle; only rows of that one draw are
+    sorted, one in four thousand million.
     """
     if k <= 0:
         return df.limit(0)
-    drawn = df.withColumn("__draw", draw(key, seed)).withColumn(
-        "__slice", F.floor(F.col("__draw") / F.lit(DRAW_RANGE // FINE_SLICES)).cast("int")
-    )
-    sizes = drawn.groupBy("__slice").agg(F.count(F.lit(1)).alias("n")).orderBy("__slice").collect()  # <= FINE_SLICES
-    left, cut = k, None
-    for row in sizes:
-        if row["n"] >= left:
-            cut = row["__slice"]
-            break
-        left -= row["n"]
+    width = DRAW_RANGE // FINE_SLICES
+    drawn = df.withColumn("__draw", draw(key, seed))
+    slices = drawn.groupBy(F.floor(F.col("__draw") / F.lit(width)).alias("at"))
+    cut, left = _ends_at(slices.agg(F.count(F.lit(1)).alias("n")), k)
     if cut is None:
         return df
-    below = drawn.where(F.col("__slice") < cut)
-    edge = drawn.where(F.col("__slice") == cut).orderBy("__draw", key).limit(left)
+    inside = drawn.where(F.floor(F.col("__draw") / F.lit(width)) == cut)
+    last, left = _ends_at(inside.groupBy(F.col("__draw").alias("at")).agg(F.count(F.lit(1)).alias("n")), left)
+    below = drawn.where(F.col("__draw") < last)
+    edge = drawn.where(F.col("__draw") == last).orderBy(key).limit(left)
     return below.unionByName(edge).select(*df.columns)
+
+
+def _ends_at(counts: DataFrame, k: int) -> tuple[int | None, int]:
+    """Where counts (``at``, ``n``; at most ``FINE_SLICES`` rows) reach ``k``, and how many of that place are needed; None if they never do."""
+    for row in counts.orderBy("at").collect():
+        if row["n"] >= k:
+            return row["at"], k
+        k -= row["n"]
+    return None, k

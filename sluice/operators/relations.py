@@ -71,9 +71,12 @@ def where_all(df: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> D
 
 
 def changes(before: DataFrame, after: DataFrame, key: str, method: str, at: str) -> DataFrame:
-    """A change log: one row per cell that differs between two versions, old and new value as text."""
+    """A change log: one row per cell that differs between two versions, old and new value as text.
+
+    The cells of an added row have no old value, those of a deleted row no new one.
+    """
     columns = [c for c in before.columns if c != key and c in after.columns]
-    pair = before.alias("b").join(after.alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"))
+    pair = before.alias("b").join(after.alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"), "full")
     entries = [
         F.when(
             ~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")),
@@ -81,7 +84,7 @@ def changes(before: DataFrame, after: DataFrame, key: str, method: str, at: str)
         )
         for c in columns
     ]
-    found = pair.select(F.col(f"b.{key}").alias(key), F.inline(F.array_compact(F.array(*entries))))
+    found = pair.select(F.coalesce(F.col(f"b.{key}"), F.col(f"a.{key}")).alias(key), F.inline(F.array_compact(F.array(*entries))))
     return found.withColumns({"method": F.lit(method), "changed_at": F.lit(at).cast("timestamp")})
 
 

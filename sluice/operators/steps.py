@@ -168,7 +168,17 @@ def normalize(df: DataFrame, config: dict) -> DataFrame:
 
 
 def normalize_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Scale several columns by the extremes found in one pass."""
+    """Scale several columns by the extremes found in one pass.
+
+    A constant column stays as it is. Whether one of integers does is looked up
+    first, since it decides the column's type.
+    """
+    whole = [c for c in names if not isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    if whole:
+        row = df.agg(*[F.min(c).eqNullSafe(F.max(c)).alias(f"k{i}") for i, c in enumerate(whole)]).first()  # one row
+        names = [c for c in names if c not in whole or not row[f"k{whole.index(c)}"]]
+    if not names:
+        return df
     bounds = df.agg(
         F.struct(
             *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(names)],

@@ -41,8 +41,9 @@ def _where(s: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(s: SparkSession, d: str) -> DataFrame:
-    before = table(s, d, "customer").withColumn("c_mktsegment", F.expr("CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END")).drop("c_acctbal")
-    after = cleaning.lower_case(before.withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("NONE"))), "c_name")
+    whole = table(s, d, "customer").withColumn("c_mktsegment", F.expr("CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END"))
+    before = whole.where("c_custkey % 19 <> 0")
+    after = cleaning.lower_case(whole.where("c_custkey % 23 <> 0").withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("NONE"))), "c_name")
     return relations.changes(before, after, "c_custkey", "demo", "2024-01-01 00:00:00")
 
 
@@ -78,10 +79,11 @@ SQL = {
     "rel_split": f"""SELECT o_orderkey, CASE WHEN u < 7 / 10.0 THEN 'train' WHEN u < 7 / 10.0 + 2 / 10.0 THEN 'val' ELSE 'test' END AS part
         FROM (SELECT o_orderkey, {_DRAW} AS u FROM orders)""",
     "rel_where_all": f"WITH t AS ({LINES.sql}) SELECT * FROM t WHERE l_quantity >= 10 AND l_returnflag IN ('A', 'N') AND l_tax <> 0",
-    "rel_changes": """WITH b AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS seg FROM customer), x AS (
-        SELECT c_custkey, 'c_name' AS "column", c_name AS old, lower(c_name) AS new FROM b
-        UNION ALL SELECT c_custkey, 'c_mktsegment', seg, coalesce(seg, 'NONE') FROM b)
-        SELECT *, 'demo' AS method, TIMESTAMP '2024-01-01 00:00:00' AS changed_at FROM x WHERE old IS DISTINCT FROM new""",
+    "rel_changes": """WITH c AS (SELECT * REPLACE (CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment) FROM customer),
+        b AS (SELECT * FROM c WHERE c_custkey % 19 <> 0), a AS (SELECT * REPLACE (lower(c_name) AS c_name, coalesce(c_mktsegment, 'NONE') AS c_mktsegment) FROM c WHERE c_custkey % 23 <> 0),
+        x AS (SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, unnest([{'k': 'c_name', 'o': b.c_name, 'n': a.c_name}, {'k': 'c_nationkey', 'o': b.c_nationkey::VARCHAR, 'n': a.c_nationkey::VARCHAR},
+            {'k': 'c_acctbal', 'o': b.c_acctbal::VARCHAR, 'n': a.c_acctbal::VARCHAR}, {'k': 'c_mktsegment', 'o': b.c_mktsegment, 'n': a.c_mktsegment}]) AS u FROM b FULL JOIN a ON a.c_custkey = b.c_custkey)
+        SELECT c_custkey, u.k AS "column", u.o AS old, u.n AS new, 'demo' AS method, TIMESTAMP '2024-01-01 00:00:00' AS changed_at FROM x WHERE u.o IS DISTINCT FROM u.n""",
     "rel_kappa": f"""WITH t AS (SELECT * FROM ({VOTES.sql}) WHERE one IS NOT NULL AND two IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n,
         count(*) FILTER (one = two)::DOUBLE AS same FROM t), e AS (SELECT sum(a * b)::DOUBLE AS c FROM (SELECT one AS k, count(*) AS a FROM t GROUP BY 1)
         JOIN (SELECT two AS k, count(*) AS b FROM t GROUP BY 1) USING (k))
