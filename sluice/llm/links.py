@@ -6,6 +6,7 @@ Jaccard similarity reaches ``percent`` in a hundred; all bounds are in integers.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from sluice.llm import texts as X
 
 SKETCH_BITS = 2048
+BROADCAST_ROWS = 1 << 20  # of a key and a digest
 SALT_PAIRS = 512  # pairs of one class that stay together
 
 
@@ -54,14 +56,35 @@ def most_alike(i: np.ndarray, j: np.ndarray, unlike: np.ndarray, component: np.n
     return i[keep], j[keep], cut[keep]
 
 
+def digest(members: np.ndarray) -> bytes:
+    """128 bits that are equal for equal sets."""
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def few(df: DataFrame) -> bool:
+    """Whether a table of keys (and digests) is small enough to be sent to all tasks."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """``rep``: the classes of any pair."""
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+
 def sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """``rep`` and its shingle set as bytes, for the wanted classes."""
+    """``rep`` and its shingle set as bytes, for the wanted classes (``rep``, ``digest``); rows that repeat a class's text give its set again.
+
+    Up to ``BROADCAST_ROWS`` wanted classes are sent to the texts; texts are shuffled only beyond.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in X.steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in X.text_sets(body, at, X.SPACED, k)], pa.binary())], names=["rep", "members"])
+            found = X.text_sets(body, at, X.SPACED, k)
+            own = [i for i, d in enumerate(batch.column("digest").to_pylist()) if digest(found[i]) == d]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(own, pa.int64())), pa.array([found[i].tobytes() for i in own], pa.binary())], names=["rep", "members"])
 
-    docs = X.prepared(df, key, text).join(wanted.select(F.col("rep").alias("key")), "key", "left_semi")
+    asked = wanted.select(F.col("rep").alias("key"), "digest")
+    docs = X.prepared(df, key, text).join(F.broadcast(asked) if few(asked) else asked, "key")
     return docs.mapInArrow(run, X.schema("rep bigint, members binary"))
 
 
@@ -69,23 +92,30 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets are similar enough.
 
     ``a``'s set travels once per salt and not once per pair: pairs are sorted by
-    ``a`` and its set comes first.
+    ``a`` and its set comes first. Where a key stands for several sets, one that is
+    similar is enough. ``pairs`` should be written: they are read several times.
     """
 
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, np.zeros(0, np.uint64)
+        held, own = None, []
         for batch in batches:
             found = []
             for a, b, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members")):
                 values = np.frombuffer(members.as_buffer(), np.uint64)
                 if b is None:
-                    held, own = a, values.copy()
-                elif a == held:
-                    common = len(np.intersect1d(own, values, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(values) - common):
-                        found.append((a, b))
+                    own = [x for x in own if a == held and not np.array_equal(x, values)] + [values.copy()]
+                    held = a
+                elif a == held and any(similar(x, values) for x in own):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
+    asked = ends(pairs)
+    if few(asked):  # else the join below finds them as well
+        members = members.join(F.broadcast(asked), "rep", "left_semi")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("salts"))
     others = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")).cast("int").alias("salt"), F.col("b").alias("rep"))
     leaders = salts.select("a", F.lit(None).cast("bigint").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("rep"))

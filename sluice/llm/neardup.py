@@ -27,7 +27,7 @@ salts, a bucket over blocks.
 Null texts, empty ones and those without words have an empty set and are linked
 with nothing. Rows without a key are linked with nothing; their component is
 null and they are kept. Rows that repeat a key are judged by their own texts; where
-several texts share the key that stands for a class, one of them is confirmed.
+several texts share the key that stands for a class, any of them makes a link.
 """
 
 from __future__ import annotations
@@ -68,11 +68,9 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """``key``, ``n`` (size of the set), ``digest`` (equal for equal sets; null for empty ones), ``sig`` and ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch, body, at in X.steps(batches):
             sets = X.text_sets(body, at, X.SPACED, k)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [L.digest(s) if len(s) else None for s in sets]
             found = [minima(s).tobytes() if len(s) else None for s in sets]
             marks = [L.sketch(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -188,7 +186,8 @@ def _joined(df: DataFrame, classes: DataFrame, key: str, text: str, k: int, thre
     rows = X.written(banded.join(shared.select("bucket", F.col("s")["rep"].alias("first"), F.col("s")["n"].alias("first_n")), "bucket"))
     alike = (F.least("n", "first_n") >= F.greatest("n", "first_n") * threshold) & (F.col("rep") != F.col("first"))
     stars = rows.where(alike).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = X.written(L.sets(df, rows.select("rep").distinct(), key, text, k).dropDuplicates(["rep"]))
+    wanted = classes.select("rep", "digest").join(rows.select("rep").distinct(), "rep", "left_semi")
+    sets = X.written(L.sets(df, wanted, key, text, k))
     percent = round(threshold * 100)
     links = X.written(L.confirmed(X.written(_agreeing(stars, classes, threshold)), sets, percent))
     joined = components(links)

@@ -19,9 +19,10 @@ reaches the threshold; the join is exact.
 4. Every list first pairs its members with one of them, ``HUBS`` times, as long as
    they are apart: first with the smallest class, then with others. A pair goes on
    if sizes and sketches allow a link, and is confirmed on the full sets. Links
-   become components by alternating large-star and small-star steps.
-5. Lists that still hold several components are scanned: members outside a list's
-   largest component meet all others, in blocks of both sides. Pairs that sketches
+   become components by alternating large-star and small-star steps. That is all
+   for lists of two.
+5. Longer lists that still hold several components are scanned: members outside a
+   list's largest component meet all others, in blocks of both sides. Pairs that sketches
    cannot rule out are confirmed: first the most alike ones of a class and a
    component, then all that still lie apart. So a link can only be left out if it
    joins what is joined already.
@@ -32,7 +33,7 @@ and the common shingles, a bounded number.
 Null texts, empty ones and those without words have an empty set and are linked
 with nothing. Rows without a key are linked with nothing; their component is
 null. Rows that repeat a key are judged by their own texts; where several texts
-share the key that stands for a class, one of them is confirmed. A very long text
+share the key that stands for a class, any of them makes a link. A very long text
 is held alone by its task. An empty table gives no rows. Other columns are not
 read, whatever their names. Ties: the smallest key names a class and a component.
 """
@@ -54,7 +55,7 @@ OFTEN, CHUNK = 8, 1 << 22  # a shingle that occurs so often among so many is com
 STEPS = 8  # levels of counts between a power of two and the next
 SALT_ROWS = 4096  # rows of a common shingle that stay together
 BOUNDARIES = (0, 8, 16, 32, 64, 128)  # sizes up to which sets may be light
-ROW_COST = 40  # shuffling an entry against comparing two sketches
+ROW_COST = 8  # shuffling an entry against comparing two sketches
 HUBS = 3
 BLOCK = 256  # members of a list compared in one go, on each side
 FIRST_TRIES = 16  # pairs of a class and a component that are confirmed before all others
@@ -134,8 +135,6 @@ def measured(df: DataFrame, order: Order, key: str, text: str, k: int, percent:
     """``key``, ``n`` (size of the set), ``digest`` (equal for equal sets; null for empty ones), ``sketch`` and ``head``, the set's first members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch, body, at in X.steps(batches):
             found = X.text_sets(body, at, X.SPACED, k)
             some = lambda f: pa.array([f(s) if len(s) else None for s in found], pa.binary())
@@ -143,7 +142,7 @@ def measured(df: DataFrame, order: Order, key: str, text: str, k: int, percent:
                 [
                     batch.column("key"),
                     pa.array([len(s) for s in found], pa.int64()),
-                    some(lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()),
+                    some(L.digest),
                     some(L.sketch),
                     some(lambda s: order.first(s, int(probes(len(s), percent)) + 1).tobytes()),
                 ],
@@ -153,65 +152,62 @@ def measured(df: DataFrame, order: Order, key: str, text: str, k: int, percent:
     return X.prepared(df, key, text).mapInArrow(run, X.schema("key bigint, n bigint, digest binary, sketch binary, head binary"))
 
 
-ENTRY = "token bigint, salt int, dealt boolean, rep bigint, n bigint, small boolean"
-
-
 def entries(classes: DataFrame, order: Order, percent: int, boundary: int, subsets: bool, lists: bool) -> DataFrame:
-    """Where the classes are entered: light ones under pairs of their first members, those that meet heavy ones under single members.
+    """Where the classes are entered (``token``, ``mark``, ``rep``): light ones under pairs of their first members, those that meet heavy ones under single members.
 
-    ``small`` tells that the entry lies among the members that a linked set at least as large must share.
+    ``mark`` packs a salt with two bits: whether the token is dealt over salts, and
+    whether the entry lies among the members that a linked set at least as large
+    must share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for rep, n, head in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("head")):
                 own = np.frombuffer(head.as_buffer(), np.uint64)
                 p, q = int(probes(n, percent)), int(indexed(n, percent))
+                salts = order.salts(own)
                 if subsets and n <= boundary and len(own) >= 2:
                     i, j = np.triu_indices(len(own), 1)
-                    dealt = np.minimum(order.salts(own)[i], order.salts(own)[j])
-                    _enter(out, rep, n, X.joined_hash([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), dealt, j < q + 1)
+                    pairs = X.joined_hash([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])])
+                    out.append(_entered(rep, pairs, np.minimum(salts[i], salts[j]), j < q + 1))
                 if lists and 100 * n >= percent * boundary:
-                    _enter(out, rep, n, own[:p], order.salts(own[:p]), np.arange(min(p, len(own))) < q)
-            token, salts, reps, sizes, small = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            salt = (X.mixed(reps.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(salt), pa.array(salts > 0), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(small.astype(bool))],
-                names=["token", "salt", "dealt", "rep", "n", "small"],
-            )
+                    out.append(_entered(rep, own[:p], salts[:p], np.arange(min(p, len(own))) < q))
+            token, mark, reps = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(mark.astype(np.int32)), pa.array(reps, pa.int64())], names=["token", "mark", "rep"])
 
-    return classes.mapInArrow(run, X.schema(ENTRY))
+    return classes.mapInArrow(run, X.schema("token bigint, mark int, rep bigint"))
 
 
-def _enter(out: list[list[np.ndarray]], rep: int, n: int, tokens: np.ndarray, salts: np.ndarray, small: np.ndarray) -> None:
-    for column, values in zip(out, (tokens, salts, np.full(len(tokens), rep, np.int64), np.full(len(tokens), n, np.int64), small)):
-        column.append(values)
+def _entered(rep: int, tokens: np.ndarray, salts: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    salt = int(X.mixed(np.array([rep], np.int64).view(np.uint64))[0] >> np.uint64(33)) % np.maximum(salts, 1)
+    return tokens, salt * 4 + (salts > 0) * 2 + small, np.full(len(tokens), rep, np.int64)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """The entries under tokens that several classes have, in one shuffle: sorted by token, lone ones go. Those dealt over salts stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "rep", "n", "small"]
         kept, waiting = None, None  # the token whose next rows stay; the last row, if it stands alone so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             if waiting is not None:
                 batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            token, dealt = batch.column("token").to_numpy(), batch.column("dealt").to_numpy(zero_copy_only=False)
+            token, mark = batch.column("token").to_numpy(), batch.column("mark").to_numpy()
             same = token[1:] == token[:-1]
-            keep = dealt.copy()
+            keep = mark & 2 > 0
             keep[1:] |= same
             keep[:-1] |= same
             if kept is not None and token[0] == kept:
                 keep[token == kept] = True
             waiting = None if keep[-1] else batch.slice(batch.num_rows - 1)
             kept = token[-1] if keep[-1] else None
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in names], names=names)
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("token").filter(take), batch.column("rep").filter(take), pa.array((mark & 1)[keep] > 0)], names=["token", "rep", "small"])
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, X.schema("token bigint, rep bigint, n bigint, small boolean"))
+    dealt = rows.repartition("token", F.shiftright("mark", 2)).sortWithinPartitions("token", "mark")
+    return dealt.mapInArrow(run, X.schema("token bigint, rep bigint, small boolean"))
 
 
 def boundary(classes: DataFrame, order: Order, percent: int) -> int:
@@ -219,7 +215,7 @@ def boundary(classes: DataFrame, order: Order, percent: int) -> int:
     most = BOUNDARIES[-1]
     small = classes.where(F.col("n") <= most)
     names = BOUNDARIES[1:]
-    lists = entries(small, order, percent, 0, subsets=False, lists=True)
+    lists = entries(small, order, percent, 0, subsets=False, lists=True).join(small.select("rep", "n"), "rep")
     within = lambda b, a: (F.col("n") <= b) & (F.col("n") > a)
     per_list = lists.groupBy("token").agg(F.count(F.lit(1)).alias("all"), *[F.count_if(within(b, a)).alias(f"c{b}") for a, b in zip(BOUNDARIES, names)])
     scans = per_list.agg(*[F.coalesce(F.sum(F.col(f"c{b}") * (F.col("all") - 1)), F.lit(0)).alias(f"c{b}") for b in names]).first()
@@ -274,67 +270,126 @@ def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) ->
     fields = ["free", "rep", "n", "small", "component", "sketch"]
     met = active.select("token", every("seekers").alias("x"), place("blocks").alias("y"), F.lit(False).alias("seeks"), *fields)
     seeking = active.where("free").select("token", place("seekers").alias("x"), every("blocks").alias("y"), F.lit(True).alias("seeks"), *fields)
+    group = ["token", "x", "y"]
 
-    def block(table: pa.Table) -> pa.Table:
-        seeks, free, small = (table.column(c).to_numpy() for c in ("seeks", "free", "small"))
-        rep, size, component = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
-        marks = L.sketches(table.column("sketch").combine_chunks())
-        mine, others = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-        n, m = size[mine][:, None], size[others][None]
-        fit = (component[mine][:, None] != component[others][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        fit &= ~free[others][None] | (rep[others][None] > rep[mine][:, None])  # a pair that seeks on both sides comes from the smaller
-        fit &= (small[others][None] | (m > n)) & (small[mine][:, None] | (n > m))
-        i, j = np.nonzero(fit)
-        i, j = mine[i], others[j]
-        near = L.possible(marks[i], marks[j], size[i], size[j], percent) if len(i) else np.zeros(0, bool)
-        i, j = i[near], j[near]
-        unlike = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) / (size[i] + size[j])
-        i, j, cut = L.most_alike(i, j, unlike, component, rep, FIRST_TRIES if first else None)
-        return pa.table([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
-
-    found = met.unionByName(seeking).groupBy("token", "x", "y").applyInArrow(block, X.schema("a bigint, b bigint, cut boolean"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None  # rows of the group that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            starts = _starts(batch, group)
+            waiting = batch.slice(starts[-1])
+            if starts[-1]:
+                yield _met(batch.slice(0, starts[-1]), starts[:-1], percent, FIRST_TRIES if first else None)
+        if waiting is not None:
+            yield _met(waiting, np.zeros(1, np.int64), percent, FIRST_TRIES if first else None)
+
+    ordered = met.unionByName(seeking).repartition(*group).sortWithinPartitions(*group, F.desc("seeks"))
+    found = ordered.mapInArrow(run, X.schema("a bigint, b bigint, cut boolean"))
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 
+def _starts(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
+    """Where a new group begins in sorted rows."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = np.any([(v := batch.column(c).to_numpy())[1:] != v[:-1] for c in group], axis=0)
+    return np.flatnonzero(new)
+
+
+def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | None) -> pa.RecordBatch:
+    """The pairs of all groups that sizes, places and sketches do not rule out. Seekers stand first in a group."""
+    seeks, free, small = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seeks", "free", "small"))
+    rep, size, component = (batch.column(c).to_numpy() for c in ("rep", "n", "component"))
+    marks = L.sketches(batch.column("sketch"))
+    ends = np.append(starts[1:], batch.num_rows)
+    askers = np.add.reduceat(seeks.astype(np.int64), starts)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    mine = np.flatnonzero(seeks)
+    others = (ends - starts - askers)[group[mine]]  # how many each seeker meets, and where they start
+    begin = (starts + askers)[group[mine]]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for low, high in _cuts(others):
+        count = others[low:high]
+        i = np.repeat(mine[low:high], count)
+        j = np.repeat(begin[low:high], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        n, m = size[i], size[j]
+        fit = (component[i] != component[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        fit &= ~free[j] | (rep[j] > rep[i])  # a pair that seeks on both sides comes from the smaller
+        fit &= (small[j] | (m > n)) & (small[i] | (n > m))
+        i, j = i[fit], j[fit]
+        near = L.possible(marks[i], marks[j], size[i], size[j], percent)
+        out.append((i[near], j[near]))
+    i, j = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    unlike = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) / (size[i] + size[j])
+    i, j, cut = L.most_alike(i, j, unlike, component, rep, tries)
+    return pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+
+def _cuts(counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of seekers that meet at most ``most`` others together, one seeker at least."""
+    upto = np.cumsum(counts)
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``df``: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links)."""
     percent = round(threshold * 100)
     if not 50 < percent <= 100:
         raise ValueError("the threshold must lie above 0.5, so that linked sets that differ share two members")
     order = Order(*_common(df, key, text, k))
-    every = X.written(measured(df, order, key, text, k, percent))
-    known = every.where(F.col("digest").isNotNull() & F.col("key").isNotNull())
+    whole = X.written(measured(df, order, key, text, k, percent))
+    known = whole.where(F.col("digest").isNotNull() & F.col("key").isNotNull())
     grouped = known.groupBy("digest").agg(F.min(F.struct("key", "n", "sketch", "head")).alias("s"))
-    classes = X.written(grouped.select("digest", F.col("s")["key"].alias("rep"), *[F.col("s")[c].alias(c) for c in ("n", "sketch", "head")]))
-    joined = _joined(df, classes, order, key, text, k, percent)
+    headed = X.written(grouped.select("digest", F.col("s")["key"].alias("rep"), *[F.col("s")[c].alias(c) for c in ("n", "sketch", "head")]))
+    every = X.written(whole.select("key", "n", "digest"))
+    X.forget(whole)
+    light = boundary(headed, order, percent)
+    lists = _shared(entries(headed, order, percent, light, subsets=True, lists=True))
+    rows = X.written(lists.join(headed.select("rep", "n").distinct(), "rep"))
+    classes = X.written(headed.drop("head"))
+    X.forget(headed)
+    joined = _joined(df, classes, rows, key, text, k, percent)
     named = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
-        every.select("key", "n", "digest")
-        .join(named, "digest", "left")
+        every.join(named, "digest", "left")
         .select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
     )
 
 
-def _joined(df: DataFrame, classes: DataFrame, order: Order, key: str, text: str, k: int, percent: int) -> DataFrame:
+def _joined(df: DataFrame, classes: DataFrame, rows: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """``node`` and ``component`` of all classes that are linked with a smaller one."""
-    light = boundary(classes, order, percent)
-    rows = X.written(_shared(entries(classes, order, percent, light, subsets=True, lists=True)))
-    members = X.written(L.sets(df, rows.select("rep").distinct(), key, text, k).dropDuplicates(["rep"]))
-    edges = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
-    joined, tested = L.components(edges), edges
+    none = classes.select("rep", F.lit(b"").alias("members")).where("false")
+    edges = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    members, have, tested = none, none.select("rep"), edges
+    joined = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The components after the pairs that are new and confirmed."""
-        fresh = pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        """The components after the pairs that are new and confirmed. Sets are taken from the texts when a pair first asks for them."""
+        nonlocal members, have
+        fresh = X.written(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        asked = X.written(L.ends(fresh).join(have, "rep", "left_anti"))
+        if asked.limit(1).count():
+            wanted = X.written(classes.select("rep", "digest").join(asked, "rep", "left_semi"))
+            members = members.union(X.written(L.sets(df, wanted, key, text, k)))
+            have = have.union(asked)
         more = X.written(L.confirmed(fresh, members, percent))
         return L.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    def named() -> DataFrame:
+    def named() -> DataFrame:  # of the lists that are left
         return rows.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
     for number in range(HUBS):
         pairs = X.written(_alike(_starred(named(), number, percent), classes, percent))
-        joined, tested = confirm(pairs), tested.union(pairs)
+        if pairs.limit(1).count():
+            joined, tested = confirm(pairs), tested.union(pairs)
+        if not number:  # a list of two has been looked at
+            rows = X.written(rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("token"), "token", "left_semi"))
     for first in (True, False):
         crossing = X.written(_crossing(named(), classes, percent, first))
         joined, tested = confirm(crossing), tested.union(crossing.select("a", "b"))
