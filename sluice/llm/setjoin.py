@@ -16,12 +16,15 @@ reaches the threshold; the join is exact.
    the boundary are entered both ways, so that they meet the heavy ones.
 3. The boundary is the one of least cost among ``BOUNDARIES``: rows to shuffle for
    the entries, and meetings in the lists that are scanned.
-4. Every list first pairs its members with one of them, ``HUBS`` times, as long as
+4. Lists are cut by size: a set stays at home in the band of its own size and
+   visits the next lower one, so that only sets that may be linked by their sizes
+   meet. What is alone in its band goes.
+5. Every list first pairs its members with one of them, ``HUBS`` times, as long as
    they are apart: first with the smallest class, then with others. A pair goes on
    if sizes and sketches allow a link, and is confirmed on the full sets. Links
    become components by alternating large-star and small-star steps. That is all
    for lists of two.
-5. Longer lists that still hold several components are scanned: members outside a
+6. Longer lists that still hold several components are scanned: members outside a
    list's largest component meet all others, in blocks of both sides. Pairs that sketches
    cannot rule out are confirmed: first the most alike ones of a class and a
    component, then all that still lie apart. So a link can only be left out if it
@@ -40,6 +43,7 @@ read, whatever their names. Ties: the smallest key names a class and a component
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,6 +214,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, X.schema("token bigint, rep bigint, small boolean"))
 
 
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``n`` in lists that are cut by size; ``home`` tells that a set belongs to the band and does not visit it."""
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)  # sets that may be linked are at most one band apart
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+    stays = F.struct(band.alias("band"), F.lit(True).alias("home"))
+    visits = F.struct((band - 1).alias("band"), F.lit(False).alias("home"))
+    spread = rows.select("token", "rep", "n", "small", F.inline(F.array(stays, visits))).withColumn("token", F.xxhash64("token", "band")).drop("band")
+    written = X.written(spread)
+    lists = written.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("home").alias("inhabited")).where("c > 1 AND inhabited")
+    return written.join(lists.select("token"), "token", "left_semi")
+
+
 def boundary(classes: DataFrame, order: Order, percent: int) -> int:
     """The size up to which sets are light, by the cost of entering and scanning the smaller sets."""
     most = BOUNDARIES[-1]
@@ -267,7 +283,7 @@ def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) ->
     active = rows.join(mixed, "token").join(classes.select("rep", "sketch"), "rep").withColumn("free", F.col("component") != F.col("main"))
     place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c).cast("bigint")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    fields = ["free", "rep", "n", "small", "component", "sketch"]
+    fields = ["free", "home", "rep", "n", "small", "component", "sketch"]
     met = active.select("token", every("seekers").alias("x"), place("blocks").alias("y"), F.lit(False).alias("seeks"), *fields)
     seeking = active.where("free").select("token", place("seekers").alias("x"), every("blocks").alias("y"), F.lit(True).alias("seeks"), *fields)
     group = ["token", "x", "y"]
@@ -300,7 +316,7 @@ def _starts(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
 
 def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | None) -> pa.RecordBatch:
     """The pairs of all groups that sizes, places and sketches do not rule out. Seekers stand first in a group."""
-    seeks, free, small = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seeks", "free", "small"))
+    seeks, free, small, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seeks", "free", "small", "home"))
     rep, size, component = (batch.column(c).to_numpy() for c in ("rep", "n", "component"))
     marks = L.sketches(batch.column("sketch"))
     ends = np.append(starts[1:], batch.num_rows)
@@ -317,7 +333,7 @@ def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | N
         n, m = size[i], size[j]
         fit = (component[i] != component[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         fit &= ~free[j] | (rep[j] > rep[i])  # a pair that seeks on both sides comes from the smaller
-        fit &= (small[j] | (m > n)) & (small[i] | (n > m))
+        fit &= (small[j] | (m > n)) & (small[i] | (n > m)) & (home[i] | home[j])  # two visitors meet at home
         i, j = i[fit], j[fit]
         near = L.possible(marks[i], marks[j], size[i], size[j], percent)
         out.append((i[near], j[near]))
@@ -351,7 +367,7 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     X.forget(whole)
     light = boundary(headed, order, percent)
     lists = _shared(entries(headed, order, percent, light, subsets=True, lists=True))
-    rows = X.written(lists.join(headed.select("rep", "n").distinct(), "rep"))
+    rows = X.written(_banded(lists.join(headed.select("rep", "n").distinct(), "rep"), percent))
     classes = X.written(headed.drop("head"))
     X.forget(headed)
     joined = _joined(df, classes, rows, key, text, k, percent)
@@ -379,6 +395,8 @@ def _joined(df: DataFrame, classes: DataFrame, rows: DataFrame, key: str, text:
             members = members.union(X.written(L.sets(df, wanted, key, text, k)))
             have = have.union(asked)
         more = X.written(L.confirmed(fresh, members, percent))
+        if not more.limit(1).count():
+            return joined
         return L.components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     def named() -> DataFrame:  # of the lists that are left
