@@ -60,7 +60,7 @@ STEPS = 8  # levels of counts between a power of two and the next
 SALT_ROWS = 4096  # rows of a common shingle that stay together
 BOUNDARIES = (0, 8, 16, 32, 64, 128)  # sizes up to which sets may be light
 ROW_COST = 8  # shuffling an entry against comparing two sketches
-HUBS = 3
+HUBS = 6
 BLOCK = 256  # members of a list compared in one go, on each side
 FIRST_TRIES = 16  # pairs of a class and a component that are confirmed before all others
 
