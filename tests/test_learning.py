@@ -163,3 +163,29 @@ def test_one_vs_rest_models_are_searched(spark):
     est, grid = models.estimator("svm", "grid_search", "classification", 90, 1, 3)
     assert [g[est.classifier].getRegParam() for g in grid] == [models._penalty(c, 90) for c in (0.1, 1.0, 10.0)]
     assert len(models.estimator("xgboost", "grid_search", "classification", 90, 1, 3)[1]) == 8
+
+
+def test_deep_forests_keep_the_nodes_of_rows_and_stay_the_same(spark):
+    df = spark.range(150).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id * 7 % 11 AS DOUBLE) AS z", "CAST(id % 17 > 7 AND id % 5 > 1 AS STRING) AS y")
+    prepared = models.prepare(df, "y", ["x", "z"], "id")
+    est = models.estimator("random_forest", "default", "classification", 150, 2, 2, trees=5)[0]
+    assert est.getCacheNodeIds()
+    ours, plain = est.fit(prepared.ready), est.copy({est.cacheNodeIds: False}).fit(prepared.ready)
+    assert [t.toDebugString.split("\n", 1)[1] for t in ours.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
+    prepared.release()
+
+
+def test_splits_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    together, fit = threading.Barrier(6), models.fit_prepared
+
+    def seen(*args, **options):
+        together.wait(timeout=60)  # breaks unless the five folds and all rows are fitted at once
+        return fit(*args, **options)
+
+    monkeypatch.setattr(models, "fit_prepared", seen)
+    df = spark.range(120).selectExpr("id", "CAST(id % 20 AS DOUBLE) AS x", "CASE WHEN id % 20 > 9 THEN 'hi' ELSE 'lo' END AS y").cache()
+    results, detail = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "logistic_regression", "preset": "grid_search"}], "kfold_5")
+    row = results.first()
+    assert row["status"] == "complete" and row["accuracy"] > 0.9 and sum(n for _, _, n in detail[0].confusion) == 120
