@@ -132,12 +132,15 @@ def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool
     mixed = per_bucket.where(F.col("parts") > 1).select(
         "bucket", F.col("top")["component"].alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("top")["c"]).alias("seekers")
     )
-    active = rows.join(mixed, "bucket").join(classes.select("rep", "sig", "sketch"), "rep").withColumn("free", F.col("component") != F.col("main"))
+    # a class brings its signature to all its mixed buckets (at most one a band) in one joined row, and goes on to blocks from there
+    own = rows.join(mixed, "bucket").groupBy("rep").agg(F.collect_list(F.struct("bucket", "band", "n", "component", "main", "blocks", "seekers")).alias("own"))
+    active = own.join(classes.select("rep", "sig", "sketch"), "rep").select("rep", "sig", "sketch", F.inline("own")).withColumn("free", F.col("component") != F.col("main"))
     place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c).cast("bigint")).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    fields = ["free", "band", "rep", "n", "component", "sig", "sketch"]
-    met = active.select("bucket", every("seekers").alias("x"), place("blocks").alias("y"), F.lit(False).alias("seeks"), *fields)
-    seeking = active.where("free").select("bucket", place("seekers").alias("x"), every("blocks").alias("y"), F.lit(True).alias("seeks"), *fields)
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    at = lambda x, y, seeks: F.struct(x.alias("x"), y.alias("y"), F.lit(seeks).alias("seeks"))
+    met = F.transform(every("seekers"), lambda x: at(x, place("blocks"), False))
+    seeking = F.transform(F.when(F.col("free"), every("blocks")).otherwise(F.array().cast("array<int>")), lambda y: at(place("seekers"), y, True))
+    dealt = active.select("bucket", F.inline(F.concat(met, seeking)), "free", "band", "rep", "n", "component", "sig", "sketch")
 
     def block(table: pa.Table) -> pa.Table:
         seeks, free = table.column("seeks").to_numpy(), table.column("free").to_numpy()
@@ -159,7 +162,7 @@ def _crossing(rows: DataFrame, classes: DataFrame, threshold: float, first: bool
         i, j, cut = L.most_alike(i[near], j[near], -share[near], component, rep, FIRST_TRIES if first else None)
         return pa.table([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
 
-    found = met.unionByName(seeking).groupBy("bucket", "x", "y").applyInArrow(block, X.schema("a bigint, b bigint, cut boolean"))
+    found = dealt.groupBy("bucket", "x", "y").applyInArrow(block, X.schema("a bigint, b bigint, cut boolean"))
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 

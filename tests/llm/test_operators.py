@@ -449,3 +449,18 @@ def test_verdicts_equal_naive_bayes_by_hand(spark):
     for i, u in rows:
         want = sum(math.log((counts["block"].get(t, 0) + 1) / total["block"]) - math.log((counts["allow"].get(t, 0) + 1) / total["allow"]) for t in tokens(u))
         assert got[i] == pytest.approx(want + math.log(3 / 3))
+
+
+def test_near_duplicates_join_a_class_once_however_many_buckets_it_is_in(spark):
+    """Signatures meet classes, not the rows of classes and buckets, nor once more for each side of a block."""
+    shared = np.arange(1, 400, dtype=np.uint64)
+    sets = {1: shared, 2: np.append(shared, np.uint64(1000)), 3: np.append(shared, np.uint64(2000))}
+    classes = spark.createDataFrame(
+        [(k, len(s), bytearray(neardup.minima(s).tobytes()), bytearray(links.sketch(s))) for k, s in sets.items()], "rep bigint, n bigint, sig binary, sketch binary"
+    ).cache()
+    rows = neardup._bands(classes).withColumn("component", F.when(F.col("rep") == 3, 3).otherwise(1).cast("bigint"))
+    found = neardup._crossing(rows, classes, 0.8, True)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [(1, 3), (2, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Join Inner, (rep" in line]) == 1
+    assert len([line for line in plan.split("\n") if "Aggregate [rep" in line and "collect_list" in line]) == 1
