@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,16 +108,26 @@ class Categories:
 Rule = Dates | Numbers | Flags | Texts | Categories
 
 
+#: The first code point that each normal form may change, alone or beside others.
+FIRST_CHANGED = {"NFC": 0x300, "NFD": 0xC0, "NFKC": 0xA0, "NFKD": 0xA0}
+AT_ONCE = 64
+
+
 def unicode_form(text: Column, form: str) -> Column:
-    """One of the Unicode normal forms. Spark has no function for it: an Arrow batch at a time."""
-    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+    """One of the Unicode normal forms. Spark has no function for it: an Arrow batch at a time.
+
+    Texts that the form cannot change stay in Spark; of the others only ``AT_ONCE`` are Python objects at a time.
+    """
+    if form not in FIRST_CHANGED:
         raise ValueError(f"unknown form {form}")
 
-    @F.pandas_udf("string")
-    def normal(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t), na_action="ignore")
+    @F.arrow_udf("string")
+    def normal(values: pa.Array) -> pa.Array:
+        some = lambda at: [t if t is None else unicodedata.normalize(form, t) for t in values.slice(at, AT_ONCE).to_pylist()]
+        return pa.concat_arrays([pa.array(some(at), pa.string()) for at in range(0, max(1, len(values)), AT_ONCE)])
 
-    return normal(text)
+    changed = text.rlike(rf"[^\x00-\x{{{FIRST_CHANGED[form] - 1:x}}}]")
+    return F.when(changed, normal(F.when(changed, text))).otherwise(text)
 
 
 def standardized(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Work that must grow no faster than the input."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from sluice.operators import lineage
+from sluice.operators import lineage, standardize
 from sluice.plans import workspace
 
 
@@ -21,3 +23,15 @@ def test_reach_finds_all_neighbours_of_a_hub_and_keeps_the_steps_in_place(spark)
     nodes = found.unionByName(spark.createDataFrame([("alone",)], "id string")).select("id", F.lit("x").alias("type"))
     near, inside = lineage.related(nodes, edges, start)
     assert near.count() == 302 and inside.count() == 303  # edges without an end are left out
+
+
+def test_only_texts_that_a_form_may_change_are_python_objects_and_few_at_a_time(spark):
+    for form, first in standardize.FIRST_CHANGED.items():
+        assert all(unicodedata.normalize(form, chr(c)) == chr(c) for c in range(first))
+        assert any(unicodedata.normalize(form, "e" + chr(c)) != "e" + chr(c) for c in range(first, first + 16))
+    texts = ["éa", "plain", None, "é", "", "ﬁn", "가", "à" * 300] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    for form in standardize.FIRST_CHANGED:
+        got = dict(df.select("i", standardize.unicode_form(F.col("t"), form).alias("n")).collect())
+        assert got == {i: t if t is None else unicodedata.normalize(form, t) for i, t in enumerate(texts)}
+    assert "normal(CASE WHEN" in df.select(standardize.unicode_form(F.col("t"), "NFC")).columns[0]
