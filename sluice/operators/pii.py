@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scalars import beside
 from sluice.functions.text import plain_text, stars
+from sluice.functions.types import FLOATS, INTEGERS
 from sluice.session import small_frame
 
 # Keyword, category, severity and confidence. A column whose name
@@ -118,6 +119,12 @@ LEAST_SHARE = 0.05
 SAMPLES = 3
 
 
+# What a match of each pattern needs: so many characters in the text, and where all of a text is one whole
+# number, one of these numbers of digits. The others need signs that a number has not.
+LEAST_LENGTHS = (6, 10, 11, 13, 16, 15, 16, 7, 15, 5, 10, 10)
+DIGITS = ((), (10,), (), (13, 16), (16,), (15,), (16,), (), (), (5,), (), (10, 11))
+FLOAT_RULES = frozenset({1, 3, 4, 5, 6, 9, 11})  # those that need one point at most, and no letters or hyphens
+
 RULE = "array<struct<rank: int, rule_no: int, category: string, severity: string, confidence: double, mark: string>>"
 
 
@@ -143,16 +150,23 @@ def value_matches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     One pass over whole values, counted inside one aggregate.
     """
     columns = list(columns or df.columns)
+    kinds = [df.schema[c].dataType for c in columns]
     texts = df.select(*[plain_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)])
     # what a text needs at least: an @ for the first pattern, some digits for all others
     texts = texts.withColumns(
-        {f"mail{i}": F.contains(f"t{i}", F.lit("@")) for i in range(len(columns))}
-        | {f"digits{i}": F.col(f"t{i}").rlike(r"[0-9]{3}|[0-9]\.[0-9]") for i in range(len(columns))}
+        {f"l{i}": F.length(f"t{i}") - F.startswith(f"t{i}", F.lit("-")).cast("int") if isinstance(kind, INTEGERS) else F.length(f"t{i}") for i, kind in enumerate(kinds)}
+        | {f"mail{i}": F.contains(f"t{i}", F.lit("@")) for i, kind in enumerate(kinds) if not isinstance(kind, (*INTEGERS, *FLOATS))}
+        | {f"digits{i}": F.col(f"t{i}").rlike(r"[0-9]{3}|[0-9]\.[0-9]") for i, kind in enumerate(kinds) if not isinstance(kind, (*INTEGERS, *FLOATS))}
     )
     counts = [F.count(f"t{i}").alias(f"n{i}") for i in range(len(columns))]
-    for i in range(len(columns)):
+    for i, kind in enumerate(kinds):
         for j, rule in enumerate(VALUE_RULES):
-            possible = F.col(f"mail{i}" if j == 0 else f"digits{i}")
+            if isinstance(kind, INTEGERS):
+                possible = F.col(f"l{i}").isin(*DIGITS[j]) if DIGITS[j] else F.lit(False)
+            elif isinstance(kind, FLOATS):
+                possible = F.col(f"l{i}") >= LEAST_LENGTHS[j] if j in FLOAT_RULES else F.lit(False)
+            else:
+                possible = (F.col(f"l{i}") >= LEAST_LENGTHS[j]) & F.col(f"mail{i}" if j == 0 else f"digits{i}")
             counts.append(F.count_if(possible & F.col(f"t{i}").rlike(rule[0])).alias(f"c{i}_{j}"))
     entries = [
         F.struct(

@@ -1,10 +1,12 @@
 """Work that must grow no faster than the input."""
 
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
-from sluice.operators import lineage, standardize
+from sluice.functions.text import plain_text
+from sluice.operators import lineage, pii, standardize
 from sluice.plans import workspace
 
 
@@ -35,3 +37,17 @@ def test_only_texts_that_a_form_may_change_are_python_objects_and_few_at_a_time(
         got = dict(df.select("i", standardize.unicode_form(F.col("t"), form).alias("n")).collect())
         assert got == {i: t if t is None else unicodedata.normalize(form, t) for i, t in enumerate(texts)}
     assert "normal(CASE WHEN" in df.select(standardize.unicode_form(F.col("t"), "NFC")).columns[0]
+
+
+def test_numbers_are_matched_by_length_like_their_texts(spark):
+    whole = [0, -7, 12345, -12345, 99999, 123456, 1234567890, -1234567890, 11234567890, 21234567890, 4111111111111, 411111111111111, 4111111111111111,
+             5105105105105100, 341111111111111, 371111111111111, 1234567890123456, 9223372036854775807, -9223372036854775808, None]
+    wide = [0.5, 12345.67, -12345.0, 123.4567890, 1234567890.5, 1.5e16, 1e-7, 4111111111111111.0, 0.1234512345123456, float("nan"), float("inf"), None]
+    rows = [(whole[i % len(whole)], wide[i % len(wide)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "n bigint, x double")
+    as_text = df.select(*[plain_text(df, c).alias(c) for c in df.columns])
+    assert pii.value_matches(df).collect() == pii.value_matches(as_text).collect()
+    regex = [[sum(1 for r in as_text.collect() if r[c] is not None and re.search(p[0], r[c])) for p in pii.VALUE_RULES] for c in df.columns]
+    assert [list(r)[3:] for r in pii.value_matches(df).collect()] == regex
+    plan = pii.value_matches(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(t0") <= 7  # five of the twelve patterns cannot match a whole number
