@@ -9,8 +9,7 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from sluice.session import small_frame
 SEED = 42
 GRID = 201  # points of a marginal's quantile function
 MAX_CATEGORIES = 1_000
+ALL_PARTITIONS = 1 << 20  # more than any range of rows has
 DISTRIBUTIONS = ("normal", "log_normal", "uniform", "beta")
 NORMAL = NormalDist()
 
@@ -231,9 +231,11 @@ def _loadings(df: DataFrame, names: list[str], scores: list[Column]) -> dict[str
     if len(names) == 1:
         return {names[0]: [1.0]}
     wide = df.select(*[s.alias(f"z{i}") for i, s in enumerate(scores)])
-    vectors = VectorAssembler(inputCols=wide.columns, outputCol="z").transform(wide).select("z")
-    matrix = np.nan_to_num(Correlation.corr(vectors, "z").first()[0].toArray())
-    np.fill_diagonal(matrix, 1.0)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i)]
+    row = wide.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"{i}:{j}") for i, j in pairs]).first()  # one row, one pass
+    matrix = np.eye(len(names))
+    for i, j in pairs:
+        matrix[i, j] = matrix[j, i] = np.nan_to_num(row[f"{i}:{j}"] if row[f"{i}:{j}"] is not None else 0.0)
     values, basis = np.linalg.eigh((matrix + matrix.T) / 2)
     near = basis @ np.diag(np.clip(values, 1e-6, None)) @ basis.T
     scale = np.sqrt(np.diag(near))
@@ -241,13 +243,24 @@ def _loadings(df: DataFrame, names: list[str], scores: list[Column]) -> dict[str
     return {c: factor[i].tolist() for i, c in enumerate(names)}
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function (Abramowitz and Stegun 7.1.26, error below 2e-7)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = (1 - poly * F.exp(-x * x)) / 2
-    return F.when(z >= 0, 0.5 + half).otherwise(0.5 - half)
+def with_normal_cdf(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """Adds the standard normal distribution function of ``scores`` (Abramowitz and Stegun 7.1.26, error below 2e-7).
+
+    Step by step for all: written as one expression, each score would be computed many times over, in a method too long to be compiled.
+    """
+    z, t, half = (lambda c: F.col(f"z:{c}")), (lambda c: F.col(f"t:{c}")), (lambda c: F.col(f"h:{c}"))
+    x = lambda c: F.abs(z(c)) / math.sqrt(2)
+    poly = lambda t: t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    df = df.withColumns({f"z:{c}": score for c, score in scores.items()})
+    df = df.withColumns({f"t:{c}": 1 / (1 + 0.3275911 * x(c)) for c in scores})
+    df = df.withColumns({f"h:{c}": (1 - poly(t(c)) * F.exp(-x(c) * x(c))) / 2 for c in scores})
+    df = df.withColumns({f"u:{c}": F.when(z(c) >= 0, 0.5 + half(c)).otherwise(0.5 - half(c)) for c in scores})
+    return df.drop(*[f"{k}:{c}" for c in scores for k in "zth"])
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The same rows in the same partitions. What comes before and after is generated into methods of their own: one for all is too long to be compiled."""
+    return rows.coalesce(ALL_PARTITIONS)
 
 
 def sample(
@@ -264,15 +277,18 @@ def sample(
     rows = spark.range(n).withColumnRenamed("id", row_id)
     first = lambda j: F.greatest(uniform(row_id, f"{seed}|a{j}"), F.lit(1e-12))
     angle = lambda j: uniform(row_id, f"{seed}|b{j}") * (2 * math.pi)
-    rows = rows.withColumns({f"e{j}": F.sqrt(-2 * F.log(first(j))) * F.cos(angle(j)) for j in range(width)})
-    chances = {}
-    for p in parts:
-        if p["loadings"]:
-            z = sum((F.lit(w) * F.col(f"e{j}") for j, w in enumerate(p["loadings"]) if w), F.lit(0.0))
-            chances[p["column"]] = normal_cdf(z)
-        else:
-            chances[p["column"]] = uniform(row_id, f"{seed}|{p['column']}")
-    rows = rows.withColumns({f"u:{c}": u for c, u in chances.items()})
+    for j in range(0, width, 4):  # a few at a time, see _apart
+        rows = _apart(rows.withColumns({f"e{k}": F.sqrt(-2 * F.log(first(k))) * F.cos(angle(k)) for k in range(j, min(j + 4, width))}))
+    weighed = {
+        p["column"]: sum((F.lit(w) * F.col(f"e{j}") for j, w in enumerate(p["loadings"]) if w), F.lit(0.0)) for p in parts if p["loadings"]
+    }
+    rows = _apart(with_normal_cdf(rows, weighed))
+    rows = rows.withColumns({f"u:{p['column']}": uniform(row_id, f"{seed}|{p['column']}") for p in parts if not p["loadings"]})
+    several = [p for p in parts if p["kind"] == "category" and len(p["categories"]) > 1]
+    if several:  # the place of the first category whose cumulative share is above the chance
+        splits = [[-math.inf, *[c["upto"] for c in p["categories"][:-1]], math.inf] for p in several]
+        names = [p["column"] for p in several]
+        rows = Bucketizer(splitsArray=splits, inputCols=[f"u:{c}" for c in names], outputCols=[f"k:{c}" for c in names]).transform(rows)
     resampled = [p["column"] for p in parts if p["kind"] == "resampled"]
     if resampled:
         if source is None or key is None:
@@ -302,9 +318,8 @@ def _value(p) -> Column:
         whole = p["data_type"] in ("tinyint", "smallint", "int", "bigint")
         return F.round(value) if whole else value
     if p["kind"] == "category":
-        listed = F.array(*[F.struct(F.lit(c["upto"]).alias("upto"), F.lit(c["value"]).alias("value")) for c in p["categories"]])
-        hit = F.element_at(F.filter(listed, lambda c: u < c["upto"]), 1)["value"]
-        return F.coalesce(hit, F.lit(p["categories"][-1]["value"]))
+        names = [c["value"] for c in p["categories"]]
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(f"k:{p['column']}") + 1).cast("int")) if len(names) > 1 else F.lit(names[0])
     if p["kind"] == "resampled":
         return F.col(p["column"])
     return F.lit(None)

@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from sluice.functions.text import plain_text
-from sluice.operators import lineage, pii, standardize
+from sluice.operators import lineage, pii, standardize, synthetic
 from sluice.plans import workspace
 
 
@@ -51,3 +51,12 @@ def test_numbers_are_matched_by_length_like_their_texts(spark):
     assert [list(r)[3:] for r in pii.value_matches(df).collect()] == regex
     plan = pii.value_matches(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE(t0") <= 7  # five of the twelve patterns cannot match a whole number
+
+
+def test_sampled_rows_come_from_methods_short_enough_to_be_compiled(spark):
+    df = spark.range(400).selectExpr("id", *[f"CAST(id * {7 + i} % 101 AS DOUBLE) AS x{i}" for i in range(4)], "concat('c', id % 3) AS c", "concat('d', id % 2) AS d")
+    made = synthetic.sample(synthetic.fit(df, df.columns[1:]), 200)
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(made._jdf.queryExecution().executedPlan())
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    values = made.groupBy("c").count().collect()
+    assert {r["c"] for r in values} == {"c0", "c1", "c2"} and sum(r["count"] for r in values) == 200
