@@ -189,3 +189,37 @@ def test_splits_are_fitted_side_by_side(spark, monkeypatch):
     results, detail = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "logistic_regression", "preset": "grid_search"}], "kfold_5")
     row = results.first()
     assert row["status"] == "complete" and row["accuracy"] > 0.9 and sum(n for _, _, n in detail[0].confusion) == 120
+
+
+def test_support_vector_machines_take_their_steps_in_the_same_jobs(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+
+    steps, sums = [], models.margins.Together._sums
+    monkeypatch.setattr(models.margins.Together, "_sums", lambda self, *a: steps.append(1) or sums(self, *a))
+    df = spark.range(240).selectExpr(
+        "id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id * 7 % 11 AS DOUBLE) AS z", "CASE WHEN id % 17 + id * 5 % 7 > 11 THEN 'hi' ELSE 'lo' END AS y"
+    ).cache()
+    parts = [models.prepare(df.where(f"id % 5 <> {i}"), "y", ["x", "z"], "id", searched=True) for i in (0, 1)]
+
+    def loss(model, rows, penalty):
+        x, y = np.array([r["features"].toArray() for r in rows]), np.array([2 * r["label"] - 1 for r in rows])
+        w = model.coefficients.toArray()
+        return np.maximum(0, 1 - y * (x @ w + model.intercept)).mean() + penalty / 2 * (w @ w)
+
+    found = models.fit_all(parts, "svm", "grid_search")
+    assert 0 < len(steps) < 600  # 20 fits of 100 steps would be thousands of jobs
+    part, fitted = parts[1], found[1]
+    penalty, rows = fitted.model.getRegParam(), part.ready.collect()
+    plain = LinearSVC(regParam=penalty, maxIter=100, standardization=False).fit(part.ready)
+    assert loss(fitted.model, rows, penalty) <= loss(plain, rows, penalty) * 1.001
+    told = [[r[0] for r in m.transform(part.ready).select("prediction").collect()] for m in (fitted.model, plain)]
+    assert np.mean(np.array(told[0]) == np.array(told[1])) > 0.95
+    for part in parts:
+        part.release()
+
+
+def test_rows_without_a_label_are_refused_by_support_vector_machines(spark):
+    df = spark.range(60).selectExpr("id", "CAST(id % 9 AS DOUBLE) AS x", "CASE WHEN id % 9 > 4 THEN 'hi' WHEN id % 9 > 0 THEN 'lo' END AS y").cache()
+    results, _ = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "svm"}], "kfold_5")
+    row = results.first()
+    assert row["status"] == "failed" and "label" in row["error_message"].lower()
