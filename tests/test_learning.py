@@ -223,3 +223,22 @@ def test_rows_without_a_label_are_refused_by_support_vector_machines(spark):
     results, _ = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "svm"}], "kfold_5")
     row = results.first()
     assert row["status"] == "failed" and "label" in row["error_message"].lower()
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_a_search_grows_the_longest_forest_per_depth_and_fold(spark, monkeypatch, kind):
+    forest = models.RandomForestClassifier if kind == "classification" else models.RandomForestRegressor
+    grown, fit = [], forest.fit
+    monkeypatch.setattr(forest, "fit", lambda self, *a: grown.append((self.getNumTrees(), self.getMaxDepth())) or fit(self, *a))
+    df = spark.range(120).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id * 7 % 11 AS DOUBLE) AS z", "CAST(id % 17 > 7 AND id % 5 > 1 AS INT) AS y")
+    prepared = models.prepare(df, "y", ["x", "z"], "id", kind, searched=True)
+    est, _ = models.estimator("random_forest", "grid_search", kind, 120, 2, 2)
+    grid = [{est.numTrees: n, est.maxDepth: d} for n in (3, 5, 8) for d in (2, 4)]
+    judge = models.MulticlassClassificationEvaluator(metricName="accuracy") if kind == "classification" else models.RegressionEvaluator(metricName="r2")
+    best = models._search(est, grid, prepared.ready, judge)
+    assert sorted(grown[:6]) == [(8, 2)] * 3 + [(8, 4)] * 3 and len(grown) == 7 and best.getNumTrees == grown[6][0]
+    told = [models.first_trees(best, 2).transform(prepared.ready), best.transform(prepared.ready)]
+    first = models.first_trees(best, 2)
+    assert [t.toDebugString for t in first.trees] == [t.toDebugString for t in best.trees[:2]]
+    assert all(t.where("prediction IS NULL").count() == 0 for t in told)
+    prepared.release()
