@@ -61,9 +61,9 @@ def digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def few(df: DataFrame) -> bool:
-    """Whether a table of keys (and digests) is small enough to be sent to all tasks."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def few(df: DataFrame, keys: int = 1) -> bool:
+    """Whether a table of ``keys`` keys a row (and digests) is small enough to be sent to all tasks."""
+    return df.limit(BROADCAST_ROWS // keys + 1).count() <= BROADCAST_ROWS // keys
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -113,8 +113,9 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    asked = ends(pairs)
-    if few(asked):  # else the join below finds them as well
+    if few(pairs, 2):  # then their ends are few as well, and need not be made distinct; beyond, the join below finds them too
+        members = members.join(F.broadcast(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), "rep", "left_semi")
+    elif few(asked := ends(pairs)):
         members = members.join(F.broadcast(asked), "rep", "left_semi")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("salts"))
     others = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")).cast("int").alias("salt"), F.col("b").alias("rep"))
@@ -125,15 +126,13 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (the smallest node reachable) of all nodes with a link but the smallest ones, by large-star and small-star steps."""
+    """``node`` and ``component`` (the smallest node reachable) of all nodes with a link but the smallest ones, by large-star and small-star steps.
+
+    They end when every node hangs on one other and nothing hangs on it. ``links`` are read twice in the first round.
+    """
     up, down = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges = X.written(links.where(F.col("a") != F.col("b")).select(up, down).distinct())
-    before = None
+    edges = links.where(F.col("a") != F.col("b")).select(up, down)
     while True:
-        mark = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
         large = edges.join(least, F.col("v") == F.col("at")).select("u", F.col("m").alias("v"))
@@ -142,3 +141,7 @@ def components(links: DataFrame) -> DataFrame:
         lowest = turned.groupBy("u").agg(F.min("v").alias("m"))
         small = turned.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = X.written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        # of each node, on how many it hangs and how many hang on it
+        ends_of = edges.select(F.col("u").alias("node"), F.lit(1).alias("on")).union(edges.select("v", F.lit(0)))
+        if not ends_of.groupBy("node").agg(F.sum("on").alias("on"), F.count(F.lit(1)).alias("all")).where("on > 0 AND all > 1").limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -197,9 +197,10 @@ def _joined(df: DataFrame, classes: DataFrame, key: str, text: str, k: int, thre
     tested = stars
     for first in (True, False):
         named = rows.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
-        crossing = X.written(_crossing(named.select("bucket", "band", "rep", "n", "component"), classes, threshold, first))
-        fresh = crossing.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        more = X.written(L.confirmed(X.written(fresh), sets, percent))
+        met = _crossing(named.select("bucket", "band", "rep", "n", "component"), classes, threshold, first)
+        crossing = X.written(met.join(tested.withColumn("known", F.lit(True)), ["a", "b"], "left"))
+        fresh = crossing.where("known IS NULL").select("a", "b")
+        more = X.written(L.confirmed(fresh, sets, percent))
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         if not crossing.where("cut").limit(1).count():
             break

@@ -145,6 +145,16 @@ def test_components_of_paths_and_stars(spark):
     assert got == {(i, 0) for i in range(1, 41)} | {(100 + i, 100) for i in range(1, 30)} | {(200, 0)}
 
 
+def test_components_of_stars_are_written_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(neardup.X, "written", lambda df, f=neardup.X.written: made.append(1) or f(df))
+    links = [(1, b) for b in range(2, 30)] + [(b, 100) for b in range(101, 130)]
+    got = {(r["node"], r["component"]) for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {(max(x), min(x)) for x in links} and len(made) == 1
+    made.clear()
+    assert neardup.components(spark.createDataFrame([(7, 7)], "a bigint, b bigint")).count() == 0 and len(made) == 1
+
+
 def brute_scan(text, items, window=13):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
     hit, found = set(), set()
