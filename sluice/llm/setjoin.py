@@ -61,7 +61,8 @@ SALT_ROWS = 4096  # rows of a common shingle that stay together
 BOUNDARIES = (0, 8, 16, 32, 64, 128)  # sizes up to which sets may be light
 ROW_COST = 8  # shuffling an entry against comparing two sketches
 HUBS = 6
-BLOCK = 256  # members of a list compared in one go, on each side
+BLOCK = 4096  # members of a list, on each side, that meet in one task; they are compared some seekers at a time
+PAIRS = 1 << 18  # pairs of members held at once
 FIRST_TRIES = 16  # pairs of a class and a component that are confirmed before all others
 
 
@@ -268,11 +269,10 @@ def _starred(rows: DataFrame, number: int, percent: int) -> DataFrame:
     return met.select(F.col("hub")["rep"].alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs of a list in different components that may be linked.
+def _dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of lists with several components, dealt over blocks ``x`` of seekers and ``y`` of those that they meet.
 
-    The ``first`` time the ``FIRST_TRIES`` most alike ones of each class and component, the second time all
-    that still lie apart. ``cut`` tells that a pair's class had more.
+    Seekers lie outside a list's largest component. A member goes to one block for every ``BLOCK`` of the other side.
     """
     sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     per_list = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
@@ -286,6 +286,15 @@ def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) ->
     fields = ["free", "home", "rep", "n", "small", "component", "sketch"]
     met = active.select("token", every("seekers").alias("x"), place("blocks").alias("y"), F.lit(False).alias("seeks"), *fields)
     seeking = active.where("free").select("token", place("seekers").alias("x"), every("blocks").alias("y"), F.lit(True).alias("seeks"), *fields)
+    return met.unionByName(seeking)
+
+
+def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs of a list in different components that may be linked.
+
+    The ``first`` time the ``FIRST_TRIES`` most alike ones of each class and component, the second time all
+    that still lie apart. ``cut`` tells that a pair's class had more.
+    """
     group = ["token", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +307,11 @@ def _crossing(rows: DataFrame, classes: DataFrame, percent: int, first: bool) ->
             starts = _starts(batch, group)
             waiting = batch.slice(starts[-1])
             if starts[-1]:
-                yield _met(batch.slice(0, starts[-1]), starts[:-1], percent, FIRST_TRIES if first else None)
+                yield from _met(batch.slice(0, starts[-1]), starts[:-1], percent, FIRST_TRIES if first else None)
         if waiting is not None:
-            yield _met(waiting, np.zeros(1, np.int64), percent, FIRST_TRIES if first else None)
+            yield from _met(waiting, np.zeros(1, np.int64), percent, FIRST_TRIES if first else None)
 
-    ordered = met.unionByName(seeking).repartition(*group).sortWithinPartitions(*group, F.desc("seeks"))
+    ordered = _dealt(rows, classes).repartition(*group).sortWithinPartitions(*group, F.desc("seeks"))
     found = ordered.mapInArrow(run, X.schema("a bigint, b bigint, cut boolean"))
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
@@ -314,8 +323,8 @@ def _starts(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | None) -> pa.RecordBatch:
-    """The pairs of all groups that sizes, places and sketches do not rule out. Seekers stand first in a group."""
+def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of all groups that sizes, places and sketches do not rule out, some seekers at a time. Seekers stand first in a group."""
     seeks, free, small, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seeks", "free", "small", "home"))
     rep, size, component = (batch.column(c).to_numpy() for c in ("rep", "n", "component"))
     marks = L.sketches(batch.column("sketch"))
@@ -325,7 +334,6 @@ def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | N
     mine = np.flatnonzero(seeks)
     others = (ends - starts - askers)[group[mine]]  # how many each seeker meets, and where they start
     begin = (starts + askers)[group[mine]]
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     for low, high in _cuts(others):
         count = others[low:high]
         i = np.repeat(mine[low:high], count)
@@ -336,14 +344,13 @@ def _met(batch: pa.RecordBatch, starts: np.ndarray, percent: int, tries: int | N
         fit &= (small[j] | (m > n)) & (small[i] | (n > m)) & (home[i] | home[j])  # two visitors meet at home
         i, j = i[fit], j[fit]
         near = L.possible(marks[i], marks[j], size[i], size[j], percent)
-        out.append((i[near], j[near]))
-    i, j = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    unlike = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) / (size[i] + size[j])
-    i, j, cut = L.most_alike(i, j, unlike, component, rep, tries)
-    return pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+        i, j = i[near], j[near]
+        unlike = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) / (size[i] + size[j])
+        i, j, cut = L.most_alike(i, j, unlike, component, rep, tries)  # all that a seeker meets in a group is at hand
+        yield pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
 
 
-def _cuts(counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _cuts(counts: np.ndarray, most: int = PAIRS) -> Iterator[tuple[int, int]]:
     """Runs of seekers that meet at most ``most`` others together, one seeker at least."""
     upto = np.cumsum(counts)
     low = 0

@@ -43,6 +43,19 @@ def brute_components(rows, k=5):
     return sets, find
 
 
+def test_lists_of_hundreds_are_dealt_once(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 240, dtype=np.uint64)
+    members = [np.unique(np.concatenate((base[:200], rng.integers(0, 1 << 63, 8 + i % 30, dtype=np.uint64)))) for i in range(600)]
+    classes = spark.createDataFrame([(i, bytearray(links.sketch(m))) for i, m in enumerate(members)], "rep bigint, sketch binary")
+    rows = spark.createDataFrame([(1, i, len(m), True, True, i) for i, m in enumerate(members)], "token bigint, rep bigint, n bigint, small boolean, home boolean, component bigint")
+    assert setjoin._dealt(rows, classes).count() == 599 + 600  # all but one of the components seek, and all are met
+    found = {(r["a"], r["b"]) for r in setjoin._crossing(rows, classes, 80, False).collect()}
+    alike = lambda a, b: 100 * len(np.intersect1d(members[a], members[b])) >= 80 * len(np.union1d(members[a], members[b]))
+    some = [(int(a), int(b)) for a, b in rng.integers(0, 600, (3000, 2)) if a < b]
+    assert {p for p in some if alike(*p)} <= found and any(alike(*p) for p in some)
+
+
 def check_join(spark, rows, got, k=5):
     sets, find = brute_components(rows, k)
     assert len(got) == len(rows)
