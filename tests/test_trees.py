@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators import models, trees
 
@@ -28,7 +29,7 @@ def test_boosted_trees_are_those_of_spark(spark, rows, kind):
     prepared.release()
 
 
-@pytest.mark.parametrize("model", ["xgboost"])
+@pytest.mark.parametrize("model", ["xgboost", "random_forest"])
 @pytest.mark.parametrize("kind", ["classification", "regression"])
 def test_a_search_of_trees_takes_two_jobs(spark, rows, monkeypatch, model, kind):
     """The scores of all settings and folds are one job, the best settings another, whatever the number of trees and splits."""
@@ -55,6 +56,27 @@ def test_a_search_of_trees_takes_two_jobs(spark, rows, monkeypatch, model, kind)
         part.release()
 
 
+def test_forests_are_as_large_as_those_of_spark(spark, rows):
+    prepared = models.prepare(rows, "y", ["x", "z", "c"], "id")
+    est = models.estimator("random_forest", "tuned", "classification", 600, 7, 2, trees=40)[0]
+    plain, ours = est.fit(prepared.ready), models.fit_prepared(prepared, "random_forest", "tuned", 40).model
+    assert len(ours.trees) == 40
+    assert np.mean([len(t.left) for t in ours.trees]) == pytest.approx(np.mean([t.numNodes for t in plain.trees]), rel=0.15)
+    chance = [np.array([r["probability"][1] for r in m.transform(prepared.ready).collect()]) for m in (plain, ours)]
+    assert np.corrcoef(*chance)[0, 1] > 0.9
+    prepared.release()
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_forests_do_not_hang_on_the_order_of_rows(spark, rows, kind):
+    prepared = models.prepare(rows, "y" if kind == "classification" else "v", ["x", "z", "c"], "id", kind)
+    wanted = [trees.Wanted(0, None, False, 2 if kind == "classification" else 0, (6,), (3,), 0.0, 1, 42)]
+    found = [trees.grow([df], [600], wanted)[0]["trees"] for df in (prepared.ready, prepared.ready.repartition(5).sortWithinPartitions(F.rand()))]
+    for a, b in zip(*found):
+        assert (a.left == b.left).all() and a.value == pytest.approx(b.value)
+    prepared.release()
+
+
 def test_weighted_rows_stand_for_copies():
     """Rows in the same bins and with the same label are one row with a weight; boosted trees do not change by it."""
     rng = np.random.default_rng(5)
@@ -70,11 +92,27 @@ def test_weighted_rows_stand_for_copies():
     assert told[0] == pytest.approx(told[1])
 
 
+def test_a_shallow_tree_is_the_beginning_of_the_deep_one():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 8, (300, 4)).astype(np.uint8), rng.integers(0, 2, 300).astype(float)
+    levels = trees._resampled(x, np.ones(300), y, 2, 12, 1, 2, 8, np.random.default_rng(1))
+    again = trees._resampled(x, np.ones(300), y, 2, 3, 1, 2, 8, np.random.default_rng(1))
+    share, same = (lambda t: t / t.sum(axis=1, keepdims=True)), (lambda t: t.argmax(axis=1))
+    cut, own = levels.ended(4, 3, share, same)[0], again.ended(4, 12, share, same)[0]
+    assert (cut.left == own.left).all() and (cut.value == own.value).all() and len(levels.starts) > 5
+
+
 def test_wide_or_many_rows_are_left_to_spark():
     assert trees.fits_a_task(100_000, 30) and not trees.fits_a_task(100, 4_096) and not trees.fits_a_task(50_000_000, 30)
 
 
 def test_rows_without_a_label_are_refused_by_trees(spark):
     df = spark.range(60).selectExpr("id", "CAST(id % 9 AS DOUBLE) AS x", "CASE WHEN id % 9 > 4 THEN 'hi' WHEN id % 9 > 0 THEN 'lo' END AS y").cache()
-    results, _ = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "xgboost", "trees": 2}], "kfold_5")
-    assert [(r["status"], "label" in r["error_message"].lower()) for r in results.collect()] == [("failed", True)]
+    results, _ = models.run_benchmark(df, "y", "id", [{"candidate_id": "a", "model_type": "xgboost", "trees": 2}, {"candidate_id": "b", "model_type": "random_forest", "trees": 2}], "kfold_5")
+    assert [(r["status"], "label" in r["error_message"].lower()) for r in results.collect()] == [("failed", True)] * 2
+
+
+def test_resamples_are_poisson_counts():
+    counts = trees.resampled_ones(400_000, np.random.default_rng(3))
+    assert counts.mean() == pytest.approx(1.0, abs=0.01) and counts.var() == pytest.approx(1.0, abs=0.02)
+    assert (counts == 0).mean() == pytest.approx(np.exp(-1), abs=0.005) and 6 <= counts.max() <= 12
